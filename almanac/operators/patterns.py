@@ -43,14 +43,6 @@ def with_segment(df: DataFrame, on: str, cuts: Sequence[float], out: str = SEG)
     return Bucketizer(splits=splits, inputCol=on, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on several keys (still an equi-join for Catalyst)."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join that keeps one copy of the keys."""
     tmp = {k: f"_r_{k}" for k in keys}
@@ -78,20 +70,32 @@ def running_sums(
     by = list(by)
     order = list(order or [segment_on])
     seg = with_segment(df, segment_on, cut_points(df, segment_on) if cuts is None else cuts)
-    per_segment = seg.groupBy(*by, SEG).agg(*[F.sum(c).alias(f"_s_{s}") for c, s in sums.items()])
-    before = Window.partitionBy(*by).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
+    seg, key = _keyed(seg, by)
+    per_segment = seg.groupBy(*key, SEG).agg(*[F.sum(c).alias(f"_s_{s}") for c, s in sums.items()])
+    before = Window.partitionBy(*key).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*key)
     offsets = per_segment.select(
-        *by,
+        *key,
         SEG,
         *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums.values()],
         *[F.sum(f"_s_{s}").over(whole).alias(f"tot_{s}") for s in sums.values()],
     )
-    inside = Window.partitionBy(*by, SEG).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*key, SEG).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = seg.select("*", *[F.sum(c).over(inside).alias(f"_l_{s}") for c, s in sums.items()])
-    out = join_same(local, offsets, [*by, SEG])
+    out = local.join(offsets, [*key, SEG])
     out = out.withColumns({f"cum_{s}": F.col(f"_l_{s}") + F.col(f"_o_{s}") for s in sums.values()})
-    return out.drop(SEG, *[f"_l_{s}" for s in sums.values()], *[f"_o_{s}" for s in sums.values()])
+    names = [*df.columns, *[f"tot_{s}" for s in sums.values()], *[f"cum_{s}" for s in sums.values()]]
+    return out.select(*names)
+
+
+def _keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """One never-null struct key, so that windows and the join on it share one partitioning.
+
+    Struct equality treats null fields as equal, hence null groups are kept.
+    """
+    if not by:
+        return df, []
+    return df.withColumn("_key", F.struct(*by)), ["_key"]
 
 
 def global_index(df: DataFrame, segment_on: str, order: Sequence[Column | str], out: str = "idx") -> DataFrame:
@@ -122,15 +126,16 @@ def previous_value(
     """
     by = list(by)
     seg = with_segment(df, segment_on, cut_points(df, segment_on) if cuts is None else cuts)
+    seg, key = _keyed(seg, by)
     end = 0 if inclusive else -1
-    inside = Window.partitionBy(*by, SEG).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    key = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    per_segment = seg.groupBy(*by, SEG).agg(F.max_by(value, F.when(F.col(value).isNotNull(), key)).alias("_last"))
-    before = Window.partitionBy(*by).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_segment.select(*by, SEG, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    inside = Window.partitionBy(*key, SEG).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    at = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    per_segment = seg.groupBy(*key, SEG).agg(F.max_by(value, F.when(F.col(value).isNotNull(), at)).alias("_last"))
+    before = Window.partitionBy(*key).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_segment.select(*key, SEG, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     local = seg.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
-    res = join_same(local, carried, [*by, SEG])
-    return res.withColumn(out, F.coalesce("_local", "_carry")).drop(SEG, "_local", "_carry")
+    res = local.join(carried, [*key, SEG])
+    return res.select(*df.columns, F.coalesce("_local", "_carry").alias(out))
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], exact: bool = True) -> DataFrame:

@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, Window
 
-from .patterns import join_same
 from .timeseries import label_exact, label_window, log_growth, min_duration, onsets, over, pct_change
 
 EPS = 1e-6
@@ -41,7 +40,7 @@ def ifpa_fixed(
     g = src.withColumns({
         "cq": log_growth(price, 3, by, month), "ca": log_growth(price, 12, by, month), "moy": F.month(month),
     })
-    g = join_same(g, stats, [*by, "moy"], "left")
+    g = g.join(stats, [*by, "moy"], "left")
     floor = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(EPS)
     part = lambda v: (F.col(v) - F.coalesce(F.col(f"mu_{v}"), F.lit(0.0))) / floor(f"sd_{v}")
     z = gamma * part("cq") + (1 - gamma) * part("ca")

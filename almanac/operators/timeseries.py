@@ -1,6 +1,6 @@
 """Panel time-series operators (inventory E, C4, P5).
 
-Inputs are panels: one row per entity and period.  The window partitions are therefore
+Inputs are panels: one row per entity and period, keys never null.  The window partitions are therefore
 bounded by the calendar; raw rows must first be aggregated (see ``resample``), or go
 through the segmented patterns.
 """
@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .patterns import join_same, months_between_expr, only_row
+from .patterns import months_between_expr, only_row
 
 UNB = Window.unboundedPreceding
 
@@ -30,7 +30,7 @@ def complete_months(df: DataFrame, by: Sequence[str], month: str = "month", lo=N
     lo = F.lit(lo).cast("date") if lo else F.col("_span.lo")
     hi = F.lit(hi).cast("date") if hi else F.col("_span.hi")
     grid = keys.select(*by, F.posexplode(F.sequence(lo, hi, F.expr("interval 1 month"))).alias("t", month))
-    return join_same(grid, df, [*by, month], "left")
+    return grid.join(df, [*by, month], "left")
 
 
 def complete_days(df: DataFrame, by: Sequence[str], day: str = "day") -> DataFrame:
@@ -40,7 +40,7 @@ def complete_days(df: DataFrame, by: Sequence[str], day: str = "day") -> DataFra
     grid = keys.select(
         *by, F.posexplode(F.sequence("_span.lo", "_span.hi", F.expr("interval 1 day"))).alias("t", day)
     )
-    return join_same(grid, df, [*by, day], "left")
+    return grid.join(df, [*by, day], "left")
 
 
 def ffill(value: str, by, order: str) -> Column:
@@ -198,7 +198,7 @@ def event_study(panel: DataFrame, events: DataFrame, by: Sequence[str], t: str,
     """Mean path of ``value`` at offsets -k..k around events, and its gap to the mean at offsets < 0."""
     ev = events.select(*by, F.col(t).alias("_t0"), F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("offset"))
     ev = ev.withColumn(t, F.col("_t0") + F.col("offset"))
-    hit = join_same(ev, panel.select(*by, t, value), [*by, t])
+    hit = ev.join(panel.select(*by, t, value), [*by, t])
     path = hit.groupBy("offset").agg(F.avg(value).alias("mean_value"), F.count(value).alias("n"))
     base = only_row(hit.where("offset < 0"), F.avg(value).alias("b"))
     return path.withColumn("_b", base).select("offset", "mean_value", "n", (F.col("mean_value") - F.col("_b.b")).alias("gap"))

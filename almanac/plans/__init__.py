@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-FAMILIES = ("panel",)
+FAMILIES = ("panel", "evaluation")
 
 
 def _import_all():
