@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-FAMILIES = ("panel", "evaluation")
+FAMILIES = ("panel", "evaluation", "alignment", "splitting", "matrix")
 
 
 def _import_all():
