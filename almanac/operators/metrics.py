@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .patterns import cut_points, join_same, running_sums
+from .patterns import cut_points, join_same, quantile_hits, running_sums
 
 # Bin edges as i * 0.1 in binary floating point, as the usual ten-bin grid has them.
 def bin_edges(bins: int = 10) -> list[float]:
@@ -157,9 +157,9 @@ def quantile_sweep(preds: DataFrame, by: Sequence[str], qs: Sequence[float]) ->
     """
     r = ranked(preds, by)
     last = (F.col("tot_n") - 1).cast("double")
-    inside = lambda k: (k >= F.col("cum_n") - F.col("n")) & (k <= F.col("cum_n") - 1)
-    lits = F.array(*[F.lit(float(q)) for q in qs])
-    hits = F.filter(lits, lambda q: inside(F.floor(q * last)) | inside(F.ceil(q * last)))
+    lo, hi = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+    inside = lambda k: (k >= lo) & (k <= hi)
+    hits = quantile_hits(qs, lo, hi, last)
     pos = F.col("q") * last
     row = F.struct("p", "at_n", "at_pos")
     g = r.withColumn("q", F.explode(hits)).groupBy(*by, "q").agg(

@@ -104,12 +104,6 @@ def global_index(df: DataFrame, segment_on: str, order: Sequence[Column | str],
     return res.withColumn(out, F.col("cum_one") - 1).drop("_one", "cum_one", "tot_one")
 
 
-def text_order_key(c: Column | str) -> Column:
-    """First six bytes of a string as a number: monotone in binary string order."""
-    head = F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
-
-
 def previous_value(
     df: DataFrame,
     by: Sequence[str],
@@ -138,6 +132,22 @@ def previous_value(
     return res.select(*df.columns, F.coalesce("_local", "_carry").alias(out))
 
 
+def quantile_hits(qs: Sequence[float], lo: Column, hi: Column, last: Column) -> Column:
+    """The levels whose lower or upper order statistic falls on the positions lo..hi of 0..last.
+
+    For an evenly spaced list only the levels near lo/last and hi/last are looked at.
+    """
+    lits = F.array(*[F.lit(float(q)) for q in qs])
+    m = len(qs) - 1
+    if m > 16 and all(q == i / m for i, q in enumerate(qs)):
+        at = lambda k: F.try_divide(k.cast("double") * m, last)
+        a = F.coalesce(F.greatest(F.floor(at(lo - 1)), F.lit(0)), F.lit(0))
+        b = F.coalesce(F.least(F.ceil(at(hi + 1)), F.lit(m)), F.lit(m))
+        lits = F.slice(lits, (a + 1).cast("int"), (b - a + 1).cast("int"))
+    inside = lambda k: (k >= lo) & (k <= hi)
+    return F.filter(lits, lambda q: inside(F.floor(q * last)) | inside(F.ceil(q * last)))
+
+
 def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], exact: bool = True) -> DataFrame:
     """Long table (by, q, value, n) of linearly interpolated quantiles.
 
@@ -163,10 +173,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float],
     )
     last = (F.col("n") - 1).cast("double")
     inside = lambda k: (k >= F.col("_lo")) & (k <= F.col("_hi"))
-    hits = F.filter(
-        F.array(*map(F.lit, lits)), lambda q: inside(F.floor(q * last)) | inside(F.ceil(q * last))
-    )
-    picked = ranked.withColumn("q", F.explode(hits))
+    picked = ranked.withColumn("q", F.explode(quantile_hits(lits, F.col("_lo"), F.col("_hi"), last)))
     pos = F.col("q") * last
     return (
         picked.groupBy(*by, "q")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import slug
-from ..operators import joins as jn, splits as sp, surge, timeseries as ts
+from ..operators import joins as jn, reshape as rs, splits as sp, timeseries as ts
+from ..session import materialise
 from . import base as b
 from .registry import load, query
 
@@ -63,8 +64,8 @@ awide AS (SELECT entity, year, avg(CASE WHEN var = 'A' THEN value END) AS a, avg
 
 
 def annual_wide(spark, d):
-    w = annual(spark, d).groupBy("entity", "year").pivot("var", ["A", "N", "R"]).agg(F.avg("value"))
-    return w.select("entity", "year", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
+    w = rs.pivot_mean(annual(spark, d), ["entity", "year"], "var", "value", ["A", "N", "R"])
+    return materialise(w.select("entity", "year", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r")), "annual")
 
 
 @query("c05_replicate_annual", "WITH " + b.PANEL + ", " + ANNUAL + """

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import surge, timeseries as ts
 from ..operators.patterns import micros
+from ..session import materialise
 from .registry import load
 
 
@@ -27,7 +28,8 @@ def nation_price(spark, d) -> DataFrame:
     )
     cust = load(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("entity"))
     j = per_cust.join(cust, per_cust.o_custkey == cust.c_custkey)
-    return j.groupBy("entity", "month").agg((F.sum("s") / F.sum("n")).alias("price"))
+    # The panel feeds many branches; entities x months is all that is written.
+    return materialise(j.groupBy("entity", "month").agg((F.sum("s") / F.sum("n")).alias("price")), "price")
 
 
 def panel(spark, d) -> DataFrame:
@@ -187,7 +189,7 @@ def daily(spark, d) -> DataFrame:
 
 
 def daily_panel(spark, d) -> DataFrame:
-    return ts.complete_days(daily(spark, d), ["station"])
+    return ts.complete_days(materialise(daily(spark, d), "daily"), ["station"])
 
 
 DAILY = """daily AS (

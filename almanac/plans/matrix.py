@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pairs as pr
 from ..operators.patterns import only_row
+from ..session import materialise
 from . import base as b
 from .alignment import ANNUAL, annual_wide
 from .registry import load, query
@@ -29,7 +30,7 @@ def points(spark, d):
 
 
 def pairs(spark, d):
-    return pr.pairwise_distance(points(spark, d), ["x", "y"], block=64)
+    return pr.pairwise_distance(materialise(points(spark, d), "points"), ["x", "y"], block=64)
 
 
 @query("j01_impute_median", "WITH " + b.DAILY_PANEL + """ SELECT station, day, round(coalesce(stage, (SELECT quantile_cont(stage, 0.5) FROM dpanel)), 6) AS stage,
@@ -156,7 +157,7 @@ def _(spark, d):
 SELECT i_idx, j_idx, CAST(p // 880 + 1 AS BIGINT) AS page, CAST((p % 880) // 176 + 1 AS BIGINT) AS col, CAST(p % 176 + 1 AS BIGINT) AS "row" FROM r""")
 def _(spark, d):
     p = pairs(spark, d)
-    n = only_row(points(spark, d), F.count(F.lit(1)).alias("n"))
+    n = only_row(p.where("i_idx = j_idx"), F.count(F.lit(1)).alias("n"))
     per_col = pr.lines_per_column()
     out = pr.paginate(p.select("i_idx", "j_idx").withColumn("_n", n), per_col, 5, F.col("_n.n"))
     return out.select("i_idx", "j_idx", "page", "col", "row")

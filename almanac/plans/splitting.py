@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as mt, reshape as rs, splits as sp, surge
 from ..operators.patterns import only_row
+from ..session import materialise
 from . import base as b
 from .alignment import samples
 from .registry import load, query
@@ -15,7 +16,7 @@ R = lambda c, n=6: F.round(c, n)
 
 def labelled(spark, d, horizons=(1, 3)):
     """Long samples: entity, t_end, month, horizon, y, m."""
-    lab = b.onset_labels(spark, d, (1.0,), horizons)
+    lab = materialise(b.onset_labels(spark, d, (1.0,), horizons), "labels")
     return lab.where("t >= 12").select("entity", F.col("t").alias("t_end"), "month", "horizon", "y", "m")
 
 
@@ -77,7 +78,7 @@ def _(spark, d):
     wf = sp.walk_forward(lab.withColumn("_top", top), F.col("_top.t"), 3, F.lit(40), stride=6)
     past = wf.where("role = 'train'").groupBy("origin", "entity", "horizon").agg(F.avg("y").alias("y_prob"))
     now = wf.where("role = 'score'").select("origin", "entity", "horizon", F.col("y").alias("y_true"), F.col("m").alias("y_mask"))
-    p = now.join(past, ["origin", "entity", "horizon"])
+    p = materialise(now.join(past, ["origin", "entity", "horizon"]), "origin_scores")
     keys = ["origin", "horizon"]
     m = mt.metric_table(p, keys)
     return m.join(mt.budget_metrics(p, keys, 0.1), keys)
