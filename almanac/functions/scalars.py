@@ -187,8 +187,8 @@ def gate(values: Column | str, missing: Column | str, enc: Column | str) -> Colu
 
 
 def clamp(p: Column | str, eps: float = 1e-6) -> Column:
-    """B15."""
-    return F.least(F.greatest(col(p), F.lit(eps)), F.lit(1 - eps))
+    """B15; null stays null (``least`` and ``greatest`` would skip it)."""
+    return F.when(col(p).isNotNull(), F.least(F.greatest(col(p), F.lit(eps)), F.lit(1 - eps)))
 
 
 def logit(p: Column | str, eps: float = 1e-6) -> Column:
@@ -226,7 +226,7 @@ def focal(y: Column | str, p: Column | str, alpha: float = 0.25, gamma: float =
 
 def pinball(y: Column | str, q: Column | str, tau: float | Column) -> Column:
     """Pinball loss at level tau."""
-    e = col(y) - col(q)
+    e = col(y) - col(q)  # null on either side gives null in both branches below
     t = tau if isinstance(tau, Column) else F.lit(float(tau))
     return F.greatest(t * e, (t - 1) * e)
 

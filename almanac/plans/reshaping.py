@@ -10,6 +10,7 @@ from ..operators.patterns import quantiles_wide
 from ..session import materialise
 from . import base as b
 from .alignment import ANNUAL, MICRO, annual, micro
+from .evaluation import MET, four, metrics_sql, valid_sql
 from .registry import load, query
 
 R = lambda c, n=6: F.round(c, n)
@@ -225,10 +226,12 @@ def _(spark, d):
     return cb.to_sparse(b.cells(spark, d), ["A", "R"])
 
 
-@query("f04_to_dense", C + """, m AS (SELECT DISTINCT month FROM cells WHERE x < 8 AND y < 8), g AS (SELECT month, c, y, x FROM m, (VALUES ('A'), ('N'), ('R')) k(c), range(8) a(y), range(8) b(x))
-SELECT g.month, g.c, CAST(g.y AS INTEGER) AS y, CAST(g.x AS INTEGER) AS x, coalesce(v, 0) AS v FROM g LEFT JOIN cells s ON s.month = g.month AND s.c = g.c AND s.y = g.y AND s.x = g.x""")
+@query("f04_to_dense", C + """, m AS (SELECT DISTINCT month FROM cells), g AS (SELECT month, c, y, x FROM m, (VALUES ('A'), ('N'), ('R')) k(c), range(64) a(y), range(64) b(x)),
+d AS (SELECT g.*, coalesce(v, 0) AS v FROM g LEFT JOIN cells s ON s.month = g.month AND s.c = g.c AND s.y = g.y AND s.x = g.x)
+SELECT month, c, CAST(y AS INTEGER) AS y, count(*) AS n, CAST(sum(CAST(v = 0 AS INTEGER)) AS BIGINT) AS zeros, sum(v) AS total FROM d GROUP BY 1, 2, 3""")
 def _(spark, d):
-    return cb.to_dense(materialise(b.cells(spark, d).where("x < 8 AND y < 8"), "cells"), ["A", "N", "R"], 8, 8)
+    dense = cb.to_dense(materialise(b.cells(spark, d), "cells"), ["A", "N", "R"], 64, 64)
+    return dense.groupBy("month", "c", "y").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("v") == 0).cast("bigint")).alias("zeros"), F.sum("v").alias("total"))
 
 
 @query("f05_any_active", C + " SELECT month, y, x, max(CAST(v > 0 AS INTEGER)) AS active FROM cells GROUP BY 1, 2, 3")
@@ -266,8 +269,8 @@ def _(spark, d):
 
 
 @query("f10_ping_density", """WITH p AS (SELECT event_type AS cls, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(floor(value / 25.0) AS INTEGER) AS cx, CAST(floor((event_id % 97) / 25.0) AS INTEGER) AS cy,
-  least((epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 3.6e9::DOUBLE, 6) AS h FROM events)
-SELECT month, cls, cy, cx, round(sum(h), 6) AS hours FROM p WHERE h IS NOT NULL GROUP BY 1, 2, 3, 4""")
+  (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 3.6e9::DOUBLE AS h FROM events)
+SELECT month, cls, cy, cx, round(sum(least(h, 6)), 6) AS hours FROM p WHERE h IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def _(spark, d):
     e = b.events(spark, d)
     p = e.select(F.col("station").alias("vessel"), "us", F.col("event_id").alias("ping_id"), b.month("ts").alias("month"),
@@ -275,10 +278,10 @@ def _(spark, d):
     return cb.ping_density(p, 25.0, 6.0).withColumn("hours", R("hours"))
 
 
-@query("o06_top_by_auprc", None)
+@query("o06_top_by_auprc", valid_sql(True) + metrics_sql(["entity"]) + f" SELECT entity, n, pos, {MET} FROM met ORDER BY met.auprc DESC, entity LIMIT 15")
 def _(spark, d):
     m = mt.metric_table(b.preds(spark, d, True), ["entity"])
-    return rs.top_by(m, "auprc", 15, "entity")
+    return four(rs.top_by(m, "auprc", 15, "entity"))
 
 
 @query("k04_coverage", "WITH " + b.DAILY_PANEL + """, n AS (SELECT count(DISTINCT day) AS m FROM dpanel)

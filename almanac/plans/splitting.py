@@ -9,6 +9,7 @@ from ..operators.patterns import only_row
 from ..session import materialise
 from . import base as b
 from .alignment import samples
+from .evaluation import BC, MET, budget_sql, four, metrics_sql
 from .registry import load, query
 
 R = lambda c, n=6: F.round(c, n)
@@ -70,9 +71,14 @@ def _(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum("m").cast("bigint").alias("valid"), F.sum(F.col("y") * F.col("m")).cast("bigint").alias("pos"))
 
 
-@query("h11_metrics_by_origin", None)
+@query("h11_metrics_by_origin", LAB + """,
+o AS (SELECT unnest(generate_series(40, (SELECT max(t) FROM panel), 6)) AS origin),
+past AS (SELECT origin, entity, horizon, avg(y) AS y_prob FROM lab, o WHERE t_end + 3 <= origin GROUP BY 1, 2, 3),
+v AS (SELECT p.origin, p.entity, p.horizon, y AS y_true, y_prob FROM lab l JOIN past p ON p.entity = l.entity AND p.horizon = l.horizon AND l.t_end = p.origin WHERE m = 1)"""
+       + metrics_sql(["origin", "horizon"]) + budget_sql(["origin", "horizon"], [0.1])
+       + f""" SELECT CAST(met.origin AS INTEGER) AS origin, met.horizon, n, pos, {MET}, {BC} FROM met JOIN bc ON bc.origin = met.origin AND bc.horizon = met.horizon""")
 def _(spark, d):
-    """Scores at each walk-forward origin against the prevalence score of the months before it."""
+    """Scores at each walk-forward origin: an entity's own event rate in the months before it."""
     lab = labelled(spark, d)
     top = only_row(b.panel(spark, d), F.max("t").alias("t"))
     wf = sp.walk_forward(lab.withColumn("_top", top), F.col("_top.t"), 3, F.lit(40), stride=6)
@@ -80,8 +86,8 @@ def _(spark, d):
     now = wf.where("role = 'score'").select("origin", "entity", "horizon", F.col("y").alias("y_true"), F.col("m").alias("y_mask"))
     p = materialise(now.join(past, ["origin", "entity", "horizon"]), "origin_scores")
     keys = ["origin", "horizon"]
-    m = mt.metric_table(p, keys)
-    return m.join(mt.budget_metrics(p, keys, 0.1), keys)
+    out = four(mt.metric_table(p, keys)).join(mt.budget_metrics(p, keys, 0.1), keys)
+    return out.withColumns({c: R(c) for c in ("thr", "hit", "fa_per_100")})
 
 
 @query("g06_mask_policy", LAB + """ SELECT entity, t_end FROM lab GROUP BY 1, 2 HAVING min(m) = 1""")
