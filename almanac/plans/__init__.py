@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-FAMILIES = ("panel", "evaluation", "alignment", "splitting", "matrix", "sources", "reshaping", "scalars", "quality")
+FAMILIES = ("panel", "evaluation", "alignment", "splitting", "matrix", "sources", "reshaping", "scalars", "quality", "rivers", "streams")
 
 
 def _import_all():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pairs as pr
-from ..operators.patterns import only_row
+from ..operators.patterns import global_index, only_row
 from ..session import materialise
 from . import base as b
 from .alignment import ANNUAL, annual_wide
@@ -167,3 +167,14 @@ def _(spark, d):
 SELECT labels, lines, CAST(greatest(ceil(lines / 880.0), 1) AS BIGINT) AS pages, CAST(ceil(lines / 880.0) > 4 AS INTEGER) AS capped FROM e""")
 def _(spark, d):
     return pr.estimate_export(pairs(spark, d), 880, "stride", 3, 4)
+
+
+@query("c12_theta_self_join", PAIRS + " SELECT i_idx, count(*) AS partners, round(max(distance), 6) AS farthest FROM pairs GROUP BY 1")
+def _(spark, d):
+    return pairs(spark, d).groupBy("i_idx").agg(F.count(F.lit(1)).alias("partners"), R(F.max("distance")).alias("farthest"))
+
+
+@query("e25_global_index", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS idx FROM orders")
+def _(spark, d):
+    o = load(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return global_index(o, "o_totalprice", ["o_totalprice", "o_orderkey"]).select("o_orderkey", "idx")

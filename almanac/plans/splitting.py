@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics as mt, reshape as rs, splits as sp, surge
+from ..functions import scalars as sc
+from ..operators import cube as cb, decide, joins as jn, metrics as mt, splits as sp, surge
 from ..operators.patterns import only_row
 from ..session import materialise
 from . import base as b
-from .alignment import samples
+from .alignment import annual_wide, samples
 from .evaluation import BC, MET, budget_sql, four, metrics_sql
 from .registry import load, query
 
@@ -195,3 +196,29 @@ def _(spark, d):
 @query("d09_positive_counts", LAB + " SELECT entity, horizon, sum(m)::BIGINT AS valid, sum(y * m)::BIGINT AS pos FROM lab GROUP BY 1, 2")
 def _(spark, d):
     return sp.pos_counts(labelled(spark, d), ["entity", "horizon"])
+
+
+@query("d06_label_stats", LAB + """ SELECT horizon, CAST(year(month) AS INTEGER) AS year, sum(m)::BIGINT AS valid, sum(y * m)::BIGINT AS positives, round(sum(y * m) / greatest(sum(m), 1)::DOUBLE, 6) AS pos_rate FROM lab GROUP BY 1, 2""")
+def _(spark, d):
+    out = surge.label_stats(labelled(spark, d).withColumn("year", F.year("month")), ["horizon", "year"])
+    return out.withColumn("pos_rate", R("pos_rate"))
+
+
+def surge_rows(spark, d):
+    """Training rows of the surge classifier: tile vector of the month, gated statics, month code, entity."""
+    lab = labelled(spark, d).where("horizon = 3")
+    w = sp.class_weights(lab.where("m = 1")).select("entity", "t_end", "month", "y", "w")
+    tiles = cb.tile_vector(cb.tile_mean(b.cells(spark, d), 64, 64, 32)).withColumn("dynamic", F.transform("vec", lambda x: F.log1p(x)))
+    tiles = tiles.where(F.size("dynamic") == only_row(tiles, F.max(F.size("dynamic")).alias("n"))["n"])
+    stat = jn.replicate_annual(annual_wide(spark, d), w, ["entity"])
+    vals = F.array(*[sc.signed_log1p(c) for c in ("a", "n", "r")])
+    miss = F.array(*[F.col(c).isNull().cast("double") for c in ("a", "n", "r")])
+    return stat.join(tiles.select("month", "dynamic"), "month").select(
+        "entity", "t_end", "y", "w", "dynamic", sc.gate(vals, miss, sc.month_enc("month")).alias("static"))
+
+
+@query("i15_surge_model")
+def _(spark, d):
+    rows = materialise(surge_rows(spark, d), "surge_rows")
+    _, scored = decide.fit_surge_model(rows, ["dynamic", "static"], "y", "w", "entity")
+    return scored.select("entity", "t_end", "y", "w", "y_prob")

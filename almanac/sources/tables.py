@@ -113,9 +113,13 @@ def refine(bronze: DataFrame, keys: Sequence[str]) -> DataFrame:
     return dedupe(newest, keys, ["_o"]).select(*keys, *rest)
 
 
-def stream_files(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", per_trigger: int = 16, glob: str | None = None) -> DataFrame:
-    """File stream with a fixed schema and a bounded number of files per batch."""
-    r = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", per_trigger)
+def stream_files(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", per_trigger: int | None = 16, glob: str | None = None) -> DataFrame:
+    """File stream with a fixed schema and a bounded number of files per batch.
+
+    Files are not ordered in time: with a watermark, replay an archive with ``per_trigger=None``.
+    """
+    r = spark.readStream.schema(schema).format(fmt)
+    r = r.option("maxFilesPerTrigger", per_trigger) if per_trigger else r
     return (r.option("pathGlobFilter", glob) if glob else r).load(path)
 
 
