@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 from .timeseries import label_exact, label_window, log_growth, min_duration, onsets, over, pct_change
 
 EPS = 1e-6
+FLAT = 1e-9  # a deviation this small is rounding noise of equal values, hence zero
 
 
 def seasonal_baseline(df: DataFrame, values: Sequence[str], by: Sequence[str], month: str = "month") -> DataFrame:
@@ -41,7 +42,7 @@ def ifpa_fixed(
         "cq": log_growth(price, 3, by, month), "ca": log_growth(price, 12, by, month), "moy": F.month(month),
     })
     g = g.join(stats, [*by, "moy"], "left")
-    floor = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(EPS)
+    floor = lambda c: F.when(F.col(c) > FLAT, F.col(c)).otherwise(EPS)
     part = lambda v: (F.col(v) - F.coalesce(F.col(f"mu_{v}"), F.lit(0.0))) / floor(f"sd_{v}")
     z = gamma * part("cq") + (1 - gamma) * part("ca")
     return g.withColumn("z", z).drop("mu_cq", "sd_cq", "mu_ca", "sd_ca", "moy")
@@ -58,7 +59,7 @@ def ifpa_trailing(
     def part(v, least):
         enough = F.count(v).over(w) >= max(least, size // 6)
         sd = F.stddev_pop(v).over(w)
-        return F.when(enough & (sd > 0), (F.col(v) - F.avg(v).over(w)) / sd)
+        return F.when(enough & (sd > FLAT), (F.col(v) - F.avg(v).over(w)) / sd)
 
     return g.withColumn("z", gamma * part("cq", 6) + (1 - gamma) * part("ca", 12))
 
@@ -68,7 +69,7 @@ def surge_rolling(df, by, price="price", month="month", k: int = 6, min_obs: int
     g = df.withColumn("mom", pct_change(price, by, month))
     w = over(by, month).rowsBetween(-k, -1)
     sd = F.stddev_pop("mom").over(w)
-    ok = (F.count("mom").over(w) >= min_obs) & (sd > 0)
+    ok = (F.count("mom").over(w) >= min_obs) & (sd > FLAT)
     return g.withColumn("z", F.when(ok, (F.col("mom") - F.avg("mom").over(w)) / sd))
 
 

@@ -72,8 +72,8 @@ bgrow AS (SELECT entity, month, ln(price / lag(price, 3) OVER w) AS cq, ln(price
           FROM panel WHERE year(month) BETWEEN 1995 AND 1998 WINDOW w AS (PARTITION BY entity ORDER BY month)),
 base AS (SELECT entity, month(month) AS moy, avg(cq) AS mu_cq, stddev_pop(cq) AS sd_cq, avg(ca) AS mu_ca, stddev_pop(ca) AS sd_ca
          FROM bgrow GROUP BY 1, 2),
-scored AS (SELECT g.*, 0.6::DOUBLE * ((cq - coalesce(mu_cq, 0)) / (CASE WHEN sd_cq > 0 THEN sd_cq ELSE 1e-6 END))
-                     + 0.4::DOUBLE * ((ca - coalesce(mu_ca, 0)) / (CASE WHEN sd_ca > 0 THEN sd_ca ELSE 1e-6 END)) AS z
+scored AS (SELECT g.*, 0.6::DOUBLE * ((cq - coalesce(mu_cq, 0)) / (CASE WHEN sd_cq > 1e-9 THEN sd_cq ELSE 1e-6 END))
+                     + 0.4::DOUBLE * ((ca - coalesce(mu_ca, 0)) / (CASE WHEN sd_ca > 1e-9 THEN sd_ca ELSE 1e-6 END)) AS z
            FROM growth g LEFT JOIN base b ON b.entity = g.entity AND b.moy = month(g.month))"""
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F, Window
 
 from ..operators import surge, timeseries as ts
 from . import base as b
-from .registry import query
+from ..session import materialise
+from .registry import load, query
 
 R = lambda c, n=6: F.round(c, n)
 
@@ -20,6 +21,25 @@ def _(spark, d):
     return surge.label_stats(lab, ["horizon", "year"]).withColumn("pos_rate", R("pos_rate"))
 
 
+CUST = "WITH RECURSIVE " + b.onset_labels_sql((1.1,)).replace(b.PRICE, """price AS (
+  SELECT o_custkey AS entity, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) AS price FROM orders GROUP BY 1, 2)""")
+
+
+@query("flagship_customer_label_stats", CUST + """
+SELECT horizon, CAST(year(month) AS INTEGER) AS year, CAST(sum(m) AS BIGINT) AS valid, CAST(sum(y * m) AS BIGINT) AS positives,
+       round(sum(y * m) / greatest(sum(m), 1)::DOUBLE, 6) AS pos_rate
+FROM labels_h GROUP BY 1, 2""")
+def _(spark, d):
+    """The same chain with every customer as an entity: the panel grows with the customer table."""
+    o = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("entity"), b.month("o_orderdate").alias("month")).agg(F.avg("o_totalprice").alias("raw"))
+    p = ts.complete_months(materialise(o, "customer-price"), ["entity"])
+    p = p.withColumn("price", ts.ffill("raw", "entity", "month"))
+    z = surge.ifpa_fixed(p, ["entity"], gamma=0.6, y0=1995, y1=1998)
+    # Two observations per calendar month give scores of exactly 1, so the threshold lies beside it.
+    lab = surge.make_labels(surge.flag_family(z, [1.1]), ["entity", "thr"], "t", [1, 3], timing="onset", refractory=2)
+    return surge.label_stats(lab.withColumn("year", F.year("month")), ["horizon", "year"]).withColumn("pos_rate", R("pos_rate"))
+
+
 @query("c04_complete_months", "WITH " + b.PANEL + " SELECT entity, month, t, round(raw, 6) AS raw, round(price, 6) AS price FROM panel")
 def _(spark, d):
     return b.panel(spark, d).select("entity", "month", "t", R("raw", 6).alias("raw"), R("price", 6).alias("price"))
@@ -60,7 +80,7 @@ tr AS (SELECT entity, t, cq, ca, count(cq) OVER w AS nq, avg(cq) OVER w AS mq, s
 
 
 @query("e04_ifpa_trailing", "WITH " + TRAILING + """ SELECT entity, t, round(
-  0.4::DOUBLE * (CASE WHEN nq >= 6 AND sq > 0 THEN (cq - mq) / sq END) + 0.6::DOUBLE * (CASE WHEN na >= 12 AND sa > 0 THEN (ca - ma) / sa END), 5) AS z FROM tr""")
+  0.4::DOUBLE * (CASE WHEN nq >= 6 AND sq > 1e-9 THEN (cq - mq) / sq END) + 0.6::DOUBLE * (CASE WHEN na >= 12 AND sa > 1e-9 THEN (ca - ma) / sa END), 5) AS z FROM tr""")
 def _(spark, d):
     return surge.ifpa_trailing(b.panel(spark, d), ["entity"], gamma=0.4, years=2).select("entity", "t", R("z", 5).alias("z"))
 
@@ -76,7 +96,7 @@ def _(spark, d):
 @query("e06_surge_rolling", "WITH " + MOM + """,
 r AS (SELECT entity, t, mom, count(mom) OVER w AS n, avg(mom) OVER w AS mu, stddev_pop(mom) OVER w AS sd FROM mom
       WINDOW w AS (PARTITION BY entity ORDER BY month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
-z AS (SELECT entity, t, CASE WHEN n >= 3 AND sd > 0 THEN (mom - mu) / sd END AS z FROM r)
+z AS (SELECT entity, t, CASE WHEN n >= 3 AND sd > 1e-9 THEN (mom - mu) / sd END AS z FROM r)
 SELECT entity, t, round(z, 5) AS z, CAST(coalesce(z > 1.3, false) AS INTEGER) AS flag, CAST(z IS NOT NULL AS INTEGER) AS valid FROM z""")
 def _(spark, d):
     s = surge.surge_rolling(b.panel(spark, d), ["entity"])

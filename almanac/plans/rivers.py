@@ -38,7 +38,7 @@ def _(spark, d):
 
 def trade_edges(spark, d):
     """Supplier nation to customer nation, weight = shipped quantity; each step pre-aggregated."""
-    per = load(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("q"))
+    per = load(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_quantity").alias("q"))
     s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("src"))
     by_src = per.join(s, "l_suppkey").groupBy("l_orderkey", "src").agg(F.sum("q").alias("q"))
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
