@@ -130,7 +130,7 @@ def asof_join(
 
 
 def nearest_join(obs: DataFrame, assets: DataFrame, on: str, key: str, asset_key: str, by: Sequence[str] = ()) -> DataFrame:
-    """Nearest asset along a one-dimensional position (ties: the lower position, then key).
+    """Nearest asset along a one-dimensional position (ties up to 1e-9: the lower position, then key).
 
     The nearest one is the closest below or the closest above, each found by a segmented
     look-back, so no distance limit and no pairing of all rows is needed.
@@ -143,7 +143,7 @@ def nearest_join(obs: DataFrame, assets: DataFrame, on: str, key: str, asset_key
     down = previous_value(both, by, "_x", ["_x", "_side", "_id"], "_a", "_below", inclusive=True)
     up = previous_value(down, by, "_neg", ["_neg", "_side", "_id"], "_a", "_above", inclusive=True).where("_side = 1")
     d0, d1 = F.col("_x") - F.col("_below.pos"), F.col("_above.pos") - F.col("_x")
-    pick = F.when(d1.isNull() | (d0 <= d1), F.col("_below")).otherwise(F.col("_above"))
+    pick = F.when(d1.isNull() | (d0 - d1 <= 1e-9), F.col("_below")).otherwise(F.col("_above"))
     return up.withColumn("_n", pick).select("_l.*", F.col("_n.key").alias("nearest"), F.abs(F.col("_x") - F.col("_n.pos")).alias("distance"))
 
 

@@ -124,7 +124,7 @@ def _(spark, d):
 def _(spark, d):
     from ..streaming.run import replay
 
-    s = src.stream_files(spark, d, load(spark, d, "events").schema, glob="events.parquet")
+    s = src.stream_files(spark, src.table_path(d, "events"), load(spark, d, "events").schema)
     return replay(s).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), R(F.sum("value"), 4).alias("total"))
 
 

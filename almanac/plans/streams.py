@@ -8,7 +8,7 @@ from ..functions.scalars import theta
 from ..operators import joins as jn, reshape as rs
 from ..operators.patterns import micros
 from ..session import new_path
-from ..sources.tables import stream_files
+from ..sources.tables import stream_files, table_path
 from ..streaming import decisions as dc, lexicon as lx, operators as st
 from ..streaming.run import replay
 from . import base as b
@@ -19,7 +19,7 @@ R = lambda c, n=6: F.round(c, n)
 
 def stream(spark, d):
     """The event table as a stream; all files present form the replay."""
-    s = stream_files(spark, d, load(spark, d, "events").schema, glob="events.parquet", per_trigger=None)
+    s = stream_files(spark, table_path(d, "events"), load(spark, d, "events").schema, per_trigger=None)
     return s.withColumn("ts", F.col("ts").cast("timestamp")).withColumnRenamed("user_id", "station").withColumn("us", micros("ts"))
 
 

@@ -123,6 +123,11 @@ def stream_files(spark: SparkSession, path: str, schema: StructType | str, fmt:
     return (r.option("pathGlobFilter", glob) if glob else r).load(path)
 
 
+def table_path(d: str, table: str) -> str:
+    """Stream path of a table stored as one file or as a folder of files (a pattern matches either)."""
+    return f"{d}/{table}.parque[t]"
+
+
 def export_topk(neighbours: DataFrame, path: str) -> None:
     """Neighbour table for spreadsheets."""
     write_csv(neighbours, path)
