@@ -18,7 +18,7 @@ zs AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(r) AS mr, stddev_pop(r) AS
 points AS (SELECT entity, year, entity || '-' || year AS label, row_number() OVER (ORDER BY entity, year) - 1 AS idx, (coalesce(a, 0) - ma) / sa AS x, (coalesce(r, 0) - mr) / sr AS y FROM awide, zs)"""
 PAIRS = "WITH " + POINTS + """,
 pairs AS (SELECT i.idx AS i_idx, j.idx AS j_idx, i.label AS i_label, j.label AS j_label, i.entity AS i_country, j.entity AS j_country, i.year AS i_year, j.year AS j_year,
-  sqrt((i.x - j.x) ** 2 + (i.y - j.y) ** 2) AS distance FROM points i JOIN points j ON i.idx <= j.idx),
+  round(sqrt((i.x - j.x) ** 2 + (i.y - j.y) ** 2), 10) AS distance FROM points i JOIN points j ON i.idx <= j.idx),
 mir AS (SELECT i_label AS node, j_label AS other, i_country AS country, i_year AS year, j_year AS other_year, distance FROM pairs
         UNION ALL SELECT j_label, i_label, j_country, j_year, i_year, distance FROM pairs WHERE i_idx <> j_idx)"""
 
@@ -30,7 +30,8 @@ def points(spark, d):
 
 
 def pairs(spark, d):
-    return pr.pairwise_distance(materialise(points(spark, d), "points"), ["x", "y"], block=64)
+    p = pr.pairwise_distance(materialise(points(spark, d), "points"), ["x", "y"], block=64)
+    return p.withColumn("distance", R("distance", 10))  # equal distances stay equal in every engine
 
 
 @query("j01_impute_median", "WITH " + b.DAILY_PANEL + """ SELECT station, day, round(coalesce(stage, (SELECT quantile_cont(stage, 0.5) FROM dpanel)), 6) AS stage,
