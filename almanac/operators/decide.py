@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions.scalars import clamp, logit, sigmoid
 from .metrics import budget_thresholds, observed, quantile_sweep
-from .patterns import join_same, quantiles
+from .patterns import join_same, join_small, quantiles
 
 CANDIDATES = [i / 199 for i in range(200)]
 
@@ -65,7 +65,7 @@ def select_thresholds(preds: DataFrame, by: Sequence[str], policy: str = "budget
 
 def alerts(preds: DataFrame, thresholds: DataFrame, by: Sequence[str]) -> DataFrame:
     """Alert flag from thresholds fixed beforehand."""
-    return join_same(preds, thresholds, by).withColumn("alert", (F.col("y_prob") >= F.col("thr")).cast("int"))
+    return join_small(preds, thresholds, by, "inner").withColumn("alert", (F.col("y_prob") >= F.col("thr")).cast("int"))
 
 
 # --- calibration ---------------------------------------------------------------------------

@@ -17,6 +17,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from ..session import materialise
+
 SEG = "_seg"
 
 
@@ -53,6 +55,18 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(r, cond, how).drop(*tmp.values())
 
 
+def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", limit: int = 100_000) -> DataFrame:
+    """Join raw rows to a derived table that is usually short (thresholds, per-variable statistics).
+
+    The derived table is written once and its rows are counted: up to ``limit`` it is broadcast,
+    so a few hot keys never gather the raw rows in a few tasks; beyond that the plain (skew-aware)
+    join applies.
+    """
+    table = materialise(small, "small")
+    hint = F.broadcast(table) if table.count() <= limit else table
+    return join_same(big, hint, keys, how)
+
+
 def running_sums(
     df: DataFrame,
     by: Sequence[str],

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .patterns import join_same, only_row, quantiles_wide
+from .patterns import join_same, join_small, only_row, quantiles_wide
 
 
 def pivot_mean(df: DataFrame, keys: Sequence[str], col: str, value: str, names: Sequence) -> DataFrame:
@@ -57,7 +57,7 @@ class Scaler:
     def transform(self, df: DataFrame, by: Sequence[str] = (), order: str | None = None, out: str = "scaled") -> DataFrame:
         v = F.col(self.value)
         if self.stats is not None:
-            j = join_same(df, self.stats, [self.var], "left")
+            j = join_small(df, self.stats, [self.var])
             return j.withColumn(out, (v - F.col("_c")) / F.col("_s")).drop("_c", "_s")
         if self.mode == "log":
             return df.withColumn(out, F.log1p(v))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import decide, metrics as mt, surge, timeseries as ts
-from ..operators.patterns import only_row
 from . import base as b
 from .registry import load, query
 

@@ -15,7 +15,14 @@ def query(name: str, sql: str | None = None):
 
     def wrap(fn):
         assert name not in QUERIES, name
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # The tables hold zone-less timestamps; epochs and calendar days are meant in UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

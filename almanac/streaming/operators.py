@@ -25,7 +25,11 @@ def slide(stream: DataFrame, ts: str, size: str, step: str, watermark: str, by:
 
 
 def sessions(stream: DataFrame, ts: str, gap: str, watermark: str, by: Sequence[str], **aggs: Column) -> DataFrame:
-    """Item collection until nothing arrives for ``gap``."""
+    """Item collection until nothing arrives for ``gap``.
+
+    Sessions are merged inside each task before the shuffle, which thins out a hot key.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     g = stream.withWatermark(ts, watermark).groupBy(F.session_window(ts, gap).alias("s"), *by).agg(*[c.alias(k) for k, c in aggs.items()])
     return g.select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), *by, *aggs)
 
