@@ -98,6 +98,21 @@ class Platt:
         return sigmoid(F.lit(float(self.model.coefficients[0])) * x + F.lit(float(self.model.intercept)))
 
 
+def _piecewise(c: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
+    """Linear between the knots, constant beyond them: a balanced tree of comparisons, log(n) per row."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            slope = (ys[hi] - ys[lo]) / (xs[hi] - xs[lo]) if xs[hi] > xs[lo] else 0.0
+            return F.lit(ys[lo]) + (c - F.lit(xs[lo])) * F.lit(slope)
+        mid = (lo + hi) // 2
+        return F.when(c < F.lit(xs[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
+
+    if len(xs) == 1:
+        return F.when(c.isNotNull(), F.lit(ys[0]))
+    return F.when(c <= F.lit(xs[0]), F.lit(ys[0])).when(c >= F.lit(xs[-1]), F.lit(ys[-1])).when(c.isNotNull(), tree(0, len(xs) - 1))
+
+
 class Isotonic:
     """Monotone recalibration, constant beyond the fitted range.
 
@@ -122,14 +137,7 @@ class Isotonic:
         c = F.col(p) if isinstance(p, str) else p
         if not self.points:
             return c
-        xs, ys = self.points
-        x, y = F.array(*map(F.lit, xs)), F.array(*map(F.lit, ys))
-        k = F.size(F.filter(x, lambda b: b <= c))
-        x0, x1 = F.try_element_at(x, F.greatest(k, F.lit(1))), F.try_element_at(x, F.least(k + 1, F.lit(len(xs))))
-        y0, y1 = F.try_element_at(y, F.greatest(k, F.lit(1))), F.try_element_at(y, F.least(k + 1, F.lit(len(xs))))
-        return F.when(k == 0, F.lit(ys[0])).when(k >= len(xs), F.lit(ys[-1])).otherwise(
-            y0 + (y1 - y0) * F.coalesce(F.try_divide(c - x0, x1 - x0), F.lit(0.0))
-        )
+        return _piecewise(c, *self.points)
 
 
 class Identity:

@@ -101,9 +101,9 @@ def audit_columns(eps: float) -> list[Column]:
     ]
 
 
-def matrix_audit(pairs: DataFrame, eps: float = 1e-12) -> DataFrame:
+def matrix_audit(pairs: DataFrame, eps: float = 1e-12, extra: Sequence[Column] = ()) -> DataFrame:
     """All counters in one aggregation; ``complete`` compares the rows with n(n+1)/2."""
-    a = pairs.agg(*audit_columns(eps))
+    a = pairs.agg(*audit_columns(eps), *extra)
     return a.withColumn("expected", (F.col("diag") * (F.col("diag") + 1) / 2).cast("bigint")).withColumn(
         "complete", (F.col("total") == F.col("expected")).cast("int"))
 
@@ -125,12 +125,12 @@ def quantile_profile(pairs: DataFrame, qs: Sequence[float] = QS, exact: bool = T
 
 
 def audit_pairs(pairs: DataFrame, eps: float = 1e-12, qs: Sequence[float] = QS) -> DataFrame:
-    """Counters, moments and quantiles as key/value rows."""
-    a = matrix_audit(pairs, eps)
-    m = moments(pairs).select(F.col("mean").alias("mean"), F.col("sd").alias("std"))
+    """Counters, moments (one aggregation) and quantiles as key/value rows."""
+    off = F.when(F.col("i_idx") != F.col("j_idx"), F.col("distance"))
+    a = matrix_audit(pairs, eps, [F.avg(off).alias("mean"), F.stddev_pop(off).alias("std")])
     kv = lambda df: df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in df.columns])))
     q = quantile_profile(pairs, qs).select(F.format_string("%s_p%s", "part", (F.col("q") * 100).cast("int")).alias("key"), "value")
-    return kv(a).unionByName(kv(m)).unionByName(q)
+    return kv(a).unionByName(q)
 
 
 def mean_same_period(pairs: DataFrame) -> DataFrame:

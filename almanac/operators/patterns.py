@@ -38,11 +38,12 @@ def cut_points(df: DataFrame, on: str, n: int | None = None) -> list[float]:
 
 
 def with_segment(df: DataFrame, on: str, cuts: Sequence[float], out: str = SEG) -> DataFrame:
-    """Add the segment ordinal of ``on`` (binary search over the literal cuts)."""
+    """Add the segment ordinal of ``on`` (binary search over the literal cuts); nulls come first, NaN last."""
     if not cuts:
-        return df.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.when(F.col(on).isNull(), -1.0).otherwise(0.0))
     splits = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=splits, inputCol=on, outputCol=out, handleInvalid="keep").transform(df)
+    seg = Bucketizer(splits=splits, inputCol=on, outputCol=out, handleInvalid="keep").transform(df)
+    return seg.withColumn(out, F.coalesce(out, F.lit(-1.0)))
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from .metrics import bootstrap_ci, observed, ranked
-from .patterns import cut_points, join_same, only_row, quantiles, running_sums
+from .patterns import cut_points, join_same, join_small, only_row, quantiles, running_sums
 
 
 def _as_scores(df: DataFrame, conf: str, err: str, by: Sequence[str]) -> DataFrame:
@@ -150,16 +150,20 @@ def influence(train: DataFrame, val: DataFrame, sample: str = "sample") -> DataF
     train and validation samples are never paired.
     """
     v = sum_vectors(val, ["checkpoint"], "g", "_vg")
-    j = train.join(F.broadcast(v), "checkpoint")
+    j = join_small(train, v, ["checkpoint"], "inner")
     return j.groupBy(sample).agg(F.sum(F.col("lr") * dot("g", "_vg")).alias("influence"))
 
 
-def project(vec: Column | str, dim: int, k: int, seed: int = 0) -> Column:
-    """K random +-1 projections scaled by 1/sqrt(k); the signs depend on the seed only."""
+def projection_signs(dim: int, k: int, seed: int = 0) -> list[list[float]]:
+    """k rows of random signs that depend on the seed only."""
     rng = random.Random(seed)
-    rows = [[1.0 if rng.random() < 0.5 else -1.0 for _ in range(dim)] for _ in range(k)]
+    return [[1.0 if rng.random() < 0.5 else -1.0 for _ in range(dim)] for _ in range(k)]
+
+
+def project(vec: Column | str, dim: int, k: int, seed: int = 0) -> Column:
+    """K random +-1 projections scaled by 1 / sqrt(k)."""
     scale = 1.0 / math.sqrt(k)
-    return F.array(*[dot(vec, F.array(*map(F.lit, r))) * scale for r in rows])
+    return F.array(*[dot(vec, F.array(*map(F.lit, r))) * scale for r in projection_signs(dim, k, seed)])
 
 
 def curate(df: DataFrame, score: str, share: float, mode: str = "drop", weight: float = 0.5) -> DataFrame:

@@ -338,11 +338,20 @@ def _(spark, d):
     return out.select("sample", "horizon", "y_prob", "y_cal")
 
 
-@query("i07_isotonic")
+# The largest lower mean over starts of the smallest mean over ends is the monotone fit.
+@query("i07_isotonic", valid_sql() + """, x AS (SELECT horizon, y_prob AS p, avg(y_true) AS y, count(*) AS w FROM v WHERE split = 'val' GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY p) AS i, sum(w * y) OVER (PARTITION BY horizon ORDER BY p) AS cy, sum(w) OVER (PARTITION BY horizon ORDER BY p) AS cw FROM x),
+ab AS (SELECT a.horizon, a.i AS ai, b.i AS bi, (b.cy - a.cy + a.w * a.y) / (b.cw - a.cw + a.w) AS m FROM k a JOIN k b ON b.horizon = a.horizon AND b.i >= a.i),
+mn AS (SELECT horizon, ai, bi, min(m) OVER (PARTITION BY horizon, ai ORDER BY bi DESC) AS m FROM ab),
+iso AS (SELECT k.horizon, k.p, max(m) AS f FROM mn JOIN k ON k.horizon = mn.horizon AND k.i = mn.bi GROUP BY 1, 2),
+t AS (SELECT sample, horizon, y_prob FROM preds WHERE split = 'test'),
+lo AS (SELECT t.*, iso.p AS p0, iso.f AS f0 FROM t ASOF LEFT JOIN iso ON iso.horizon = t.horizon AND t.y_prob >= iso.p),
+hi AS (SELECT lo.*, iso.p AS p1, iso.f AS f1 FROM lo ASOF LEFT JOIN iso ON iso.horizon = lo.horizon AND lo.y_prob <= iso.p)
+SELECT sample, horizon, round(CASE WHEN p0 IS NULL THEN f1 WHEN p1 IS NULL OR p1 = p0 THEN f0 ELSE f0 + (f1 - f0) * (y_prob - p0) / (p1 - p0) END, 6) AS y_cal FROM hi""")
 def _(spark, d):
     p = b.preds(spark, d)
     out = decide.calibrate(p.where("split = 'val'"), p.where("split = 'test'"), "isotonic", (1, 3, 5))
-    return out.select("sample", "horizon", "y_prob", "y_cal")
+    return out.select("sample", "horizon", R("y_cal").alias("y_cal"))
 
 
 @query("i08_identity", "WITH " + b.preds_sql() + " SELECT sample, round(y_prob, 9) AS y_cal FROM preds WHERE split = 'test'")

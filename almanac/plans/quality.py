@@ -129,9 +129,14 @@ def _(spark, d):
     return rounded(influences(spark, d), "influence")
 
 
-@query("l12_projection")
+SIGNS = rl.projection_signs(64, 8, seed=3)
+DOTS = ", ".join(f"round(list_inner_product(e, {row}::DOUBLE[]) / sqrt(8), 6) AS p{j}" for j, row in enumerate(SIGNS))
+
+
+@query("l12_projection", f"SELECT vec_id, {DOTS} FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
 def _(spark, d):
-    return load(spark, d, "embeddings").select("vec_id", rl.project("embedding", 64, 8, seed=3).alias("projected"))
+    p = load(spark, d, "embeddings").select("vec_id", rl.project("embedding", 64, 8, seed=3).alias("p"))
+    return p.select("vec_id", *[R(F.col("p")[j]).alias(f"p{j}") for j in range(8)])
 
 
 @query("l13_curate_drop", INF + " SELECT sample, round(influence, 6) AS influence FROM inf WHERE influence >= (SELECT quantile_cont(influence, 0.04) FROM inf)")

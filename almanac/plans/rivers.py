@@ -102,10 +102,13 @@ def _(spark, d):
     return out.select("entity", "t", R("stacked", 4).alias("stacked"))
 
 
-@query("m07_stack_linear")
+@query("m07_stack_linear", NAIVE + """, h AS (SELECT fc AS a, nv AS b, price AS y FROM f WHERE fc IS NOT NULL AND nv IS NOT NULL AND t < 60),
+c AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS cy, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM h),
+w AS (SELECT (ay * bb - cy * ab) / (aa * bb - ab * ab) AS wa, (cy * aa - ay * ab) / (aa * bb - ab * ab) AS wb, * FROM c)
+SELECT entity, t, round((my + wa * (fc - ma) + wb * (nv - mb)) / 1000, 3) AS stacked FROM f, w WHERE t >= 60 AND fc IS NOT NULL AND nv IS NOT NULL""")
 def _(spark, d):
     f = naive(spark, d).where("fc IS NOT NULL AND nv IS NOT NULL")
-    return mr.stack_linear(f.where("t < 60"), f.where("t >= 60"), ["fc", "nv"], "price").select("entity", "t", "stacked")
+    return mr.stack_linear(f.where("t < 60"), f.where("t >= 60"), ["fc", "nv"], "price").select("entity", "t", R(F.col("stacked") / 1000, 3).alias("stacked"))
 
 
 @query("m08_propagate")

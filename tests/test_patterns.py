@@ -121,3 +121,12 @@ def test_average_rank_matches_pandas(spark):
     pdf, df = skewed(spark)
     got = rl.avg_rank(df, "v", "r").toPandas().set_index("id")["r"].sort_index()
     assert np.allclose(got.values, pdf["v"].rank().values)
+
+
+def test_null_and_nan_positions_are_kept(spark):
+    df = spark.createDataFrame([(1, None, 1), (1, 2.0, 2), (1, float("nan"), 3), (1, 5.0, 4), (1, 9.0, 5)], "k int, x double, v int")
+    got = running_sums(df, ["k"], "x", {"v": "v"}, ["x", "v"]).orderBy("cum_v").toPandas()
+    assert got["v"].tolist() == [1, 2, 4, 5, 3] and got["cum_v"].tolist() == [1, 3, 7, 12, 15]
+    prev = previous_value(df, ["k"], "x", ["x", "v"], "v", "p").toPandas().set_index("v")["p"]
+    assert pd.isna(prev[1]) and prev[2] == 1 and prev[4] == 2 and prev[5] == 4 and prev[3] == 5
+    assert global_index(df, "x", ["x", "v"]).count() == 5
