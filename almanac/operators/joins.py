@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions.scalars import alias_values, slug
-from .patterns import global_index, join_same, months_between_expr, only_row, previous_value
+from .patterns import global_index, join_same, only_row, previous_value
 
 
 def resolve_entities(
@@ -240,8 +240,3 @@ def integrity_report(samples: DataFrame, panel: DataFrame, entity: str, t: str,
 def assemble_samples(samples: DataFrame, windows: DataFrame, statics: DataFrame, win: str = "win_idx", entity="entity", t_end="t_end") -> DataFrame:
     """Dynamic window by window index, statics by (entity, window end)."""
     return samples.join(windows, win).join(statics, [entity, t_end], "left")
-
-
-def tail_months(month: Column, last: Column, k: int) -> Column:
-    """Is ``month`` among the last k months up to ``last``."""
-    return months_between_expr(last, month).between(0, k - 1)

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from .patterns import cut_points, join_same, quantile_hits, running_sums
 
-# Bin edges as i * 0.1 in binary floating point, as the usual ten-bin grid has them.
+
 def bin_edges(bins: int = 10) -> list[float]:
+    """Edges of equal-width bins: multiples of the step in binary floating point (0.30000000000000004 for 3 of 10)."""
     step = 1.0 / bins
     return [0.0] + [i * step for i in range(1, bins)] + [1.0]
 

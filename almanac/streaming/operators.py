@@ -86,37 +86,46 @@ class MicroBatches:
     """Runs ``step(batch, batch_id)`` per micro-batch and keeps its output in per-batch folders.
 
     A folder is named after its batch and overwritten on a retry, so the log holds every batch
-    exactly once.
+    exactly once.  With the same ``path`` and ``checkpoint`` a later run goes on where this one ended.
     """
 
-    def __init__(self, step: Callable[[DataFrame, int], DataFrame]):
-        self.step, self.path, self.ckpt = step, None, None
+    def __init__(self, step: Callable[[DataFrame, int], DataFrame], path: str | None = None, checkpoint: str | None = None):
+        self.step, self.path, self.checkpoint = step, path, checkpoint
 
     def run(self, stream: DataFrame) -> DataFrame:
         spark = stream.sparkSession
-        self.path, self.ckpt = new_path(spark, "batches"), new_path(spark, "batches-ckpt")
+        path = self.path or new_path(spark, "batches")
+        checkpoint = self.checkpoint or new_path(spark, "batches-checkpoint")
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            self.step(batch, batch_id).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+            batch.persist()  # a step reads its batch several times
+            try:
+                self.step(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            finally:
+                batch.unpersist()
 
-        q = stream.writeStream.foreachBatch(write).option("checkpointLocation", self.ckpt).trigger(availableNow=True).start()
+        q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
-        return spark.read.parquet(self.path).drop("batch")
+        return spark.read.parquet(path).drop("batch")
 
 
-def log_sink(stream: DataFrame, decide_batch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def log_sink(stream: DataFrame, decide_batch: Callable[[DataFrame], DataFrame], path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Decisions with their reasons, logged per micro-batch."""
-    return MicroBatches(lambda b, _: decide_batch(b)).run(stream)
+    return MicroBatches(lambda b, _: decide_batch(b), path, checkpoint).run(stream)
 
 
-def with_state(stream: DataFrame, is_state: Column, by: Sequence[str], on: str, tie: str, value: str, ttl: float) -> DataFrame:
+def with_state(
+    stream: DataFrame, is_state: Column, by: Sequence[str], on: str, tie: str, value: str, ttl: float,
+    store: str | None = None, path: str | None = None, checkpoint: str | None = None,
+) -> DataFrame:
     """Each utterance with the latest state of its device, at most ``ttl`` old.
 
     Every micro-batch is an as-of join against its own state rows plus the last state per device
-    carried over from the batch before, a table named after the batch it belongs to.
+    carried over from the batch before, a table under ``store`` named after the batch it belongs to.
+    A retried batch reads the same predecessor and overwrites its own table.
     """
     spark = stream.sparkSession
-    store = new_path(spark, "device-state")
+    store = store or new_path(spark, "device-state")
 
     def step(batch: DataFrame, batch_id: int) -> DataFrame:
         cols = [*by, on, tie, value]
@@ -127,4 +136,4 @@ def with_state(stream: DataFrame, is_state: Column, by: Sequence[str], on: str,
         newest.write.mode("overwrite").parquet(f"{store}/{batch_id}")
         return asof_join(batch.where(~is_state), states, by, on, tie, ttl, prefix="state_")
 
-    return MicroBatches(step).run(stream)
+    return MicroBatches(step, path, checkpoint).run(stream)

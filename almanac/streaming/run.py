@@ -7,16 +7,17 @@ from pyspark.sql import DataFrame
 from ..session import new_path
 
 
-def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
+def replay(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process everything available through a checkpointed parquet sink, then read the sink.
 
-    The file sink's log makes the output exactly-once; the query can be resumed after a failure.
+    The file sink's log makes the output exactly-once; with the same ``path`` and ``checkpoint``
+    a later run goes on where this one ended.
     """
     spark = stream.sparkSession
-    out, ckpt = new_path(spark, "stream-out"), new_path(spark, "stream-ckpt")
+    path, checkpoint = path or new_path(spark, "stream-out"), checkpoint or new_path(spark, "stream-checkpoint")
     q = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", ckpt)
-        .trigger(availableNow=True).start()
+        stream.writeStream.format("parquet").outputMode("append").option("path", path)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(path)

@@ -65,3 +65,38 @@ def test_lexicon_scores(spark):
     lex = spark.createDataFrame([("tv", "active", "volume up"), ("oven", "defensive", "volume up")], "family string, kind string, entry string")
     got = {(r.id, r.family, r.kind): round(r.score, 4) for r in jn.lexicon_score(u, lex).collect()}
     assert got == {(1, "tv", "active"): 1.0, (1, "oven", "defensive"): 1.0, (2, "tv", "active"): 0.8889, (2, "oven", "defensive"): 0.8889}
+
+
+def test_streams_resume_with_their_state(spark):
+    """Two runs over a growing folder give what one run over all of it gives."""
+    rnd = random.Random(8)
+    rows = [(i, rnd.randrange(4), i * 10, int(rnd.random() < 0.2), float(i)) for i in range(120)]
+    pdf = pd.DataFrame(rows, columns=["id", "dev", "us", "is_state", "value"])
+    schema = "id bigint, dev bigint, us bigint, is_state int, value double"
+    folder, store, out, ckpt = (new_path(spark, n) for n in ("grow", "store", "out", "ckpt"))
+    for part in (pdf.iloc[:60], pdf.iloc[60:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        got = st.with_state(stream_files(spark, folder, schema), F.col("is_state") == 1, ["dev"], "us", "id", "value", 1e9, store, out, ckpt)
+    full = spark.createDataFrame(pdf, schema)
+    want = jn.asof_join(full.where("is_state = 0"), full.where("is_state = 1").select("dev", "us", "id", "value"), ["dev"], "us", "id", 1e9, prefix="state_")
+    key = lambda df: sorted((r.id, r.state_value) for r in df.collect())
+    assert str(key(got)) == str(key(want))
+
+
+def test_alert_state_resumes(spark):
+    flags = [0, 1, 1, 0, 0, 1, 1, 1, 0, 0, 0, 1, 1]
+    schema = "station bigint, t int, flag int"
+    folder, out, ckpt = (new_path(spark, n) for n in ("flags", "alerts", "ckpt"))
+    for lo, hi in ((0, 6), (6, 13)):  # the second run starts inside a run of flags
+        spark.createDataFrame([(1, t, flags[t]) for t in range(lo, hi)], schema).coalesce(1).write.mode("append").parquet(folder)
+        got = replay(st.alert_state(stream_files(spark, folder, schema), 2, 4), out, ckpt)
+    assert sorted(r.onset_t for r in got.collect()) == [1, 11]
+
+
+def test_late_repeats_are_dropped(spark):
+    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:10:00"), (2, "2024-01-01 00:20:00")]
+    path = new_path(spark, "late")
+    df = spark.createDataFrame(rows, "id int, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(path)
+    got = replay(st.dedupe_late(stream_files(spark, path, df.schema), ["id"], "ts", "1 hour"))
+    assert sorted(r.id for r in got.collect()) == [1, 2]
