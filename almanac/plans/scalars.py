@@ -84,7 +84,7 @@ def _(spark, d):
     return b.daily_panel(spark, d).select("station", "t", *sc.mask_and_fill(["stage"], -999.0)).withColumn("stage", R("stage"))
 
 
-@query("b13_month_encoding", """SELECT o_orderkey, round(sin(2 * pi() * (month(o_orderdate) - 1) / 12), 8) AS s, round(cos(2 * pi() * (month(o_orderdate) - 1) / 12), 8) AS c,
+@query("b13_month_encoding", """SELECT o_orderkey, round(sin(2 * pi() * (month(o_orderdate) - 1) / 12), 8) + 0::DOUBLE AS s, round(cos(2 * pi() * (month(o_orderdate) - 1) / 12), 8) + 0::DOUBLE AS c,
   CAST(month(o_orderdate) AS INTEGER) AS hot, 12 AS size FROM orders""")
 def _(spark, d):
     o = load(spark, d, "orders").select("o_orderkey", sc.month_enc("o_orderdate").alias("e"), sc.month_enc("o_orderdate", "onehot").alias("h"))
