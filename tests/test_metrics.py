@@ -210,3 +210,48 @@ def test_temperature_grid(spark):
         s = np.clip(1 / (1 + np.exp(-np.log(q / (1 - q)) / T)), 1e-6, 1 - 1e-6)
         return float(np.mean(-(x["y_true"] * np.log(s) + (1 - x["y_true"]) * np.log(1 - s))))
     assert t["temperature"] == min((0.5, 1.0, 2.0), key=nll) and math.isclose(t["nll"], min(map(nll, (0.5, 1.0, 2.0))), rel_tol=1e-9)
+
+
+def test_surge_model_learns_a_separable_signal(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 2))
+    rows = [(i % 5, [float(a), float(b)], float(a > 0), 1.0) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "entity int, f array<double>, y double, w double")
+    _, scored = decide.fit_surge_model(df, ["f"], "y", "w", "entity")
+    out = scored.select(F.col("y").alias("y_true"), F.lit(1).alias("y_mask"), "y_prob")
+    assert out.count() == 300 and mt.auroc(out, []).first()[0] > 0.98
+
+
+def test_propagation_brackets_the_sum(spark):
+    from almanac.operators import multirate as mr
+
+    df = spark.createDataFrame([("a", i, 8.0, 10.0, 12.0) for i in range(20)], "g string, t int, lo double, mid double, hi double")
+    run = lambda: mr.propagate(df, ["g"], ["g", "t"], [(0.05, "lo"), (0.5, "mid"), (0.95, "hi")], 200, (0.05, 0.5, 0.95), seed=2).first()
+    r = run()
+    assert 160 < r["q05"] < r["q50"] < r["q95"] < 240 and abs(r["q50"] - 200) < 3 and r == run()
+
+
+def test_cluster_bootstrap_weighs_whole_clusters(spark):
+    _, df = preds(spark, n=300)
+    w = mt.poisson_weights(df, ["g"], 10, seed=1)
+    assert w.groupBy("g", "replicate").agg(F.countDistinct("w").alias("k")).where("k > 1").count() == 0
+    assert rl.cluster_bootstrap(df, [], ["g"], replicates=10).first()["replicates"] <= 10
+
+
+def test_fingerprint_ignores_order_and_sees_changes(spark):
+    from almanac.sources.tables import fingerprint
+
+    _, df = preds(spark, n=200)
+    a = fingerprint(df, "x").first()
+    assert a == fingerprint(df.orderBy(F.desc("y_prob")).repartition(3), "x").first()
+    assert a["fingerprint"] != fingerprint(df.withColumn("g", F.when(F.col("sample") == 0, 9).otherwise(F.col("g"))), "x").first()["fingerprint"]
+
+
+def test_fixed_size_sample_and_sketch(spark):
+    pdf, df = preds(spark, digits=6)
+    s = sp.sample_k(df, ["sample"], 50, seed=2)
+    assert s.count() == 50 and {r.sample for r in s.collect()} == {r.sample for r in sp.sample_k(df.repartition(5), ["sample"], 50, seed=2).collect()}
+    from almanac.operators.patterns import quantiles
+
+    got = {r.q: r.value for r in quantiles(df, [], "y_prob", [0.25, 0.5], exact=False).collect()}
+    assert all(abs(got[q] - pdf["y_prob"].quantile(q)) < 0.01 for q in (0.25, 0.5))
