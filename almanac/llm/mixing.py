@@ -81,15 +81,12 @@ def thresholds(docs: DataFrame, budgets: DataFrame, bits: int = BITS, levels: in
     return state.select("source", "budget", (F.col("at") + take.cast("long")).alias("below"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Per document its size, its source's size and target, and the words the mix takes of it.
+def plan_mix(narrow: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """Per source (_s) its size and target, whole copies of every document, and the hash below which one more is taken.
 
-    A source whose target is r times its size gives floor(r) copies of every document and one copy
-    more of those below the threshold for the rest.  Returns doc_id, source, size, source_size,
-    target, copies, taken.  Texts are read once; the narrow table of sizes is written and reused.
+    ``narrow`` has source, h and size per document.  The plan is written, so that its size is known: it
+    is broadcast only where it is small enough for the session.
     """
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), document_hash(F.col(id_col)).alias("h"), word_count(text_of(text_col)).alias("size"))
-    narrow = materialise(narrow, "sizes")
     plan = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.withColumn("whole", F.floor(ratio)).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -97,11 +94,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cuts = thresholds(narrow, plan.where("budget > 0"))
     cuts = cuts.select(F.col("source").alias("_s"), "below")
     plan = plan.join(cuts, plan.source.eqNullSafe(cuts._s), "left").drop("_s")
-    # Written, so that its size is known: it is broadcast only where it is small enough for the session.
-    plan = materialise(plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "below"), "plan")
-    out = narrow.join(plan, narrow.source.eqNullSafe(plan._s))
-    copies = F.col("whole") + F.coalesce(F.col("h") < F.col("below"), F.lit(False)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return materialise(plan.select(F.col("source").alias("_s"), "source_size", "target", "whole", "below"), "plan")
+
+
+def narrow_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, h, size), written: texts are read once."""
+    return materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), document_hash(F.col(id_col)).alias("h"), word_count(text_of(text_col)).alias("size")), "sizes")
+
+
+def copies(h: Column) -> Column:
+    """How often the plan takes a document: whole copies, and one more below the threshold."""
+    return F.col("whole") + F.coalesce(h < F.col("below"), F.lit(False)).cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """Per document its size, its source's size and target, and the words the mix takes of it.
+
+    A source whose target is r times its size gives floor(r) copies of every document and one copy
+    more of those below the threshold for the rest.  Returns doc_id, source, size, source_size,
+    target, copies, taken.
+    """
+    narrow = narrow_rows(docs, id_col, text_col, source_col)
+    plan = plan_mix(narrow, **options)
+    out = narrow.join(plan, narrow.source.eqNullSafe(plan._s)).withColumn("copies", copies(F.col("h")))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of the input, each as often as the mix takes it."""
+    plan = plan_mix(narrow_rows(docs, id_col, text_col, source_col), **options)
+    out = docs.join(plan, docs[source_col].cast("string").eqNullSafe(plan._s))
+    out = out.select(*[docs[c] for c in docs.columns], copies(document_hash(docs[id_col])).alias("_copies"))
+    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
 
 
 MIX_SQL = r"""

@@ -24,4 +24,70 @@ def op10(spark, d):
     return mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_pii_bootstrap")
+def op3(spark, d):
+    from .pii import digest, find
+
+    return digest(find(table(spark, d, "documents")))
+
+
+from .licences import scan, scan_sql
+
+
+@query("op8_licence_diagonals", scan_sql())
+def op8(spark, d):
+    return scan(table(spark, d, "documents"))
+
+
+from .warc import WARC_SQL
+
+
+@query("op7_warc_zip", WARC_SQL)
+def op7(spark, d):
+    from .warc import round_trip
+
+    return round_trip(table(spark, d, "pages"))
+
+
+@query("op9_simhash_vantage")
+def op9(spark, d):
+    from .simhash import digest, near_duplicates
+
+    return digest(near_duplicates(table(spark, d, "documents")))
+
+
+from .neighbours import NEIGHBOURS_SQL
+
+
+@query("op1_nn_descent", NEIGHBOURS_SQL)
+def op1(spark, d):
+    from .neighbours import near_duplicates
+
+    return near_duplicates(table(spark, d, "embeddings"))
+
+
+from .topk import TOPK_SQL
+
+
+@query("op4_threshold_topk", TOPK_SQL)
+def op4(spark, d):
+    from .topk import integer_vectors, search
+
+    return search(integer_vectors(table(spark, d, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
+@query("op6_suffix_intervals")
+def op6(spark, d):
+    from .repeats import digest, remove_repeats
+
+    return digest(remove_repeats(table(spark, d, "documents"), texts=False))
+
+
+@query("op2_toxicity_channel")
+def op2(spark, d):
+    from .toxicity import classify
+
+    return classify(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 __all__ = ["QUERIES", "ORACLES"]
