@@ -39,6 +39,15 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    The optimizer writes a column's expression wherever the column is used, also inside lambdas, where
+    it would run for every element; a lambda's own variable is bound once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -83,4 +92,4 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-__all__ = ["QUERIES", "ORACLES", "query", "table", "text_of", "lower_ascii", "partitions", "same", "components", "materialise", "new_path"]
+__all__ = ["QUERIES", "ORACLES", "query", "table", "text_of", "lower_ascii", "let", "partitions", "same", "components", "materialise", "new_path"]

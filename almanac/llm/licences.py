@@ -19,7 +19,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import lower_ascii, text_of
+from .common import let, lower_ascii, text_of
 
 #: The words of a text, the phrases that always count and their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -67,7 +67,7 @@ def grams(ws: Column, k: int) -> Column:
 def templates(spark, notices: Sequence[tuple[str, str]], k: int) -> DataFrame:
     """(template, label, grams, gram, p): a fixed table, as many rows as the notices have words."""
     t = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(notices)], "template int, label string, text string")
-    t = t.withColumn("g", grams(words(F.col("text")), k))
+    t = t.withColumn("g", let(words(F.col("text")), lambda w: grams(w, k)))
     return t.select("template", "label", F.size("g").alias("grams"), F.posexplode("g").alias("p", "gram"))
 
 
@@ -93,7 +93,7 @@ def spans(docs: DataFrame, keys: Sequence[str], text: Column, notices: Sequence[
     """
     spark = docs.sparkSession
     t = F.broadcast(templates(spark, notices, k))  # fixed size
-    g = docs.select(*keys, F.posexplode(grams(words(text), k)).alias("i", "gram"))
+    g = docs.select(*keys, F.posexplode(let(words(text), lambda w: grams(w, k))).alias("i", "gram"))
     hits = g.join(t, "gram").select(*keys, "template", "label", "grams", "p", (F.col("i") - F.col("p")).alias("diagonal"))
     votes = hits.groupBy(*keys, "template", "label", "grams", "diagonal").agg(F.collect_set("p").alias("ps"))
     # One document's diagonals of one template; a document is one row, so this is bounded by its length.
@@ -121,12 +121,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
     good = (F.col("coverage") >= at_least) & (F.col("last_word") - F.col("first_word") + 1 <= 1.5 * (F.col("grams") + k - 1))
     found = found.groupBy("doc_id", "_h").agg(F.collect_set(F.when(good, F.col("label"))).alias("_labels"), F.max("coverage").alias("_cover"))
     found = found.withColumnsRenamed({"doc_id": "_id", "_h": "_hh"})
-    ws = keyed.select("doc_id", "_h", words(F.col("_text")).alias("_w"), F.col("_text").rlike("(?i)licen[sc]e").alias("_any"))
-    rare = {p: p.split()[-1] == "license" for p in phrases}
-    base = ws.select("doc_id", "_h", F.size("_w").cast("long").alias("n_words"), *[
-        (F.when(F.col("_any"), phrase_starts(F.col("_w"), p)).otherwise(F.array().cast("array<int>")) if rare[p] else phrase_starts(F.col("_w"), p)).alias(f"_p{n}")
-        for n, p in enumerate(phrases)
-    ])
+    any_ = text.rlike("(?i)license")
+    none = F.array().cast("array<int>")
+
+    def parts(w: Column) -> Column:
+        # Phrases that end in "license" are looked for only in texts that hold the word.
+        at = [F.when(any_, phrase_starts(w, p)).otherwise(none) if p.endswith("license") else phrase_starts(w, p) for p in phrases]
+        return F.struct(F.size(w).alias("n"), *[c.alias(f"p{n}") for n, c in enumerate(at)])
+
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_h"), let(words(text), parts).alias("_x"))
+    base = base.select("doc_id", "_h", F.col("_x.n").cast("long").alias("n_words"), *[F.col(f"_x.p{n}").alias(f"_p{n}") for n in range(len(phrases))])
     places = F.concat(*[F.col(f"_p{n}") for n in range(len(phrases))])
     kinds = F.array_compact(F.array(*[F.when(F.size(f"_p{n}") > 0, F.lit(label)) for n, label in enumerate(phrases.values())]))
     base = base.select("doc_id", "_h", "n_words", places.alias("_at"), F.array_sort(F.array_distinct(kinds)).alias("_base"))

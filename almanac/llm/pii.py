@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise, text_of
+from .common import let, materialise, text_of
 
 #: The kinds in order, with their patterns.  Possessive forms and the look-behinds
 #: match the same places as the plain patterns, without going back over long runs of characters;
@@ -44,16 +44,18 @@ def places(text: Column, pattern: str, hint: str | None = None) -> Column:
     The pieces between the matches and the matches alternate, so starts are running lengths.
     """
     empty = F.array().cast("array<struct<start:int,value:string>>")
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # One pass finds the matches; pieces are cut only where there are any.
-    gaps = F.split(text, pattern, -1)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), x["value"].alias("value")))).alias("out"),
-    )
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    zipped = lambda v: F.transform(v, lambda x, i: F.struct(F.get(gaps, i).alias("gap"), x.alias("value")))
-    found = F.when(F.size(values) > 0, F.aggregate(zipped(values), start, step, lambda acc: acc["out"])).otherwise(empty)
+
+    def starts(values: Column) -> Column:
+        step = lambda acc, x: F.struct(
+            (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), x["value"].alias("value")))).alias("out"),
+        )
+        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+        pairs = lambda gaps: F.transform(values, lambda x, i: F.struct(F.get(gaps, i).alias("gap"), x.alias("value")))
+        # Pieces are cut only where there are matches.
+        return F.when(F.size(values) > 0, F.aggregate(let(F.split(text, pattern, -1), pairs), start, step, lambda acc: acc["out"])).otherwise(empty)
+
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), starts)
     return F.when(F.contains(text, F.lit(hint)), found).otherwise(empty) if hint else found
 
 
@@ -93,7 +95,7 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def keyed_values(text: Column) -> Column:
     """array of (pattern, value, start, end) of key-value places; pattern is the key in lower case with its mark."""
-    found = places(text, KEYED)
+    found = F.when(text.rlike("[=:]"), places(text, KEYED)).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
     head = lambda x: F.regexp_extract(x["value"], r"^[^=:]*+[=:]\x20*+[\x22\x27]?+", 0)
     parts = F.transform(found, lambda x: F.struct(head(x).alias("head"), x["value"].alias("all"), x["start"].alias("at")))
     return F.transform(parts, lambda x: F.struct(
