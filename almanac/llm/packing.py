@@ -11,7 +11,9 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,25 +25,58 @@ from .common import materialise, partitions
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenised(text: str, ids_of: dict[str, bytes], tokenizer, most: int = 400_000) -> bytes:
-    """The text's ids as little-endian unsigned 32-bit numbers.
+#: Ids of runs of characters that a worker has met; kept between its tasks, up to KEPT entries.
+KNOWN: dict[str, dict[str, bytes]] = {}
+KEPT = 600_000
+#: Runs that can be cut into the tokenizer's words here: printable ASCII and the letters of Latin-1,
+#: which no normal form changes and whose lower case is a single letter.
+SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level models write for each byte: printable ones for themselves, the others from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+BYTES = byte_letters()
+
+
+def encode_run(run: str, known: dict[str, bytes], tokenizer) -> bytes:
+    """Ids of one run without spaces.  The model is asked for words it has not met yet; odd runs go through the whole tokenizer."""
+    if not SIMPLE.fullmatch(run) or "<|" in run:
+        return np.asarray(tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    out = []
+    for part in PARTS.findall(run.lower()):
+        ids = known.get(part)
+        if ids is None:
+            letters = part if part.isascii() else "".join([BYTES[b] for b in part.encode()])
+            ids = known[part] = array("I", [t.id for t in tokenizer.model.tokenize(letters)]).tobytes()
+        out.append(ids)
+    return b"".join(out)
+
+
+def tokenised(text: str, known: dict[str, bytes], tokenizer) -> bytes:
+    """The text's ids as little-endian unsigned 32-bit numbers, for a tokenizer of lower-cased byte-level words.
 
     The tokenizer never joins characters across white space, so each distinct run between spaces is
-    encoded once per task and then looked up; ``most`` bounds that memory.
+    encoded once per worker and then looked up.
     """
     words = text.replace("\n", " ").split(" ")
     try:
-        return b"".join([ids_of[w] for w in words])
+        return b"".join([known[w] for w in words])
     except KeyError:
-        new = list({w for w in words if w not in ids_of})
-    if len(ids_of) > most:
-        ids_of.clear()
-        new = list(set(words))
-    for i in range(0, len(new), 10_000):
-        some = new[i : i + 10_000]
-        for w, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
-            ids_of[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-    return b"".join([ids_of[w] for w in words])
+        if len(known) > KEPT:
+            known.clear()
+    out = []
+    for w in words:
+        ids = known.get(w)
+        if ids is None:
+            ids = known[w] = encode_run(w, known, tokenizer) if w else b""
+        out.append(ids)
+    return b"".join(out)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,13 +86,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        tokenizer, ids_of = Tokenizer.from_file(tokenizer_path), {}
+        tokenizer, known = Tokenizer.from_file(tokenizer_path), KNOWN.setdefault(tokenizer_path, {})
         tail = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             which, no, start, length, crc = [], [], [], [], []
             texts = batch.column(1)
             for i in range(batch.num_rows):
-                ids = memoryview(tokenised(texts[i].as_py() or "", ids_of, tokenizer) + tail)
+                ids = memoryview(tokenised(texts[i].as_py() or "", known, tokenizer) + tail)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     which.append(i)
