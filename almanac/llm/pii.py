@@ -156,8 +156,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trust:
 
 
 def _text_of_spans(kinds: dict[str, str]) -> Column:
-    parts = [F.transform(c, lambda x, k=k: F.concat_ws(":", F.lit(k), x["start"].cast("string"), x["end"].cast("string"))) for c, k in kinds.items()]
-    return F.array_join(F.concat(*parts), ",")
+    def part(column: str, kind: str) -> Column:
+        return F.transform(column, lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
+
+    return F.array_join(F.concat(*[part(c, k) for c, k in kinds.items()]), ",")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -176,8 +178,11 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     ids with different texts keep their own spans.
     """
     found = find(docs, id_col, text_col, **options)
-    tagged = [F.transform(k, lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("secret" if k == "learned" else k).alias("kind"))) for k in [*KINDS, "learned"]]
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.array_sort(F.concat(*tagged)).alias("_spans"))
+
+    def tagged(kind: str) -> Column:
+        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit("secret" if kind == "learned" else kind).alias("kind")))
+
+    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.array_sort(F.concat(*[tagged(k) for k in [*KINDS, "learned"]])).alias("_spans"))
     found = found.where(F.size("_spans") > 0).dropDuplicates(["_id", "_th"])
     text = F.col(text_col)
     out = docs.join(found, docs[id_col].eqNullSafe(found._id) & (F.xxhash64(text_of(text_col)) == found._th), "left")

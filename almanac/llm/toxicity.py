@@ -45,8 +45,7 @@ SEPARATORS = ".-_*~^'`,:;/\\​­"
 PLAIN, SIGN, DOUBLE, SHRINK, DROP = 0.05, 0.7, 0.7, 0.3, 0.1
 
 ODD = re.compile(r"[^\W\d_]*(?:[0-9@$!|+(€£¡]|[.\-_*~^'`,:;/\\​­](?=\w))", re.UNICODE)
-RUN = re.compile(r"(.)\1\1")
-PAIR = re.compile(r"([a-z])\1")
+PAIR = re.compile(r"([^\W\d_])\1")
 SPACED = re.compile(r"(?<!\S)\S(?:[ ]{1,2}\S){3,}(?!\S)")
 EDGES = ".,;:!?\"'()[]{}<>«»¿¡…*#&%|~`"
 
@@ -136,20 +135,26 @@ def decode(token: str, costs: np.ndarray) -> str:
     return min(((cost + costs[a, b, EDGE], text) for (a, b), (cost, text) in best.items()), default=(0.0, ""))[1]
 
 
-def readings(token: str, costs: np.ndarray, longest: int = 40) -> list[str]:
-    """The words a token is scored as: itself, and its restored form where the token may hide one."""
+def readings(token: str, costs: np.ndarray, longest: int = 64) -> list[str]:
+    """The words a token is scored as: itself, and its restored form where the token may hide one.
+
+    Tokens of more than ``longest`` runs of equal characters are no hidden words; they stand for themselves.
+    """
     plain = token.strip(EDGES)
-    hidden = token if len(token) <= longest else token[:0]
-    odd = bool(hidden) and any(c.isalpha() for c in hidden) and (bool(ODD.match(hidden)) or bool(RUN.search(hidden)) or bool(PAIR.search(hidden)))
-    return [plain] if not odd else list(dict.fromkeys([plain, decode(hidden.strip(".,;:?\"'"), costs)]))
+    if not (ODD.match(token) or PAIR.search(token)) or not any(map(str.isalpha, token)):
+        return [plain]
+    if len(token) > longest and sum(1 for a, b in zip(token, token[1:]) if a != b) >= longest:
+        return [plain]
+    return list(dict.fromkeys([plain, decode(token.strip(".,;:?\"'"), costs)]))
 
 
 def tokens(text: str) -> list[str]:
-    """Distinct tokens of a text; letters that are spaced out also make one token."""
+    """Distinct tokens of a text; letters that are spaced out also make one token, with and without a letter at either end."""
     low = text.lower()
     out = set(low.split())
-    if SPACED.search(low):
-        out.update(m.group().replace(" ", "") for m in SPACED.finditer(low))
+    for m in SPACED.finditer(low):
+        run = m.group().replace(" ", "")
+        out.update((run, run[1:], run[:-1], run[1:-1]))
     return list(out)
 
 
@@ -255,6 +260,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return beta
 
 
+def share(y: np.ndarray) -> float:
+    """Smoothed share of ones; 0 for no rows."""
+    return float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
+
+
 def _evidence_rows(rows: DataFrame, keep: list[str], weight, costs) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, float] = {}
@@ -269,10 +279,26 @@ def _evidence_rows(rows: DataFrame, keep: list[str], weight, costs) -> DataFrame
 
 
 class Model:
-    """Language model, feature weights and logistic weights; all of fixed bounds."""
+    """Language model, feature weights and logistic weights; all of fixed bounds.
+
+    Texts without evidence get the share of toxic texts among such training rows.
+    """
 
-    def __init__(self, costs: np.ndarray, weight: dict[str, float], beta: np.ndarray | None):
-        self.costs, self.weight, self.beta = costs, weight, beta
+    def __init__(self, costs: np.ndarray, weight: dict[str, float], rows: np.ndarray):
+        """``rows``: toxic, evidence (three columns) and size of the second part of the training rows."""
+        self.costs, self.weight, self.beta = costs, weight, None
+        some = rows[:, 3] > 0
+        self.without, self.with_ = share(rows[~some, 0]), share(rows[some, 0])
+        if len(set(rows[some, 0])) == 2:
+            self.beta = fit_logistic(inputs(rows[some, 1:4], rows[some, 4]), rows[some, 0])
+
+    def scores(self, texts: list[str], seen: dict[str, float]) -> np.ndarray:
+        """Scores of texts; ``seen`` keeps the weights of tokens from call to call."""
+        found = np.asarray([evidence(t, self.weight, self.costs, seen) for t in texts], dtype=float).reshape(-1, 3)
+        p = np.full(len(texts), self.with_)
+        if self.beta is not None:
+            p = 1 / (1 + np.exp(-np.clip(inputs(found, np.asarray([float(len(t)) for t in texts])) @ self.beta, -30, 30)))
+        return np.where(found[:, 2] > 0, p, self.without)
 
     def restore(self, text: str) -> str:
         """The text with every token in its cheapest reading."""
@@ -287,8 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(costs)
     weight = weights(rows, shared, features, least, odds)
     got = np.asarray(_evidence_rows(rows.where("part = 1"), ["toxic"], spark.sparkContext.broadcast(weight), shared).collect(), dtype=float).reshape(-1, 5)
-    beta = fit_logistic(inputs(got[:, 1:4], got[:, 4]), got[:, 0]) if len(set(got[:, 0])) == 2 else None
-    return Model(costs, weight, beta)
+    return Model(costs, weight, got)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,9 +326,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m, seen = shared.value, {}
         for b in batches:
             texts = [t.as_py() or "" for t in b.column(1)]
-            found = np.asarray([evidence(t, m.weight, m.costs, seen) for t in texts], dtype=float).reshape(-1, 3)
-            sizes = np.asarray([len(t) for t in texts], dtype=float)
-            p = 1 / (1 + np.exp(-np.clip(inputs(found, sizes) @ m.beta, -30, 30))) if m.beta is not None else np.zeros(len(texts))
+            p = m.scores(texts, seen)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, score double")
@@ -325,10 +348,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         m, seen = shared.value, {}
         for b in batches:
             texts = [t.as_py() or "" for t in b.column(b.schema.get_field_index(text_col))]
-            found = np.asarray([evidence(t, m.weight, m.costs, seen) for t in texts], dtype=float).reshape(-1, 3)
-            if m.beta is not None and len(texts):
-                x = inputs(found, np.asarray([len(t) for t in texts], dtype=float)) @ m.beta
-                b = b.filter(pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))) < threshold))
+            if texts:
+                b = b.filter(pa.array(m.scores(texts, seen) < threshold))
             yield b
 
     return docs.mapInArrow(run, docs.schema)

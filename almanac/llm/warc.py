@@ -25,6 +25,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -46,19 +47,20 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def record_id(page_id, digest: str) -> str:
+    """Names a page's payload; rows that repeat an id with other payloads have records of their own."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}>"
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None, revisit: bool = False, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One WARC record; a revisit keeps the head of the response and leaves the payload to the record it names."""
     body = HTTP_HEAD if revisit else HTTP_HEAD + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {(url or '').replace(chr(13), ' ').replace(chr(10), ' ')}", f"WARC-Payload-Digest: sha1:{digest}",
     ]
     if revisit:
-        head += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Profile: {REVISIT_PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -75,7 +77,7 @@ def parse_record(raw: bytes) -> dict:
 
 
 def _page(identifier: str | None, kind: str):
-    text = (identifier or "")[len("<urn:page:") : -1]
+    text = (identifier or "")[len("<urn:page:") :].rpartition(":")[0]
     return None if not text else text if kind == "string" else int(text)
 
 
@@ -159,7 +161,7 @@ def write_package(out, rows: Iterator[tuple], most: int, level: int = 1) -> tupl
                 packer = zlib.compressobj(level, wbits=31)
                 data = packer.compress(record(page_id, url, payload, digest, refers_to, revisit)) + packer.flush()
                 member.write(data)
-                index.write(json.dumps({"id": record_id(page_id), "offset": at, "length": len(data)}).encode() + b"\n")
+                index.write(json.dumps({"id": record_id(page_id, digest), "offset": at, "length": len(data)}).encode() + b"\n")
                 at, n = at + len(data), n + 1
                 if at >= most:
                     left = True
@@ -202,13 +204,8 @@ def write_archives(records: DataFrame, folder: str, most: int = 256 << 20, level
         first = next(todo, None)
         while first is not None:
             name = f"{uuid.uuid4().hex}.zip"
-
-            def these(head=first):
-                yield head
-                yield from todo
-
             with store.open_output_stream(f"{base}/{name}") as out:
-                n, left = write_package(out, these(), most, level)
+                n, left = write_package(out, chain([first], todo), most, level)  # a generator around todo would close it
             paths.append(f"{folder}/{name}")
             counts.append(n)
             first = next(todo, None) if left else None
@@ -253,8 +250,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, id_type: str = "bigi
 
 def resolve(records: DataFrame) -> DataFrame:
     """Give revisits the size of the payload they stand for, from the record they name."""
-    full = records.where("record_type = 'response'").select(F.col("page_id").alias("_p"), F.col("payload_bytes").alias("_n")).distinct()
-    out = records.join(full, (records.record_type == "revisit") & (records.refers_to == full._p), "left")
+    full = records.where("record_type = 'response'").select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_g"), F.col("payload_bytes").alias("_n")).distinct()
+    out = records.join(full, (records.record_type == "revisit") & (records.refers_to == full._p) & (records.payload_digest == full._g), "left")
     return out.select("page_id", F.coalesce("payload_bytes", "_n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
