@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import masks, normalise
-from .patterns import previous_value
+from .patterns import only_row, previous_value
 
 
 def prepare_cells(cells: DataFrame, cap: float, unit_hours: float = 24.0) -> DataFrame:
@@ -45,12 +45,20 @@ def _tiles(pos: Column, n: int, patch: int, stride: int) -> Column:
     return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
 
 
-def tile_mean(cells: DataFrame, height: int, width: int, patch: int) -> DataFrame:
-    """mean over overlapping patch x patch tiles, stride max(1, patch / 2); absent cells count as 0."""
+def tile_mean(cells: DataFrame, height: int, width: int, patch: int, channels: Sequence[str] | None = None) -> DataFrame:
+    """mean over overlapping patch x patch tiles, stride max(1, patch / 2); absent cells count as 0.
+
+    Every month has all tiles of all channels (``channels``, else those of the cells): the grid is
+    generated per month, and tiles without a cell are 0.
+    """
     p = min(patch, height, width)
     s = max(1, p // 2)
     t = cells.withColumn("ty", F.explode(_tiles(F.col("y"), height, p, s))).withColumn("tx", F.explode(_tiles(F.col("x"), width, p, s)))
-    return t.groupBy("month", "c", "ty", "tx").agg((F.sum("v") / F.lit(float(p * p))).alias("tile"))
+    t = t.groupBy("month", "c", "ty", "tx").agg((F.sum("v") / F.lit(float(p * p))).alias("tile"))
+    listed = F.array(*map(F.lit, channels)) if channels else only_row(cells, F.collect_set("c").alias("c"))["c"]
+    seq = lambda n: F.explode(F.sequence(F.lit(0), F.lit((n - p) // s)))
+    grid = cells.select("month").distinct().withColumn("c", F.explode(listed)).withColumn("ty", seq(height)).withColumn("tx", seq(width))
+    return grid.join(t, ["month", "c", "ty", "tx"], "left").na.fill(0.0, ["tile"])
 
 
 def tile_vector(tiles: DataFrame) -> DataFrame:

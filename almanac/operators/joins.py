@@ -72,10 +72,11 @@ def reindex_entities(entities: DataFrame, old: str, segment_on: str | None = Non
 
 
 # Three-letter codes of the African countries.
-AFRICA_ISO3 = (
-    "DZA AGO BEN BWA BFA BDI CMR CPV CAF TCD COM COD COG CIV DJI EGY GNQ ERI SWZ ETH GAB GMB GHA GIN GNB KEN LSO LBR "
-    "LBY MDG MWI MLI MRT MUS MAR MOZ NAM NER NGA RWA STP SEN SYC SLE SOM ZAF SSD SDN TZA TGO TUN UGA ZMB ZWE"
-).split()
+AFRICA_ISO3 = [
+    "DZA", "AGO", "BEN", "BWA", "BFA", "BDI", "CMR", "CPV", "CAF", "TCD", "COM", "COD", "COG", "CIV", "DJI", "EGY", "GNQ", "ERI",
+    "SWZ", "ETH", "GAB", "GMB", "GHA", "GIN", "GNB", "KEN", "LSO", "LBR", "LBY", "MDG", "MWI", "MLI", "MRT", "MUS", "MAR", "MOZ",
+    "NAM", "NER", "NGA", "RWA", "STP", "SEN", "SYC", "SLE", "SOM", "ZAF", "SSD", "SDN", "TZA", "TGO", "TUN", "UGA", "ZMB", "ZWE",
+]
 
 
 def in_continent(code: Column | str, continent: str, dim: DataFrame | None = None, df: DataFrame | None = None):
@@ -188,17 +189,19 @@ def benchmark_to_total(micro: DataFrame, totals: DataFrame, by: Sequence[str], v
 def lexicon_score(utterances: DataFrame, lexicon: DataFrame, phrase: str = "phrase", floor: float = 0.0) -> DataFrame:
     """Best similarity of each utterance to each device family's active and defensive entries.
 
-    Distinct phrases are matched first (many events repeat a phrase); a candidate must share a
-    token, similarity is 1 - edit distance / longer length.
+    The lexicon is a fixed dimension (family, kind, entry); it enters as one scalar array, and every
+    distinct phrase is compared with all of it inside its row.  Similarity is 1 - edit distance / longer
+    length; below ``floor`` it counts as 0, so every utterance keeps a row per family and kind, also
+    one that resembles nothing.  A null phrase scores 0.
     """
-    tok = lambda c: F.explode(F.array_distinct(F.split(F.lower(F.col(c)), r"\s+")))
-    said = utterances.select(F.col(phrase).alias("_said")).distinct()
-    lex = lexicon.select("family", "kind", F.col("entry")).distinct()
-    cand = said.withColumn("_t", tok("_said")).join(lex.withColumn("_t", tok("entry")), "_t")
-    longest = F.greatest(F.length("_said"), F.length("entry"))
-    sim = 1 - F.levenshtein(F.lower("_said"), F.lower("entry")) / longest
-    best = cand.groupBy("_said", "family", "kind").agg(F.max(sim).alias("score")).where(F.col("score") >= floor)
-    return utterances.join(best.withColumnRenamed("_said", phrase), phrase)
+    lex = lexicon.groupBy("family", "kind").agg(F.collect_set(F.lower("entry")).alias("entries"))
+    whole = only_row(lex, F.collect_list(F.struct("family", "kind", "entries")).alias("l"))
+    said = utterances.select(F.col(phrase).alias("_said")).distinct().withColumn("_low", F.lower("_said"))
+    rows = said.withColumn("_x", F.explode(whole["l"])).select("_said", "_low", "_x.*")
+    sim = F.transform("entries", lambda e: 1 - F.levenshtein(F.col("_low"), e) / F.greatest(F.length("_low"), F.length(e)))
+    best = rows.withColumn("score", F.coalesce(F.array_max(sim), F.lit(0.0)))
+    best = best.select("_said", "family", "kind", F.when(F.col("score") >= floor, F.col("score")).otherwise(0.0).alias("score"))
+    return utterances.join(best, utterances[phrase].eqNullSafe(best["_said"]), "left").drop("_said").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def deploy_lexicon(lexicon: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -215,14 +218,19 @@ def pair_predictions(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFram
     return a.select(*key, "y_true", F.col("y_prob").alias("p_a")).join(b.select(*key, F.col("y_prob").alias("p_b")), list(key))
 
 
-def resolve_order(n: int, key: str, override: DataFrame | None, stored: DataFrame | None, heuristic: DataFrame) -> DataFrame:
-    """Entity order from an override, else the stored order, else the first n sorted keys; the length must be n."""
+def resolve_order(n: int | None, key: str, override: DataFrame | None, stored: DataFrame | None, heuristic: DataFrame) -> DataFrame:
+    """Entity order from an override, else the stored order, else the sorted keys.
+
+    With ``n`` a given order must have n rows and the heuristic takes the first n keys; without it all
+    keys count.
+    """
     for cand in (override, stored):
         if cand is not None:
-            if cand.limit(n + 1).count() != n:
+            if n is not None and cand.limit(n + 1).count() != n:
                 raise ValueError(f"entity order must have {n} rows")
             return cand.select("ord", key)
-    picked = heuristic.select(key).distinct().orderBy(key).limit(n)
+    picked = heuristic.select(key).distinct()
+    picked = picked if n is None else picked.orderBy(key).limit(n)
     return reindex_entities(picked, key).select(F.col("new_ord").alias("ord"), key)
 
 

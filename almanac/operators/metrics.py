@@ -8,11 +8,14 @@ into a task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from .patterns import cut_points, join_same, quantile_hits, running_sums
+from .draws import poisson
+from .patterns import SEG, cut_points, join_same, quantile_hits, running_sums, with_segment
 
 
 def bin_edges(bins: int = 10) -> list[float]:
@@ -174,9 +177,11 @@ def quantile_sweep(preds: DataFrame, by: Sequence[str], qs: Sequence[float]) ->
 
 def budget_sweep(preds: DataFrame, by: Sequence[str], budgets: Sequence[float]) -> DataFrame:
     """:func:`quantile_sweep` at the (1 - b) quantiles, keyed by ``budget``."""
-    qs = {min(max(1.0 - float(b), 0.0), 1.0): float(b) for b in budgets}
-    back = F.create_map(*[F.lit(x) for kv in qs.items() for x in kv])
-    return quantile_sweep(preds, by, list(qs)).withColumn("budget", back[F.col("q")]).drop("q")
+    qs: dict[float, list[float]] = {}
+    for x in dict.fromkeys(map(float, budgets)):  # budgets outside 0..1 share the outermost quantile
+        qs.setdefault(min(max(1.0 - x, 0.0), 1.0), []).append(x)
+    back = F.create_map(*[y for q, some in qs.items() for y in (F.lit(q), F.array(*map(F.lit, some)))])
+    return quantile_sweep(preds, by, list(qs)).withColumn("budget", F.explode(back[F.col("q")])).drop("q")
 
 
 def budget_thresholds(preds: DataFrame, by: Sequence[str], budgets: Sequence[float]) -> DataFrame:
@@ -248,39 +253,80 @@ def dispersion(metrics: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     ).select(*by, "periods", "zero_pos", F.col("_q")[1].alias("median"), (F.col("_q")[2] - F.col("_q")[0]).alias("iqr"))
 
 
-# Cumulative Poisson(1) probabilities P(X <= k), k = 0..8.
-POISSON1_CDF = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.9999988747974149,
-)
-
-
 def uniform_hash(*cols: Column) -> Column:
     """Deterministic uniform in [0, 1) from the row's key: the same after any task retry."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(2**53))
 
 
-def poisson_weights(df: DataFrame, key: Sequence[str], replicates: int, seed: int = 0, weight: str = "w") -> DataFrame:
-    """Explode bootstrap replicates with Poisson(1) multiplicities hashed from the key."""
-    reps = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(int(replicates)))))
-    u = uniform_hash(*[F.col(k) for k in key], F.col("replicate"), F.lit(seed))
-    count = sum(((u >= F.lit(c)).cast("int") for c in POISSON1_CDF), F.lit(0))
-    return reps.withColumn(weight, count).where(F.col(weight) > 0)
+REPLICATES = "segment double, pos array<double>, neg array<double>, wins array<double>, loss array<double>"
+
+
+def _replicate_sums(cells: DataFrame, by: Sequence[str], replicates: int, clustered: bool) -> DataFrame:
+    """Per group and segment of scores, for every replicate: weights of positives and negatives, pairs
+    in the right order within the segment (ties one half), and squared error.
+
+    ``cells`` has the group, ``_seg``, y_prob, n, pos and the key hashes _kp and _kn; clustered cells
+    weigh all their rows alike.
+    """
+    keep = [f"{c} {cells.schema[c].dataType.simpleString()}" for c in by]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        p, n, pos, kp, kn = (t.column(c).to_numpy() for c in ("y_prob", "n", "pos", "_kp", "_kn"))
+        order = np.lexsort((kn, kp, p))
+        p, n, pos, kp, kn = p[order], n[order], pos[order], kp[order], kn[order]
+        above, below, wins, loss = (np.zeros(replicates) for _ in range(4))
+        edges = np.nonzero(np.concatenate([[True], p[1:] != p[:-1]]))[0]
+        at = 0
+        while at < len(edges):
+            # Whole scores, about a thousand cells at a time.
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + 1000)))
+            lo, hi = edges[at], edges[to] if to < len(edges) else len(p)
+            if clustered:
+                w = poisson(kp[lo:hi], np.ones(hi - lo), replicates)
+                wp, wn = w * pos[lo:hi, None], w * (n - pos)[lo:hi, None]
+            else:
+                wp, wn = poisson(kp[lo:hi], pos[lo:hi], replicates), poisson(kn[lo:hi], (n - pos)[lo:hi], replicates)
+            loss += (wp * (1 - p[lo:hi, None]) ** 2 + wn * p[lo:hi, None] ** 2).sum(axis=0)
+            wp, wn = (np.add.reduceat(x, edges[at:to] - lo, axis=0) for x in (wp, wn))
+            before = below + np.cumsum(wn, axis=0) - wn
+            wins += (wp * (before + wn / 2)).sum(axis=0)
+            above, below, at = above + wp.sum(axis=0), below + wn.sum(axis=0), to
+        one = t.slice(0, 1)
+        lists = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (above, below, wins, loss)]
+        yield pa.RecordBatch.from_arrays([*(one.column(c).chunk(0) for c in (*by, "_seg")), *lists], names=[*by, "segment", "pos", "neg", "wins", "loss"])
+
+    schema = ", ".join([*keep, REPLICATES])
+    return cells.groupBy(*by, "_seg").applyInArrow(run, schema)
 
 
 def bootstrap_ci(
-    preds: DataFrame, by: Sequence[str], key: Sequence[str], replicates: int = 1000, seed: int = 0, level: float = 0.95
+    preds: DataFrame, by: Sequence[str], key: Sequence[str] = (), replicates: int = 1000, seed: int = 0, level: float = 0.95
 ) -> DataFrame:
     """H21 (and L8 with the cluster as ``key``): percentile intervals of AUROC and Brier.
 
-    Replicates are aggregated to distinct scores before ranking; the final percentile sees one
-    row per replicate.
+    Rows are first summed to cells of equal score (and cluster); a cell's weight in a replicate is a
+    Poisson number with the mean of its rows, or one Poisson(1) number per cluster.  The cells are cut
+    by score once, and a segment sends one vector per group with all replicates, so the shuffle is
+    cells plus segments x replicates.
     """
-    w = poisson_weights(observed(preds), key, replicates, seed)
-    m = metric_table(w, [*by, "replicate"], weight="w")
+    v = observed(preds)
+    tied = ["y_prob", *key]
+    cells = v.groupBy(*by, *tied).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y_true").cast("long")).alias("pos"))
+    hashed = [F.col(c) for c in (key or (*by, "y_prob"))]
+    cells = with_segment(cells, "y_prob", cut_points(cells, "y_prob"))
+    cells = cells.select(*by, F.col(SEG).alias("_seg"), F.col("y_prob").cast("double").alias("y_prob"), "n", "pos", F.xxhash64(*hashed, F.lit(seed)).alias("_kp"), F.xxhash64(*hashed, F.lit(seed), F.lit("n")).alias("_kn"))
+    sums = _replicate_sums(cells, by, int(replicates), bool(key))
+    rows = sums.select(*by, "segment", F.posexplode(F.arrays_zip("pos", "neg", "wins", "loss")).alias("replicate", "x")).select(*by, "segment", "replicate", "x.*")
+    w = Window.partitionBy(*by, "replicate").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_below", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
+    m = rows.groupBy(*by, "replicate").agg(
+        F.try_divide(F.sum(F.col("wins") + F.col("pos") * F.col("_below")), F.sum("pos") * F.sum("neg")).alias("auroc"),
+        F.try_divide(F.sum("loss"), F.sum("pos") + F.sum("neg")).alias("brier"),
+    )
     a = (1 - level) / 2
     ends = F.array(F.lit(a), F.lit(0.5), F.lit(1 - a))
-    out = m.groupBy(*by).agg(
+    out = m.where("brier IS NOT NULL").groupBy(*by).agg(
         F.percentile("auroc", ends).alias("_a"), F.percentile("brier", ends).alias("_b"), F.count(F.lit(1)).alias("replicates")
     )
     cols = [F.col(f"_{k}")[i].alias(f"{n}_{e}") for k, n in (("a", "auroc"), ("b", "brier")) for i, e in enumerate(("lo", "mid", "hi"))]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
-from .metrics import uniform_hash
+from .draws import uniforms
 from .patterns import join_same, previous_value, running_sums
 from .timeseries import rolling
 
@@ -100,15 +102,36 @@ def propagate(bands: DataFrame, by: Sequence[str], key: Sequence[str], qs: Seque
     """M8: Monte-Carlo sums of banded values per group: hashed uniforms through each row's quantile band.
 
     ``qs`` lists (level, column) in ascending order; draws beyond the outer levels take those values.
+    Rows with a missing band value add nothing.
     """
-    d = bands.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = uniform_hash(*[F.col(k) for k in key], F.col("draw"), F.lit(seed))
-    d = d.withColumn("_u", u)
-    v = F.col(qs[-1][1])
-    for (l0, c0), (l1, c1) in reversed(list(zip(qs, qs[1:]))):
-        v = F.when(F.col("_u") < l1, F.col(c0) + (F.col(c1) - F.col(c0)) * (F.col("_u") - l0) / (l1 - l0)).otherwise(v)
-    v = F.when(F.col("_u") < qs[0][0], F.col(qs[0][1])).otherwise(v)
-    sums = d.groupBy(*by, "draw").agg(F.sum(v).alias("_s"))
+    kinds = ", ".join(f"{c} {bands.schema[c].dataType.simpleString()}" for c in by)
+    levels = [float(level) for level, _ in qs]
+    rows = bands.select(*by, F.xxhash64(*[F.col(k) for k in key], F.lit(seed)).alias("_k"), F.array(*[F.col(c).cast("double") for _, c in qs]).alias("_band"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task sums its rows before anything is sent: one vector per group and batch of rows.
+        for b in batches:
+            rows = b.num_columns - 2
+            names = [tuple(x) for x in zip(*(b.column(i).to_pylist() for i in range(rows)))] if rows else [()] * b.num_rows
+            band = np.asarray([x if x is not None else [np.nan] * len(levels) for x in b.column(rows + 1).to_pylist()], dtype=float).reshape(-1, len(levels))
+            keys, first, sums = b.column(rows).to_numpy(), {}, {}
+            for lo in range(0, len(keys), 1000):
+                u = uniforms(keys[lo : lo + 1000], draws)
+                i = np.clip(np.searchsorted(levels, u, side="right") - 1, 0, max(0, len(levels) - 2))
+                x, edge = band[lo : lo + 1000], np.asarray(levels)
+                left = np.take_along_axis(x, i, axis=1)
+                if len(levels) > 1:
+                    share = np.clip((u - edge[i]) / (edge[i + 1] - edge[i]), 0, 1)
+                    left = left + (np.take_along_axis(x, i + 1, axis=1) - left) * share
+                for r, name in enumerate(names[lo : lo + 1000]):
+                    if not np.isnan(x[r]).any():
+                        first.setdefault(name, lo + r)
+                        sums[name] = sums.get(name, 0.0) + left[r]
+            at = pa.array(list(first.values()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(rows)), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))], names=[*by, "sums"])
+
+    some = rows.mapInArrow(run, ", ".join(filter(None, [kinds, "sums array<double>"])))
+    sums = some.select(*by, F.posexplode("sums").alias("draw", "_s")).groupBy(*by, "draw").agg(F.sum("_s").alias("_s"))
     p = F.percentile("_s", F.array(*[F.lit(float(q)) for q in out_qs]))  # one row per draw
     return sums.groupBy(*by).agg(p.alias("_q")).select(*by, *[F.col("_q")[i].alias(f"q{int(q * 100):02d}") for i, q in enumerate(out_qs)])
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import slug
 from ..operators import joins as jn, splits as sp, timeseries as ts
-from ..session import materialise
+from ..operators.patterns import only_row
+from ..session import materialise, new_path
+from ..sources.tables import write_parquet
 from . import base as b
 from .registry import load, query
 
@@ -40,11 +44,11 @@ def _(spark, d):
     return jn.map_code(s, codes.withColumnRenamed("r_name", "code"), "n_nationkey", "code")
 
 
-@query("c03_common_entities", """SELECT o_custkey AS entity FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0 INTERSECT SELECT user_id FROM events""")
+@query("c03_common_entities", """SELECT o_custkey AS entity FROM orders INTERSECT SELECT c_custkey FROM customer INTERSECT SELECT user_id FROM events""")
 def _(spark, d):
     return jn.common_entities([
         load(spark, d, "orders").select(F.col("o_custkey").alias("entity")),
-        load(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("entity")),
+        load(spark, d, "customer").select(F.col("c_custkey").alias("entity")),
         load(spark, d, "events").select(F.col("user_id").alias("entity"))], "entity")
 
 
@@ -201,14 +205,15 @@ def _(spark, d):
     return w.join(m, ["station", "mo"], "left").select("station", "week", R("weekly").alias("weekly"), R("monthly").alias("monthly"))
 
 
-@query("c17_validate_codes", """WITH f AS (SELECT user_id AS code, event_type AS scheme FROM events WHERE event_type IN ('view', 'purchase')),
-r AS (SELECT s_suppkey AS code, 'view' AS scheme FROM supplier UNION ALL SELECT c_custkey, 'purchase' FROM customer WHERE c_acctbal > 0)
-SELECT code, scheme, count(*) AS n_rows FROM f ANTI JOIN r ON r.code = f.code AND r.scheme = f.scheme GROUP BY 1, 2""")
+CODE_BOOKS = {"view": ("supplier", "s_suppkey"), "purchase": ("customer", "c_custkey"), "click": ("part", "p_partkey"), "signup": ("nation", "n_nationkey"), "error": ("region", "r_regionkey")}
+
+
+@query("c17_validate_codes", "WITH r AS (" + " UNION ALL ".join(f"SELECT CAST({c} AS BIGINT) AS code, '{s}' AS scheme FROM {t}" for s, (t, c) in CODE_BOOKS.items()) + """)
+SELECT user_id AS code, event_type AS scheme, count(*) AS n_rows FROM events ANTI JOIN r ON r.code = user_id AND r.scheme = event_type GROUP BY 1, 2""")
 def _(spark, d):
-    facts = load(spark, d, "events").where("event_type IN ('view', 'purchase')").select(F.col("user_id").alias("code"), F.col("event_type").alias("scheme"))
-    ref = load(spark, d, "supplier").select(F.col("s_suppkey").alias("code"), F.lit("view").alias("scheme")).unionByName(
-        load(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("code"), F.lit("purchase").alias("scheme")))
-    return jn.validate_codes(facts, ref, "code", "scheme")
+    facts = load(spark, d, "events").select(F.col("user_id").alias("code"), F.col("event_type").alias("scheme"))
+    books = [load(spark, d, t).select(F.col(c).cast("bigint").alias("code"), F.lit(s).alias("scheme")) for s, (t, c) in CODE_BOOKS.items()]
+    return jn.validate_codes(facts, reduce(lambda x, y: x.unionByName(y), books), "code", "scheme")
 
 
 MICRO = """micro AS (SELECT c_nationkey AS entity, c_mktsegment AS segment, sum(o_totalprice) AS value FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)"""
@@ -236,9 +241,21 @@ def _(spark, d):
     return out.select("sample", "y_true", R("p_a", 9).alias("p_a"), R("p_b", 9).alias("p_b"))
 
 
-@query("c22_resolve_order", "SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS ord, c_custkey FROM (SELECT DISTINCT c_custkey FROM customer ORDER BY 1 LIMIT 120)")
+@query("c22_resolve_order", """WITH h AS (SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS ord, c_custkey AS key FROM customer)
+SELECT 'heuristic' AS source, ord, key FROM h UNION ALL SELECT 'stored', (SELECT CAST(count(*) AS INTEGER) FROM h) - 1 - ord, key FROM h
+UNION ALL SELECT 'override', CAST(n_nationkey AS INTEGER), CAST(n_nationkey AS BIGINT) FROM nation""")
 def _(spark, d):
-    return jn.resolve_order(120, "c_custkey", None, None, load(spark, d, "customer"))
+    keys = load(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    heuristic = jn.resolve_order(None, "key", None, None, keys)
+    # The stored order comes from a file: here the keys backwards.
+    last = only_row(keys, F.count_distinct("key").cast("int").alias("n"))["n"] - 1
+    path = new_path(spark, "order")
+    write_parquet(heuristic.withColumn("ord", last - F.col("ord")), path)
+    stored = jn.resolve_order(None, "key", None, spark.read.parquet(path), keys)
+    nations = load(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("ord"), F.col("n_nationkey").cast("bigint").alias("key"))
+    override = jn.resolve_order(25, "key", nations, stored, keys)
+    named = lambda df, s: df.select(F.lit(s).alias("source"), "ord", "key")
+    return named(heuristic, "heuristic").unionByName(named(stored, "stored")).unionByName(named(override, "override"))
 
 
 @query("c23_integrity_report", "WITH " + b.PRICE + """, sp AS (SELECT min(month) AS lo FROM price),

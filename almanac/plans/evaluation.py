@@ -209,7 +209,7 @@ def _(spark, d):
 
 @query("h21_bootstrap_ci")
 def _(spark, d):
-    return mt.bootstrap_ci(b.preds(spark, d), ["horizon"], ["sample"], replicates=20)
+    return mt.bootstrap_ci(b.preds(spark, d), ["horizon"])
 
 
 @query("h22_best_epoch", "WITH " + b.PANEL + """,

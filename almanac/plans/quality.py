@@ -78,7 +78,7 @@ def _(spark, d):
 
 @query("l08_cluster_bootstrap")
 def _(spark, d):
-    return rl.cluster_bootstrap(b.preds(spark, d), ["horizon"], ["month"], replicates=20)
+    return rl.cluster_bootstrap(b.preds(spark, d), ["horizon"], ["month"])
 
 
 @query("l09_holm", MC.format(k="year, horizon", cut=0.55) + """, t AS (SELECT year, horizon, round(exp(-(greatest(abs(b - c) - 1, 0)::DOUBLE ** 2 / (b + c)) / 400), 9) AS p FROM m),

@@ -27,7 +27,7 @@ def _(spark, d):
 
 @query("d02_melt_years", "WITH " + ANNUAL + " SELECT entity, year, sum(value) AS value FROM annual GROUP BY 1, 2")
 def _(spark, d):
-    w = annual(spark, d).groupBy("entity").pivot("year", list(range(1995, 2002))).agg(F.sum("value"))
+    w = annual(spark, d).groupBy("entity").pivot("year").agg(F.sum("value"))
     return rs.melt_years(w, ["entity"])
 
 
@@ -239,7 +239,9 @@ def _(spark, d):
     return cb.any_active(b.cells(spark, d))
 
 
-TILES = ", t AS (SELECT month, c, ty, tx, sum(v) / 256.0::DOUBLE AS tile FROM cells, range(7) a(ty), range(7) b(tx) WHERE y BETWEEN ty * 8 AND ty * 8 + 15 AND x BETWEEN tx * 8 AND tx * 8 + 15 GROUP BY 1, 2, 3, 4)"
+TILES = """, tg AS (SELECT month, c, ty, tx FROM (SELECT DISTINCT month FROM cells), (SELECT DISTINCT c FROM cells), range(7) a(ty), range(7) b(tx)),
+t0 AS (SELECT month, c, ty, tx, sum(v) / 256.0::DOUBLE AS tile FROM cells, range(7) a(ty), range(7) b(tx) WHERE y BETWEEN ty * 8 AND ty * 8 + 15 AND x BETWEEN tx * 8 AND tx * 8 + 15 GROUP BY 1, 2, 3, 4),
+t AS (SELECT tg.*, coalesce(tile, 0) AS tile FROM tg LEFT JOIN t0 USING (month, c, ty, tx))"""
 
 
 @query("f06_tile_mean", C + TILES + " SELECT month, c, CAST(ty AS INTEGER) AS ty, CAST(tx AS INTEGER) AS tx, round(tile, 6) AS tile FROM t")

@@ -114,7 +114,7 @@ def _(spark, d):
 @query("m08_propagate")
 def _(spark, d):
     f = naive(spark, d).where("fc IS NOT NULL").withColumns({"lo": F.col("fc") * 0.8, "mid": F.col("fc"), "hi": F.col("fc") * 1.2, "year": F.year("month")})
-    return mr.propagate(f, ["entity", "year"], ["entity", "t"], [(0.05, "lo"), (0.5, "mid"), (0.95, "hi")], 50, (0.05, 0.5, 0.95), seed=5)
+    return mr.propagate(f, ["entity", "year"], ["entity", "t"], [(0.05, "lo"), (0.5, "mid"), (0.95, "hi")], 1000, (0.05, 0.5, 0.95), seed=5)
 
 
 @query("m09_rolling_origin", "WITH " + b.DAILY_PANEL + """, o AS (SELECT unnest(generate_series(14, (SELECT max(t) FROM dpanel), 7)) AS origin),

@@ -23,14 +23,12 @@ def _(spark, d):
     return src.read_csv(spark, path, schema, ["c_custkey", "c_nationkey", "c_acctbal"])
 
 
-WIDE_Y = ", ".join(f"round(max(CASE WHEN year = {y} THEN a END), 2) AS y{y}" for y in range(1995, 2002))
-
-
 @query("a02_read_wide", "WITH " + ANNUAL + """, f AS (SELECT entity, year, a FROM awide WHERE a IS NOT NULL AND NOT (entity = 3 AND year = 1997))
 SELECT CAST(entity AS VARCHAR) AS entity, year, round(a, 2) AS value FROM f""")
 def _(spark, d):
-    w = annual_wide(spark, d).where("NOT (entity = 3 AND year = 1997)")
-    years = list(range(1995, 2002))
+    gap = (F.col("entity") == 3) & (F.col("year") == 1997)  # a cell that the table marks as missing
+    w = annual_wide(spark, d).withColumn("a", F.when(~gap, F.col("a")))
+    years = w.agg(F.array_sort(F.collect_set("year"))).first()[0]  # as many as the calendar has
     wide = rs.pivot_mean(w, ["entity"], "year", "a", years)
     wide = wide.select("entity", *[F.coalesce(F.col(str(y)).cast("string"), F.lit("..")).alias(str(y)) for y in years])
     path = new_path(spark, "wide")
@@ -51,16 +49,15 @@ def _(spark, d):
     return src.codes_from_list(load(spark, d, "part"), "p_name", " ")
 
 
-@query("a05_catalog", "SELECT l_returnflag AS f, CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM lineitem GROUP BY 1, 2".replace("l_returnflag AS f", "lower(l_returnflag) || 'flag' AS code"))
+@query("a05_catalog", "SELECT lower(l_returnflag) || '09' AS code, strftime(l_shipdate, '%Y%m') AS yyyymm, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, 'v2' AS version FROM lineitem GROUP BY ALL")
 def _(spark, d):
-    # One folder per class and month, as raster files would arrive; the listing reads no content.
+    # One folder per class and month, as raster files would arrive, delivered twice; the listing reads no content.
     path = new_path(spark, "cells")
-    c = b.cells(spark, d).withColumn("part", F.concat("c", F.lit("flag_"), F.date_format("month", "yyyyMM")))
-    c.select("part", "y", "x", "v").repartition("part").write.partitionBy("part").parquet(path)
-    files = src.list_files(spark, path, "*.parquet")
-    named = F.regexp_extract("path", r"part=([A-Za-z]+)_(\d{6})/", 1)
-    ym = F.regexp_extract("path", r"part=([A-Za-z]+)_(\d{6})/", 2)
-    return files.select(F.lower(named).alias("code"), F.to_date(F.concat(ym, F.lit("01")), "yyyyMMdd").alias("month")).distinct()
+    c = b.cells(spark, d).withColumn("part", F.concat("c", F.lit("09_"), F.date_format("month", "yyyyMM"))).select("part", "y", "x", "v").repartition("part")
+    for version in ("v1", "v2"):
+        c.write.partitionBy("part").parquet(f"{path}/{version}")
+    files = src.catalog(spark, path, glob="*.parquet", folders=True)
+    return files.select("code", "yyyymm", "month", F.regexp_extract("path", "/(v[12])/", 1).alias("version"))
 
 
 @query("a06_crop_cells", "WITH " + b.CELLS + " SELECT month, c, y, x, v FROM cells WHERE x BETWEEN 8 AND 24 AND y BETWEEN 10 AND 40")

@@ -209,7 +209,6 @@ def surge_rows(spark, d):
     lab = labelled(spark, d).where("horizon = 3")
     w = sp.class_weights(lab.where("m = 1")).select("entity", "t_end", "month", "y", "w")
     tiles = cb.tile_vector(cb.tile_mean(b.cells(spark, d), 64, 64, 32)).withColumn("dynamic", F.transform("vec", lambda x: F.log1p(x)))
-    tiles = tiles.where(F.size("dynamic") == only_row(tiles, F.max(F.size("dynamic")).alias("n"))["n"])
     stat = jn.replicate_annual(annual_wide(spark, d), w, ["entity"])
     vals = F.array(*[sc.signed_log1p(c) for c in ("a", "n", "r")])
     miss = F.array(*[F.col(c).isNull().cast("double") for c in ("a", "n", "r")])

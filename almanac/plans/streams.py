@@ -74,14 +74,14 @@ def _(spark, d):
     return replay(st.enrich(stream(spark, d), dim, ["station"])).select("event_id", "station", "segment")
 
 
-STATE = """u AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type IN ('view', 'purchase')), s AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type IN ('error', 'click')),
+STATE = """u AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type IN ('view', 'purchase', 'signup')), s AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type IN ('error', 'click')),
 ws AS (SELECT u.event_id, u.user_id AS station, CASE WHEN u.ts - s.ts <= INTERVAL 2 DAY THEN s.event_id END AS state_event_id, CASE WHEN u.ts - s.ts <= INTERVAL 2 DAY THEN s.value END AS state_value
   FROM u ASOF LEFT JOIN s ON u.user_id = s.user_id AND u.ts >= s.ts)"""
 
 
 @query("n06_with_state", "WITH " + STATE + " SELECT * FROM ws")
 def _(spark, d):
-    s = stream(spark, d).where("event_type IN ('view', 'purchase', 'error', 'click')").select("event_id", "station", "us", "event_type", "value")
+    s = stream(spark, d).where("event_type IN ('view', 'purchase', 'signup', 'error', 'click')").select("event_id", "station", "us", "event_type", "value")
     is_state = F.col("event_type").isin("error", "click")
     out = st.with_state(s, is_state, ["station"], "us", "event_id", "value", 2 * 86400e6)
     return out.select("event_id", "station", "state_event_id", "state_value")
@@ -108,8 +108,7 @@ utt AS (SELECT event_id, user_id AS home, ts, CASE WHEN event_id % 2 = 1 THEN su
   value / 10 AS snr, value / (value + 50) AS conf, event_type FROM p0),
 lex AS (SELECT * FROM (VALUES {MT}) v(family, kind, entry)),
 said AS (SELECT DISTINCT phrase FROM utt),
-st1 AS (SELECT DISTINCT phrase, unnest(string_split(phrase, ' ')) AS tok FROM said), lt AS (SELECT DISTINCT family, kind, entry, unnest(string_split(entry, ' ')) AS tok FROM lex),
-cd AS (SELECT DISTINCT phrase, family, kind, entry FROM st1 JOIN lt ON lt.tok = st1.tok),
+cd AS (SELECT phrase, family, kind, entry FROM said, lex),
 bst AS (SELECT phrase, family, kind, max(1 - levenshtein(phrase, entry)::DOUBLE / greatest(length(phrase), length(entry))) AS score FROM cd GROUP BY 1, 2, 3),
 sc AS (SELECT u.*, family, kind, score FROM utt u JOIN bst ON bst.phrase = u.phrase)"""
 

@@ -40,9 +40,12 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return r.load(root).select("path", "length", "modificationTime")
 
 
-def catalog(spark: SparkSession, root: str, pattern: str = r"([A-Za-z]+)_(\d{6})", glob: str = "*") -> DataFrame:
-    """A5: files whose stem matches ``pattern`` (code, yyyymm) as (code, month, path); the last path wins."""
-    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+def catalog(spark: SparkSession, root: str, pattern: str = r"([0-9A-Za-z]+)_(\d{6})", glob: str = "*", folders: bool = False) -> DataFrame:
+    """A5: files whose stem matches ``pattern`` (code, yyyymm) as (code, month, path); the last path wins.
+
+    With ``folders`` the name is that of the file's folder, for tables written in several parts.
+    """
+    stem = F.regexp_extract("path", r"([^/]+)/[^/]*$" if folders else r"([^/]+?)(\.[^./]*)?$", 1)
     f = list_files(spark, root, glob).withColumn("_s", stem)
     f = f.select(F.lower(F.regexp_extract("_s", pattern, 1)).alias("code"), F.regexp_extract("_s", pattern, 2).alias("yyyymm"), "path")
     f = f.where("code <> '' AND yyyymm <> ''")

@@ -233,9 +233,41 @@ def test_propagation_brackets_the_sum(spark):
 
 def test_cluster_bootstrap_weighs_whole_clusters(spark):
     _, df = preds(spark, n=300)
-    w = mt.poisson_weights(df, ["g"], 10, seed=1)
-    assert w.groupBy("g", "replicate").agg(F.countDistinct("w").alias("k")).where("k > 1").count() == 0
-    assert rl.cluster_bootstrap(df, [], ["g"], replicates=10).first()["replicates"] <= 10
+    r = rl.cluster_bootstrap(df, [], ["g"], replicates=400, seed=1).first()
+    a, one = mt.auroc(df, []).first()[0], rl.cluster_bootstrap(df.withColumn("g", F.lit(0)), [], ["g"], replicates=400, seed=1).first()
+    assert r["auroc_lo"] < a < r["auroc_hi"]
+    # One cluster has one weight: every replicate that has rows at all repeats the estimate.
+    assert one["auroc_lo"] == pytest.approx(a) == pytest.approx(one["auroc_hi"]) and 200 < one["replicates"] < 300
+
+
+def test_poisson_draws_have_their_mean_and_variance():
+    from almanac.operators.draws import poisson
+
+    x = poisson(np.arange(4) * 7919 + 5, np.array([0, 1, 30, 700]), 20_000)
+    assert (x[0] == 0).all()
+    for row, mean in zip(x[1:], (1, 30, 700)):
+        assert abs(row.mean() - mean) < 5 * (mean / 20_000) ** 0.5 and abs(row.var() / mean - 1) < 0.06
+
+
+def test_replicates_agree_with_a_direct_computation(spark):
+    from almanac.operators.draws import poisson
+
+    rows = [(i, float(i % 7) / 10, i % 3 == 0) for i in range(60)]
+    df = spark.createDataFrame([(i, int(y), 1, p) for i, p, y in rows], "sample long, y_true int, y_mask int, y_prob double")
+    got = mt.bootstrap_ci(df, [], ["sample"], replicates=50, seed=3).first()
+    keys = np.array([r[0] for r in df.orderBy("sample").select(F.xxhash64("sample", F.lit(3))).collect()])
+    w = poisson(keys, np.ones(60), 50)
+    p, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    order = (p[:, None] > p[None, :]) + 0.5 * (p[:, None] == p[None, :])
+    auc = [(a[y] @ order[np.ix_(y, ~y)] @ a[~y]) / (a[y].sum() * a[~y].sum()) for a in w.T]
+    assert [got["auroc_lo"], got["auroc_mid"], got["auroc_hi"]] == pytest.approx(np.quantile(auc, [0.025, 0.5, 0.975]).tolist())
+    loss = [(a * (p - y) ** 2).sum() / a.sum() for a in w.T]
+    assert got["brier_mid"] == pytest.approx(np.quantile(loss, 0.5))
+
+
+def test_budgets_beyond_the_edges_stay_apart(spark):
+    _, df = preds(spark, n=50)
+    assert sorted(r["budget"] for r in mt.budget_thresholds(df, [], [1.0, 1.5, 2.0, 0.1]).collect()) == [0.1, 1.0, 1.5, 2.0]
 
 
 def test_fingerprint_ignores_order_and_sees_changes(spark):

@@ -61,12 +61,22 @@ def test_routing(spark):
 
 
 def test_lexicon_scores(spark):
-    u = spark.createDataFrame([(1, "volume up"), (2, "volume u"), (3, "hello")], "id int, phrase string")
+    u = spark.createDataFrame([(1, "volume up"), (2, "volume u")], "id int, phrase string")
     lex = spark.createDataFrame([("tv", "active", "volume up"), ("oven", "defensive", "volume up")], "family string, kind string, entry string")
     got = {(r.id, r.family, r.kind): round(r.score, 4) for r in jn.lexicon_score(u, lex).collect()}
     assert got == {(1, "tv", "active"): 1.0, (1, "oven", "defensive"): 1.0, (2, "tv", "active"): 0.8889, (2, "oven", "defensive"): 0.8889}
 
 
+def test_no_utterance_is_lost(spark):
+    said = [(1, "mut"), (2, "paus"), (3, "xyzzy"), (4, None), (5, ""), (6, "MUTE")]
+    u = spark.createDataFrame(said, "id int, phrase string")
+    lex = spark.createDataFrame([("tv", "active", "mute"), ("tv", "active", "pause"), ("oven", "defensive", "stop")], "family string, kind string, entry string")
+    got = {(r.id, r.family): r.score for r in jn.lexicon_score(u, lex, floor=0.5).collect()}
+    assert got == {(1, "tv"): 0.75, (1, "oven"): 0.0, (2, "tv"): 0.8, (2, "oven"): 0.0, **{(i, f): 0.0 for i in (3, 4, 5) for f in ("tv", "oven")}, (6, "tv"): 1.0, (6, "oven"): 0.0}
+    best = dc.best_scores(jn.lexicon_score(u, lex), ["id", "family"])
+    assert best.select("id").distinct().count() == len(said)
+
+
 def test_streams_resume_with_their_state(spark):
     """Two runs over a growing folder give what one run over all of it gives."""
     rnd = random.Random(8)
