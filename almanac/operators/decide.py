@@ -189,8 +189,12 @@ CALIBRATORS = {"none": Identity, "platt": Platt, "isotonic": Isotonic, "temperat
 
 
 def calibrate(fit: DataFrame, apply: DataFrame, method: str = "platt", horizons: Sequence[int] = (1, 3), **kw) -> DataFrame:
-    """One frozen calibrator per horizon (a short parameter list), applied pointwise as ``y_cal``."""
-    out = F.col("y_prob")
+    """One frozen calibrator per horizon (a short parameter list), applied pointwise as ``y_cal``.
+
+    Rows of a horizon that is not listed fail, so that none stays uncalibrated unnoticed.
+    """
+    known = F.coalesce(F.col("horizon").isin(list(horizons)), F.lit(False))
+    out = F.when(known, F.col("y_prob")).otherwise(F.raise_error(F.lit("a horizon has no calibrator")).cast("double"))
     for h in horizons:
         c = CALIBRATORS[method](**kw).fit(fit.where(F.col("horizon") == h))
         out = F.when(F.col("horizon") == h, c.transform("y_prob")).otherwise(out)
@@ -250,17 +254,17 @@ def pareto(curve: DataFrame, by: Sequence[str]) -> DataFrame:
     return curve.withColumn("_b", best).where(F.col("_b").isNull() | (F.col("hit") > F.col("_b"))).drop("_b")
 
 
-def fit_surge_model(rows: DataFrame, vector_cols: Sequence[str], label: str = "y", weight: str = "w", entity: str | None = None):
-    """Logistic classifier over array features, optional one-hot entity, with row weights."""
+def fit_surge_model(fit: DataFrame, apply: DataFrame, vector_cols: Sequence[str], label: str = "y", weight: str = "w", entity: str | None = None):
+    """Logistic classifier over array features, optional one-hot entity, with row weights.
+
+    Learned from ``fit`` alone; returns the model and the rows of ``apply`` with ``y_prob``.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder
     from pyspark.ml.functions import array_to_vector
 
-    df = rows
-    ins = []
-    for c in vector_cols:
-        df = df.withColumn(f"_v_{c}", array_to_vector(F.col(c)))
-        ins.append(f"_v_{c}")
+    ins = [f"_v_{c}" for c in vector_cols]
+    vectors = lambda df: df.withColumns({f"_v_{c}": array_to_vector(F.col(c)) for c in vector_cols})
     stages = []
     if entity:
         stages.append(OneHotEncoder(inputCols=[entity], outputCols=["_ent"], handleInvalid="keep"))
@@ -269,6 +273,6 @@ def fit_surge_model(rows: DataFrame, vector_cols: Sequence[str], label: str = "y
         VectorAssembler(inputCols=ins, outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol=label, weightCol=weight, regParam=0.01, maxIter=30),
     ]
-    model = Pipeline(stages=stages).fit(df)
-    scored = model.transform(df).withColumn("y_prob", vector_to_array("probability")[1])
-    return model, scored.drop(*ins, "_features", "rawPrediction", "probability")
+    model = Pipeline(stages=stages).fit(vectors(fit))
+    scored = model.transform(vectors(apply)).withColumn("y_prob", vector_to_array("probability")[1])
+    return model, scored.drop(*ins, "_features", "rawPrediction", "probability", "prediction")

@@ -205,19 +205,61 @@ def _(spark, d):
 
 
 def surge_rows(spark, d):
-    """Training rows of the surge classifier: tile vector of the month, gated statics, month code, entity."""
-    lab = labelled(spark, d).where("horizon = 3")
-    w = sp.class_weights(lab.where("m = 1")).select("entity", "t_end", "month", "y", "w")
+    """Samples of the surge classifier by split: tile vector of the month, gated statics, month code, entity, row weight."""
+    lab = next_year(spark, d)
     tiles = cb.tile_vector(cb.tile_mean(b.cells(spark, d), 64, 64, 32)).withColumn("dynamic", F.transform("vec", lambda x: F.log1p(x)))
-    stat = jn.replicate_annual(annual_wide(spark, d), w, ["entity"])
+    width = only_row(tiles, F.max(F.size("dynamic")).alias("n"))["n"]  # all vectors have one length
+    stat = jn.replicate_annual(annual_wide(spark, d), lab, ["entity"])
     vals = F.array(*[sc.signed_log1p(c) for c in ("a", "n", "r")])
     miss = F.array(*[F.col(c).isNull().cast("double") for c in ("a", "n", "r")])
-    return stat.join(tiles.select("month", "dynamic"), "month").select(
-        "entity", "t_end", "y", "w", "dynamic", sc.gate(vals, miss, sc.month_enc("month")).alias("static"))
+    rows = stat.join(tiles.select("month", "dynamic"), "month", "left").select(
+        "entity", "t_end", "month", "horizon", "y", "m", "split", F.coalesce("dynamic", F.array_repeat(F.lit(0.0), F.coalesce(width, F.lit(1)))).alias("dynamic"), sc.gate(vals, miss, sc.month_enc("month")).alias("static"))
+    return rows
+
+
+def surge_predictions(spark, d, horizons=(1, 3)):
+    """Scores of the validation and test rows in the prediction contract; each horizon's model saw valid training rows only."""
+    rows = materialise(surge_rows(spark, d), "surge_rows")
+    out = None
+    for h in horizons:
+        mine = rows.where(F.col("horizon") == h)
+        fit = sp.class_weights(mine.where("split = 'train' AND m = 1"))
+        _, scored = decide.fit_surge_model(fit, mine.where("split <> 'train'"), ["dynamic", "static"], "y", "w", "entity")
+        part = scored.select("entity", "t_end", "month", "horizon", F.col("y").alias("y_true"), F.col("m").alias("y_mask"), "y_prob", "split")
+        out = part if out is None else out.unionByName(part)
+    return materialise(out, "surge_predictions")
 
 
 @query("i15_surge_model")
 def _(spark, d):
-    rows = materialise(surge_rows(spark, d), "surge_rows")
-    _, scored = decide.fit_surge_model(rows, ["dynamic", "static"], "y", "w", "entity")
-    return scored.select("entity", "t_end", "y", "w", "y_prob")
+    return surge_predictions(spark, d)
+
+
+def calibrated(spark, d):
+    """Test rows with scores calibrated on the validation rows, and the validation rows' budget thresholds."""
+    p = surge_predictions(spark, d)
+    val, test = p.where("split = 'val'"), p.where("split = 'test'")
+    cal = lambda df: decide.calibrate(val, df, "platt").withColumn("y_prob", F.col("y_cal")).drop("y_cal")
+    return cal(test), mt.budget_thresholds(cal(val), ["horizon"], [0.1])
+
+
+@query("i15_flow_by_entity")
+def _(spark, d):
+    return mt.metric_table(calibrated(spark, d)[0], ["horizon", "entity"])
+
+
+@query("i15_flow_by_month")
+def _(spark, d):
+    return mt.metric_table(calibrated(spark, d)[0], ["horizon", "month"])
+
+
+@query("i15_flow_alerts", NEXT + """ SELECT horizon, month, CAST(count(*) AS BIGINT) AS n, CAST(sum(m) AS BIGINT) AS valid, CAST(sum(y * m) AS BIGINT) AS positives, true AS alerts_in_range
+FROM sp WHERE split = 'test' GROUP BY 1, 2""")
+def _(spark, d):
+    """Alerts of the test rows at the thresholds of the validation rows, with the counts by month."""
+    test, thr = calibrated(spark, d)
+    j = test.join(thr.select("horizon", "thr"), "horizon", "left")
+    g = j.groupBy("horizon", "month").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y_mask").cast("bigint").alias("valid"), F.sum(F.col("y_true") * F.col("y_mask")).cast("bigint").alias("positives"),
+        F.count_if(F.coalesce(F.col("y_prob") >= F.col("thr"), F.lit(False))).alias("alerts"))
+    return g.select("horizon", "month", "n", "valid", "positives", F.col("alerts").between(0, F.col("n")).alias("alerts_in_range"))
