@@ -202,11 +202,15 @@ def sigmoid(x: Column | str) -> Column:
     return 1 / (1 + F.exp(-col(x)))
 
 
+# Fixed value: the multiplier of the stride sample.
+STRIDE_STEP = 1000003
+
+
 def stride_sample(i: Column | str, j: Column | str, k: int) -> Column:
     """Deterministic modular sample of matrix cells; everything for k <= 1."""
     if k <= 1:
         return F.lit(True)
-    return F.pmod(col(i).cast("bigint") * 1000003 + col(j).cast("bigint"), F.lit(k)) == 0
+    return F.pmod(col(i).cast("bigint") * STRIDE_STEP + col(j).cast("bigint"), F.lit(k)) == 0
 
 
 def bce(y: Column | str, p: Column | str, w: Column | float = 1.0) -> Column:

@@ -14,7 +14,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from ..functions.scalars import stride_sample
+from ..functions.scalars import STRIDE_STEP, stride_sample
 from .patterns import global_index, only_row, quantiles, quantiles_wide
 
 
@@ -55,24 +55,50 @@ def index_labels(df: DataFrame, entity: str = "entity", year: str = "year") -> D
     return global_index(d, "_k", [entity, year], "idx").drop("_k")
 
 
-def pairwise_distance(points: DataFrame, coords: Sequence[str], block: int = 256) -> DataFrame:
+def pairwise_distance(
+    points: DataFrame, coords: Sequence[str], block: int = 256, i_where: Column | None = None, j_where: Column | None = None,
+    same: Sequence[str] = (), stride: int = 1,
+) -> DataFrame:
     """Euclidean distance of every label pair ``i_idx <= j_idx``.
 
     Labels are tiled into blocks and joined on the block pair, so every task computes at most
-    block x block distances; the n(n+1)/2 rows are the result itself.
+    block x block distances; the n(n+1)/2 rows are the result itself.  Selections are made on the
+    points, before anything is paired: ``i_where`` and ``j_where`` keep the points of one side (B16,
+    B19), ``same`` pairs only points that agree on these columns (D15, O4), and ``stride`` pairs a row
+    only with the columns that the modular sample takes (B18).
     """
     top = only_row(points, F.floor(F.max("idx") / F.lit(block)).alias("b"))
-    p = points.select("idx", "label", "entity", "year", *coords).withColumn("_b", F.floor(F.col("idx") / F.lit(block)))
-    p = p.withColumn("_t", top)
-    side = lambda s: p.select(*[F.col(c).alias(f"{s}_{c}") for c in ("idx", "label", "entity", "year", *coords)], "_b", "_t")
-    left = side("i").withColumn("bi", F.col("_b")).withColumn("bj", F.explode(F.sequence(F.col("_b"), F.col("_t.b")))).drop("_b", "_t")
-    right = side("j").withColumn("bj", F.col("_b")).withColumn("bi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b")))).drop("_b", "_t")
+    p = points.select("idx", "label", "entity", "year", *coords, *[F.col(c).alias(f"_s_{c}") for c in same])
+    p = p.withColumn("_b", F.floor(F.col("idx") / F.lit(block))).withColumn("_t", top)
+    keys = [f"_s_{c}" for c in same]
+    side = lambda s, keep: (p if keep is None else p.where(keep)).select(*[F.col(c).alias(f"{s}_{c}") for c in ("idx", "label", "entity", "year", *coords)], *keys, "_b", "_t")
+    left = side("i", i_where).withColumn("bi", F.col("_b")).withColumn("bj", F.explode(F.sequence(F.col("_b"), F.col("_t.b")))).drop("_b", "_t")
+    right = side("j", j_where).withColumn("bj", F.col("_b")).withColumn("bi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_b")))).drop("_b", "_t")
+    if stride > 1:
+        left = left.withColumn("_r", F.pmod(-F.col("i_idx") * STRIDE_STEP, F.lit(stride)))
+        right = right.withColumn("_r", F.pmod("j_idx", F.lit(stride)))
+        keys = [*keys, "_r"]
     sq = sum((F.pow(F.col(f"i_{c}") - F.col(f"j_{c}"), F.lit(2.0)) for c in coords), F.lit(0.0))
-    j = left.join(right, ["bi", "bj"]).where("i_idx <= j_idx")
+    j = left.join(right, ["bi", "bj", *keys]).where("i_idx <= j_idx")
     return j.select("i_idx", "j_idx", "i_label", "j_label", F.col("i_entity").alias("i_country"), F.col("j_entity").alias("j_country"),
                     "i_year", "j_year", F.sqrt(sq).alias("distance"))
 
 
+def self_pairs(points: DataFrame, coords: Sequence[str]) -> DataFrame:
+    """The diagonal, made from the points without pairing any."""
+    sq = sum((F.pow(F.col(c) - F.col(c), F.lit(2.0)) for c in coords), F.lit(0.0))
+    names = {"idx": "idx", "label": "label", "entity": "country", "year": "year"}
+    return points.select(*[F.col(c).alias(f"{s}_{n}") for c, n in names.items() for s in ("i", "j")], F.sqrt(sq).alias("distance"))
+
+
+def distances_from(points: DataFrame, coords: Sequence[str], node: str) -> DataFrame:
+    """O2: distances of one labelled point to all others; the point is a one-row scalar, nothing is joined."""
+    one = only_row(points.where(F.col("label") == node), *[F.first(c).alias(c) for c in coords])
+    p = points.where(F.col("label") != node).withColumn("_one", one)
+    sq = sum((F.pow(F.col(c) - F.col(f"_one.{c}"), F.lit(2.0)) for c in coords), F.lit(0.0))
+    return p.select(F.lit(node).alias("node"), F.col("label").alias("other"), F.sqrt(sq).alias("distance")).where("distance IS NOT NULL")
+
+
 def mirror(pairs: DataFrame) -> DataFrame:
     """Both directions of every off-diagonal pair, as (node, other, ...) rows."""
     a = pairs.select(F.col("i_label").alias("node"), F.col("j_label").alias("other"), F.col("i_country").alias("country"), F.col("j_country").alias("other_country"),
@@ -174,10 +200,9 @@ def pair_lookup(pairs: DataFrame, a: tuple[int, int], b: tuple[int, int]) -> Dat
     return pairs.where((at("i", a) & at("j", b)) | (at("i", b) & at("j", a)))
 
 
-def knn_of(pairs: DataFrame, node: str, k: int) -> DataFrame:
-    """O2: the k nearest neighbours of one node."""
-    return mirror(pairs.where((F.col("i_label") == node) | (F.col("j_label") == node))).where(
-        (F.col("node") == node) & (F.col("other") != node)).orderBy("distance", "other").limit(k).select("node", "other", "distance")
+def knn_of(distances: DataFrame, k: int) -> DataFrame:
+    """O2: the k nearest of the distances from one node (:func:`distances_from`)."""
+    return distances.orderBy("distance", "other").limit(k).select("node", "other", "distance")
 
 
 def knn_all(pairs: DataFrame, k: int) -> DataFrame:
@@ -204,6 +229,10 @@ def export_lines(pairs: DataFrame, precision: int = 4, base: int = 0, labels: bo
     return out if max_lines is None else out.orderBy("i_idx", "j_idx").limit(max_lines)
 
 
+# Fixed values of the page layout: inches, points to the inch and the smallest line height are the defaults below.
+A4_HEIGHT_IN = 11.69
+
+
 def lines_per_column(page_height_in: float = 11.0, top_in: float = 0.35, bottom_in: float = 0.35, font_pt: float = 4.2, spacing: float = 1.0) -> int:
     """Lines that fit into one text column of a page (72 points to the inch, at least 3.8 points a line)."""
     return max(1, int((page_height_in - top_in - bottom_in) * 72.0 // max(3.8, font_pt * spacing)))
@@ -222,11 +251,21 @@ def paginate(lines: DataFrame, per_col: int, ncols: int, n: int | Column) -> Dat
     }).drop("_pos")
 
 
-def estimate_export(pairs: DataFrame, per_page: int, mode: str = "all", stride: int = 1, max_pages: int = 0) -> DataFrame:
-    """Expected lines and pages of an export mode, with the cap warning."""
-    a = pairs.agg(F.sum(diagonal().cast("bigint")).alias("labels"))
-    rows = (F.col("labels") * (F.col("labels") + 1) / 2).cast("bigint")
-    lines = {"all": rows, "diagonal": F.col("labels"), "stride": F.greatest(F.floor(rows / F.lit(max(1, stride))), F.lit(1))}[mode]
+def estimate_export(points: DataFrame, per_page: int, mode: str = "all", stride: int = 1, max_pages: int = 0, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Expected lines and pages of an export mode, with the cap warning; counted from the labels, not from pairs.
+
+    ``window`` is (i0, i1, j0, j1), ends included; the cells of it that the half triangle holds count.
+    """
+    a = points.agg(F.count(F.lit(1)).alias("labels"))
+    n = F.col("labels")
+    rows = (n * (n + 1) / 2).cast("bigint")
+    if mode == "window":
+        i0, i1, j0, j1 = window
+        ends = F.sequence(F.lit(max(0, i0)), F.least(F.lit(i1), n - 1).cast("int"))
+        wide = lambda i: F.greatest(F.least(F.lit(j1), n - 1) - F.greatest(F.lit(j0), i) + 1, F.lit(0)).cast("bigint")
+        lines = F.when(n > max(0, i0), F.aggregate(F.when(F.lit(i1 >= max(0, i0)), ends).otherwise(F.array().cast("array<int>")), F.lit(0).cast("bigint"), lambda acc, i: acc + wide(i))).otherwise(F.lit(0))
+    else:
+        lines = {"all": rows, "diagonal": n, "stride": F.greatest(F.floor(rows / F.lit(max(1, stride))), F.lit(1))}[mode]
     e = a.select("labels", lines.cast("bigint").alias("lines"))
     e = e.withColumn("pages", F.greatest(F.ceil(F.col("lines") / F.lit(per_page)), F.lit(1)))
     return e.withColumn("capped", (F.lit(max_pages > 0) & (F.col("pages") > max_pages)).cast("int"))

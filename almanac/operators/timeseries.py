@@ -121,16 +121,18 @@ def min_duration(df: DataFrame, flag: str, by: Sequence[str], order: str, n: int
 def onsets(df: DataFrame, flag: str, by: Sequence[str], t: str, refractory: int, out: str = "onset") -> DataFrame:
     """Run starts; a start counts only more than ``refractory`` periods after the last accepted one.
 
-    The greedy choice is a fold over the entity's sorted starts (at most one per period).
+    The greedy choice is a fold over the entity's sorted starts (at most one per period), made once per
+    entity, on its first row, and handed to the others.
     """
     w = over(by, t)
     start = (F.col(flag) == 1) & (F.coalesce(F.lag(flag).over(w), F.lit(0)) == 0)
     df = df.withColumn("_start", start)
     if refractory <= 0:
         return df.withColumn(out, F.col("_start").cast("int")).drop("_start")
-    starts = F.array_sort(F.collect_list(F.when(F.col("_start"), F.col(t))).over(Window.partitionBy(*by)))
+    whole = Window.partitionBy(*by).orderBy(t).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.withColumns({"_starts": F.collect_list(F.when(F.col("_start"), F.col(t))).over(whole), "_first": F.row_number().over(w) == 1})
     accept = F.aggregate(
-        starts,
+        F.array_sort("_starts"),
         F.array().cast("array<int>"),
         lambda acc, s: F.when(
             (F.size(acc) == 0) | (s - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) > refractory),
@@ -138,9 +140,10 @@ def onsets(df: DataFrame, flag: str, by: Sequence[str], t: str, refractory: int,
         ).otherwise(acc),
     )
     return (
-        df.withColumn("_ok", accept)
+        df.withColumn("_once", F.when(F.col("_first"), accept))
+        .withColumn("_ok", F.first("_once", ignorenulls=True).over(whole))
         .withColumn(out, F.array_contains("_ok", F.col(t).cast("int")).cast("int"))
-        .drop("_start", "_ok")
+        .drop("_start", "_starts", "_first", "_once", "_ok")
     )
 
 

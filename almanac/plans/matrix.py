@@ -29,11 +29,15 @@ def points(spark, d):
     return pr.index_labels(pr.standardise(w, ["x", "y"]))
 
 
-def pairs(spark, d):
-    p = pr.pairwise_distance(materialise(points(spark, d), "points"), ["x", "y"], block=64)
+def pairs(spark, d, **selection):
+    p = pr.pairwise_distance(materialise(points(spark, d), "points"), ["x", "y"], block=64, **selection)
     return p.withColumn("distance", R("distance", 10))  # equal distances stay equal in every engine
 
 
+def is_node(entity, year):
+    return (F.col("entity") == entity) & (F.col("year") == year)
+
+
 @query("j01_impute_median", "WITH " + b.DAILY_PANEL + """ SELECT station, day, round(coalesce(stage, (SELECT quantile_cont(stage, 0.5) FROM dpanel)), 6) AS stage,
   round(coalesce(peak, (SELECT quantile_cont(peak, 0.5) FROM dpanel)), 6) AS peak FROM dpanel""")
 def _(spark, d):
@@ -62,7 +66,7 @@ def _(spark, d):
 
 @query("j06_validate_matrix", PAIRS + """ SELECT count(*) AS cells, CAST(sum(CAST(abs(distance - round(distance, 4)) > 1e-3 AS INTEGER)) AS BIGINT) AS off, 0::BIGINT AS missing FROM pairs""")
 def _(spark, d):
-    p = pairs(spark, d)
+    p = materialise(pairs(spark, d), "pairs")  # the matrix is the product; it is read twice
     return pr.validate_matrix(p, p.withColumn("distance", R("distance", 4)), 1e-3).select("cells", "off", "missing")
 
 
@@ -100,7 +104,7 @@ def _(spark, d):
 
 @query("d15_mean_same_period", PAIRS + " SELECT country, year, round(avg(distance), 6) AS mean_distance, count(*) AS n FROM mir WHERE year = other_year AND node <> other GROUP BY 1, 2")
 def _(spark, d):
-    return pr.mean_same_period(pairs(spark, d)).withColumn("mean_distance", R("mean_distance"))
+    return pr.mean_same_period(pairs(spark, d, same=["year"])).withColumn("mean_distance", R("mean_distance"))
 
 
 @query("j07_audit_report", AUDIT + f""", kv AS (UNPIVOT (SELECT * FROM au) ON COLUMNS(*) INTO NAME key VALUE value),
@@ -109,33 +113,34 @@ q AS (SELECT part, unnest({QL}) AS q, unnest(quantile_cont(distance, {QL})) AS v
 SELECT key, value::DOUBLE AS value FROM kv UNION ALL SELECT 'mean', round(avg(distance), 6) FROM pairs WHERE i_idx <> j_idx
 UNION ALL SELECT 'std', round(stddev_pop(distance), 6) FROM pairs WHERE i_idx <> j_idx UNION ALL SELECT part || '_p' || CAST(q * 100 AS INTEGER), round(value, 6) FROM q""")
 def _(spark, d):
-    return pr.audit_pairs(pairs(spark, d)).withColumn("value", R("value"))
+    return pr.audit_pairs(materialise(pairs(spark, d), "pairs")).withColumn("value", R("value"))
 
 
 @query("b16_matrix_window", PAIRS + " SELECT i_idx, j_idx, round(distance, 6) AS distance FROM pairs WHERE i_idx BETWEEN 10 AND 30 AND j_idx BETWEEN 20 AND 60")
 def _(spark, d):
-    return pairs(spark, d).where(pr.matrix_window(10, 30, 20, 60)).select("i_idx", "j_idx", R("distance").alias("distance"))
+    return pairs(spark, d, i_where=F.col("idx").between(10, 30), j_where=F.col("idx").between(20, 60)).where(pr.matrix_window(10, 30, 20, 60)).select("i_idx", "j_idx", R("distance").alias("distance"))
 
 
 @query("b17_diagonal", PAIRS + " SELECT i_label, round(distance, 6) AS distance FROM pairs WHERE i_idx = j_idx")
 def _(spark, d):
-    return pairs(spark, d).where(pr.diagonal()).select("i_label", R("distance").alias("distance"))
+    return pr.self_pairs(points(spark, d), ["x", "y"]).where(pr.diagonal()).select("i_label", R("distance").alias("distance"))
 
 
 @query("b18_stride_sample", PAIRS + " SELECT i_idx, j_idx, round(distance, 6) AS distance FROM pairs WHERE (i_idx * 1000003 + j_idx) % 7 = 0")
 def _(spark, d):
-    return pairs(spark, d).where(pr.stride_sample("i_idx", "j_idx", 7)).select("i_idx", "j_idx", R("distance").alias("distance"))
+    return pairs(spark, d, stride=7).where(pr.stride_sample("i_idx", "j_idx", 7)).select("i_idx", "j_idx", R("distance").alias("distance"))
 
 
 @query("b19_pair_lookup", PAIRS + """ SELECT i_label, j_label, round(distance, 6) AS distance FROM pairs
 WHERE (i_country = 9 AND i_year = 1998 AND j_country = 4 AND j_year = 1996) OR (i_country = 4 AND i_year = 1996 AND j_country = 9 AND j_year = 1998)""")
 def _(spark, d):
-    return pr.pair_lookup(pairs(spark, d), (9, 1998), (4, 1996)).select("i_label", "j_label", R("distance").alias("distance"))
+    either = is_node(9, 1998) | is_node(4, 1996)
+    return pr.pair_lookup(pairs(spark, d, i_where=either, j_where=either), (9, 1998), (4, 1996)).select("i_label", "j_label", R("distance").alias("distance"))
 
 
 @query("o02_knn_of_node", PAIRS + " SELECT node, other, round(distance, 6) AS distance FROM mir WHERE node = '7-1997' AND other <> node ORDER BY mir.distance, other LIMIT 10")
 def _(spark, d):
-    return pr.knn_of(pairs(spark, d), "7-1997", 10).withColumn("distance", R("distance"))
+    return pr.knn_of(pr.distances_from(materialise(points(spark, d), "points"), ["x", "y"], "7-1997").withColumn("distance", R("distance", 10)), 10).withColumn("distance", R("distance"))
 
 
 @query("o03_knn_all", PAIRS + """, k AS (SELECT node, other, distance, row_number() OVER (PARTITION BY node ORDER BY distance, other) AS rank FROM mir WHERE node <> other)
@@ -146,7 +151,7 @@ def _(spark, d):
 
 @query("o04_closest_pairs", PAIRS + " SELECT i_label, j_label, round(distance, 6) AS distance FROM pairs WHERE i_idx <> j_idx AND i_year = 1999 AND j_year = 1999 ORDER BY pairs.distance, i_idx, j_idx LIMIT 15")
 def _(spark, d):
-    return pr.closest_pairs(pairs(spark, d), 1999, 15).withColumn("distance", R("distance"))
+    return pr.closest_pairs(pairs(spark, d, i_where=F.col("year") == 1999, j_where=F.col("year") == 1999), 1999, 15).withColumn("distance", R("distance"))
 
 
 @query("a12_export_lines", PAIRS + " SELECT i_idx, j_idx, printf('(%d,%d) %.4f [%s vs %s]', i_idx + 1, j_idx + 1, distance, i_label, j_label) AS line FROM pairs")
@@ -167,7 +172,17 @@ def _(spark, d):
 @query("a18_estimate_export", PAIRS + """, l AS (SELECT sum(CAST(i_idx = j_idx AS BIGINT))::BIGINT AS labels FROM pairs), e AS (SELECT labels, CAST(greatest(labels * (labels + 1) / 2 // 3, 1) AS BIGINT) AS lines FROM l)
 SELECT labels, lines, CAST(greatest(ceil(lines / 880.0), 1) AS BIGINT) AS pages, CAST(ceil(lines / 880.0) > 4 AS INTEGER) AS capped FROM e""")
 def _(spark, d):
-    return pr.estimate_export(pairs(spark, d), 880, "stride", 3, 4)
+    return pr.estimate_export(points(spark, d), 880, "stride", 3, 4)
+
+
+@query("a18_estimate_window", PAIRS + " SELECT (SELECT count(*) FROM points) AS labels, count(*) AS lines, CAST(greatest(ceil(count(*) / 880.0), 1) AS BIGINT) AS pages, 0 AS capped FROM pairs WHERE i_idx BETWEEN 5 AND 400 AND j_idx BETWEEN 20 AND 60")
+def _(spark, d):
+    return pr.estimate_export(points(spark, d), 880, "window", window=(5, 400, 20, 60))
+
+
+@query("a18_guarded_export", PAIRS + " SELECT i_idx, j_idx, printf('(%d,%d) %.4f', i_idx, j_idx, distance) AS line FROM pairs WHERE (i_idx * 1000003 + j_idx) % 5 = 0")
+def _(spark, d):
+    return pr.guarded_export(pairs(spark, d, stride=5), "stride", labels=False)
 
 
 @query("c12_theta_self_join", PAIRS + " SELECT i_idx, count(*) AS partners, round(max(distance), 6) AS farthest FROM pairs GROUP BY 1")
