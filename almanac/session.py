@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "almanac") -> SparkSession:
-    """A local session; on a cluster use the session the cluster hands you instead."""
+    """A local session; on a cluster use the session the cluster hands you instead.
+
+    Its shared folder is ``ALMANAC_SHARED``, else a new temporary one; a local session has one machine.
+    """
+    shared = os.environ.get("ALMANAC_SHARED") or tempfile.mkdtemp(prefix="almanac-")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -20,6 +25,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", shared)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
