@@ -26,6 +26,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.checkpoint.dir", shared)
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -110,3 +110,38 @@ def test_late_repeats_are_dropped(spark):
     df.write.parquet(path)
     got = replay(st.dedupe_late(stream_files(spark, path, df.schema), ["id"], "ts", "1 hour"))
     assert sorted(r.id for r in got.collect()) == [1, 2]
+
+
+def test_alerts_survive_any_order_within_the_lateness(spark):
+    rnd = random.Random(3)
+    flags = {s: [int(rnd.random() < 0.5) for _ in range(40)] for s in (1, 2)}
+    rows = [(s, t, f) for s in flags for t, f in enumerate(flags[s])] + [(s, 100, 0) for s in flags]
+    schema = "station bigint, t int, flag int"
+
+    def onsets(per_file, shuffled):
+        folder = new_path(spark, "flags")
+        order = sorted(rows, key=lambda r: r[1] + (rnd.uniform(-4, 4) if shuffled else 0))
+        for i in range(0, len(order), per_file):
+            spark.createDataFrame(order[i : i + per_file], schema).coalesce(1).write.mode("append").parquet(folder)
+        out = replay(st.alert_state(stream_files(spark, folder, schema, per_trigger=1), 2, 4, lateness=10))
+        return sorted(map(tuple, out.collect()))
+
+    want = []
+    for s, f in flags.items():
+        last, t = -100, 0
+        while t < len(f):
+            if f[t] and (t == 0 or not f[t - 1]) and t + 1 < len(f) and f[t + 1] and (last < 0 or t - last > 4):
+                want.append((s, t))
+                last = t
+            t += 1
+    assert onsets(82, False) == onsets(20, False) == onsets(20, True) == sorted(want)
+
+
+def test_old_states_are_not_carried_on(spark):
+    schema = "id bigint, dev bigint, us bigint, is_state int, value double"
+    folder, store, out, ckpt = (new_path(spark, n) for n in ("ttl", "store", "out", "ckpt"))
+    for part in ([(1, 1, 0, 1, 1.0), (2, 2, 90, 1, 2.0)], [(3, 2, 95, 0, 0.0), (4, 1, 200, 0, 0.0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        got = st.with_state(stream_files(spark, folder, schema), F.col("is_state") == 1, ["dev"], "us", "id", "value", 50, store, out, ckpt)
+    assert {r.id: r.state_value for r in got.collect()} == {3: 2.0, 4: None}
+    assert spark.read.parquet(f"{store}/1").count() == 0 and spark.read.parquet(f"{store}/0").count() == 1
