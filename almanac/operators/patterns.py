@@ -12,10 +12,12 @@ used as literals, so a recomputed task always lands on the same segments.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, Window
+from pyspark.sql.types import NumericType
 
 from ..session import materialise
 
@@ -37,13 +39,44 @@ def cut_points(df: DataFrame, on: str, n: int | None = None) -> list[float]:
     return sorted(set(df.approxQuantile(on, probs, 1.0 / (4 * n))))
 
 
-def with_segment(df: DataFrame, on: str, cuts: Sequence[float], out: str = SEG) -> DataFrame:
-    """Add the segment ordinal of ``on`` (binary search over the literal cuts); nulls come first, NaN last."""
+def cuts_and_ties(df: DataFrame, on: str, order: Sequence[Column | str], n: int | None = None) -> tuple[list[float], dict[float, list[float]]]:
+    """Cut points of ``on``, and for values that fill several segments alone the cut points of their ties.
+
+    Ties are cut along the next numeric column of ``order``; without one they stay together.  A value
+    that holds k of the cut points gets about k cuts of its own.
+    """
+    n = n or segment_count(df)
+    found = df.approxQuantile(on, [i / n for i in range(1, n)], 1.0 / (4 * n))
+    cuts = sorted(set(found))
+    hot = {v: found.count(v) for v in cuts if found.count(v) > 1}
+    tie = next((c for c in order if isinstance(c, str) and c != on and isinstance(df.schema[c].dataType, NumericType)), None)
+    if not hot or tie is None:
+        return cuts, {}
+    most = max(hot.values())
+    probs = F.array(*[F.lit(i / (most + 1)) for i in range(1, most + 1)])
+    rows = df.where(F.col(on).isin(list(hot))).groupBy(F.col(on).cast("double").alias("v")).agg(F.percentile_approx(F.col(tie).cast("double"), probs, F.lit(10 * n)).alias("q")).collect()
+    return cuts, {r["v"]: [tie, *sorted(set(r["q"]))] for r in rows if r["q"]}
+
+
+def with_segment(df: DataFrame, on: str, cuts: Sequence[float], out: str = SEG, ties: Mapping[float, Sequence] | None = None) -> DataFrame:
+    """Add the segment of ``on`` (binary search over the literal cuts); nulls come first, NaN last.
+
+    ``ties`` (:func:`cuts_and_ties`) cuts single values further, in steps of a fraction.
+    """
     if not cuts:
         return df.withColumn(out, F.when(F.col(on).isNull(), -1.0).otherwise(0.0))
     splits = [float("-inf"), *cuts, float("inf")]
     seg = Bucketizer(splits=splits, inputCol=on, outputCol=out, handleInvalid="keep").transform(df)
-    return seg.withColumn(out, F.coalesce(out, F.lit(-1.0)))
+    seg = seg.withColumn(out, F.coalesce(out, F.lit(-1.0)))
+    if not ties:
+        return seg
+    part = F.lit(0.0)
+    for v, (tie, *at) in ties.items():
+        # A cut value opens its bucket, so its rows come first there and the bucket's others after them.
+        below = F.aggregate(F.array(*map(F.lit, at)), F.lit(0.0), lambda a, q: a + (F.col(tie).cast("double") >= q).cast("double"))
+        mine = F.coalesce(below, F.lit(0.0)) / F.lit(2.0 * (len(at) + 1))
+        part = F.when(F.col(on) == F.lit(v), mine).when(F.col(out) == F.lit(float(bisect_right(cuts, v))), F.lit(0.75)).otherwise(part)
+    return seg.withColumn(out, F.col(out) + part)
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -84,7 +117,8 @@ def running_sums(
     """
     by = list(by)
     order = list(order or [segment_on])
-    seg = with_segment(df, segment_on, cut_points(df, segment_on) if cuts is None else cuts)
+    cuts, ties = cuts_and_ties(df, segment_on, order) if cuts is None else (cuts, None)
+    seg = with_segment(df, segment_on, cuts, ties=ties)
     seg, key = _keyed(seg, by)
     per_segment = seg.groupBy(*key, SEG).agg(*[F.sum(c).alias(f"_s_{s}") for c, s in sums.items()])
     before = Window.partitionBy(*key).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
@@ -134,7 +168,8 @@ def previous_value(
     ``order`` must be a total order, monotone in the numeric column ``segment_on``.
     """
     by = list(by)
-    seg = with_segment(df, segment_on, cut_points(df, segment_on) if cuts is None else cuts)
+    cuts, ties = cuts_and_ties(df, segment_on, order) if cuts is None else (cuts, None)
+    seg = with_segment(df, segment_on, cuts, ties=ties)
     seg, key = _keyed(seg, by)
     end = 0 if inclusive else -1
     inside = Window.partitionBy(*key, SEG).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)

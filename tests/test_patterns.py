@@ -130,3 +130,19 @@ def test_null_and_nan_positions_are_kept(spark):
     prev = previous_value(df, ["k"], "x", ["x", "v"], "v", "p").toPandas().set_index("v")["p"]
     assert pd.isna(prev[1]) and prev[2] == 1 and prev[4] == 2 and prev[5] == 4 and prev[3] == 5
     assert global_index(df, "x", ["x", "v"]).count() == 5
+
+
+def test_rows_tied_on_one_value_are_spread(spark):
+    """A third of all rows on one value: their ties are cut along the next column of the order."""
+    from almanac.operators.patterns import SEG, cuts_and_ties, with_segment
+
+    df = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 5.0D else id / 1000D + 2 * (id % 2) + 3 end as x", "1L as one")
+    cuts, ties = cuts_and_ties(df, "x", ["x", "id"])
+    assert list(ties) == [5.0]
+    seg = with_segment(df, "x", cuts, ties=ties)
+    assert max(r["count"] for r in seg.where("x = 5").groupBy(SEG).count().collect()) < 600
+    assert [r["id"] for r in seg.orderBy(SEG, "x", "id").collect()] == [r["id"] for r in df.orderBy("x", "id").collect()]
+    rank = running_sums(df, [], "x", {"one": "n"}, ["x", "id"]).orderBy("x", "id").collect()
+    assert [r["cum_n"] for r in rank] == list(range(1, 3001))
+    last = previous_value(df, [], "x", ["x", "id"], "id", "before").orderBy("x", "id").collect()
+    assert [r["before"] for r in last[1:]] == [r["id"] for r in last[:-1]] and last[0]["before"] is None
