@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions.scalars import clamp, logit, sigmoid
 from .metrics import budget_thresholds, observed, quantile_sweep
-from .patterns import join_same, join_small, quantiles
+from .patterns import SEG, cut_points, join_same, join_small, previous_value, quantiles, with_segment
 
 CANDIDATES = [i / 199 for i in range(200)]
 
@@ -114,9 +116,9 @@ def _piecewise(c: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
 
 
 class Isotonic:
-    """Monotone recalibration, constant beyond the fitted range.
+    """Monotone recalibration as a column, for models of few knots; :func:`isotonic_knots` has the table form.
 
-    Rows are first reduced to distinct scores (mean outcome, weight = count).
+    Constant beyond the fitted range.  Rows are first reduced to distinct scores (mean outcome, weight = count).
     """
 
     def __init__(self):
@@ -140,6 +142,66 @@ class Isotonic:
         return _piecewise(c, *self.points)
 
 
+def pool(lo: np.ndarray, hi: np.ndarray, total: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Adjacent blocks (first score, last score, sum, weight) pooled until their means rise strictly."""
+    out: list[list[float]] = []
+    for block in zip(lo.tolist(), hi.tolist(), total.tolist(), weight.tolist()):
+        a, b, s, w = block
+        while out and out[-1][2] * w >= s * out[-1][3]:
+            a, _, s0, w0 = out.pop()
+            s, w = s + s0, w + w0
+        out.append([a, b, s, w])
+    return [np.asarray(c, dtype=float) for c in zip(*out)] if out else [np.empty(0)] * 4
+
+
+def _pooled(rows: DataFrame, by: Sequence[str], within: Sequence[str]) -> DataFrame:
+    """Blocks of ``rows`` (lo, hi, s, w) pooled within ``within``."""
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in within)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by("lo").combine_chunks()
+        blocks = pool(*(t.column(c).to_numpy() for c in ("lo", "hi", "s", "w")))
+        first = pa.array(np.zeros(len(blocks[0]), dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([*(t.column(c).chunk(0).take(first) for c in within), *map(pa.array, blocks)], names=[*within, "lo", "hi", "s", "w"])
+
+    return rows.groupBy(*within).applyInArrow(run, f"{kinds}, lo double, hi double, s double, w double")
+
+
+def isotonic_knots(fit: DataFrame, by: Sequence[str]) -> DataFrame:
+    """I7 as a table: knots (by, p, f) of the monotone fit of every group.
+
+    Rows are first reduced to distinct scores.  Scores are pooled within segments, then the blocks that
+    remain are pooled per group: pooling neighbours in any order ends at the same blocks, and only blocks
+    meet in one task.  Groups with fewer than 20 rows or one class have no knots.
+    """
+    v = observed(fit)
+    cells = v.groupBy(*by, F.col("y_prob").cast("double").alias("lo")).agg(F.sum(F.col("y_true").cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("w"))
+    cells = with_segment(cells, "lo", cut_points(cells, "lo")).withColumn("hi", F.col("lo"))
+    blocks = _pooled(_pooled(cells, by, [*by, SEG]), by, list(by))
+    group = Window.partitionBy(*by)
+    blocks = blocks.withColumns({"_n": F.sum("w").over(group), "_pos": F.sum("s").over(group)}).where("_n >= 20 AND _pos > 0 AND _pos < _n")
+    ends = F.array_distinct(F.array("lo", "hi"))
+    return blocks.select(*by, F.explode(ends).alias("p"), (F.col("s") / F.col("w")).alias("f"))
+
+
+def apply_knots(df: DataFrame, knots: DataFrame, by: Sequence[str], p: str = "y_prob", out: str = "y_cal") -> DataFrame:
+    """Linear between the knots of a row's group, constant beyond them, unchanged for groups without knots.
+
+    Distinct scores look for the knots on either side by segmented look-back, then rows take their score's value.
+    """
+    scores = df.select(*by, F.col(p).cast("double").alias("_x")).where("_x IS NOT NULL").distinct()
+    both = scores.select(*by, "_x", F.lit(1).alias("_side"), F.lit(None).cast("struct<p:double,f:double>").alias("_k")).unionByName(
+        knots.select(*by, F.col("p").alias("_x"), F.lit(0).alias("_side"), F.struct(F.col("p"), F.col("f")).alias("_k")))
+    both = both.withColumn("_m", -F.col("_x"))
+    both = previous_value(both, by, "_x", ["_x", "_side"], "_k", "_lo")
+    both = previous_value(both, by, "_m", ["_m", "_side"], "_k", "_hi").where("_side = 1")
+    between = F.col("_lo.f") + (F.col("_hi.f") - F.col("_lo.f")) * (F.col("_x") - F.col("_lo.p")) / (F.col("_hi.p") - F.col("_lo.p"))
+    value = F.when(F.col("_lo").isNull(), F.coalesce("_hi.f", "_x")).when(F.col("_hi").isNull() | (F.col("_hi.p") == F.col("_lo.p")), F.col("_lo.f")).otherwise(between)
+    table = both.select(*by, "_x", value.alias(out))
+    rows = df.withColumn("_x", F.col(p).cast("double"))
+    return join_same(rows, table, [*by, "_x"], "left").drop("_x")
+
+
 class Identity:
     """I8."""
 
@@ -194,6 +256,9 @@ def calibrate(fit: DataFrame, apply: DataFrame, method: str = "platt", horizons:
     Rows of a horizon that is not listed fail, so that none stays uncalibrated unnoticed.
     """
     known = F.coalesce(F.col("horizon").isin(list(horizons)), F.lit(False))
+    if method == "isotonic":
+        checked = apply.withColumn("horizon", F.when(known, F.col("horizon")).otherwise(F.raise_error(F.lit("a horizon has no calibrator")).cast("int")))
+        return apply_knots(checked, isotonic_knots(fit.where(known), ["horizon"]), ["horizon"])
     out = F.when(known, F.col("y_prob")).otherwise(F.raise_error(F.lit("a horizon has no calibrator")).cast("double"))
     for h in horizons:
         c = CALIBRATORS[method](**kw).fit(fit.where(F.col("horizon") == h))

@@ -123,6 +123,30 @@ def test_isotonic_matches_pooling(spark):
     assert ends[0] == min(want.values()) and ends[1] == max(want.values())
 
 
+def test_isotonic_table_with_many_scores(spark):
+    rng = np.random.default_rng(5)
+    n = 100_000
+    p = rng.random(n)
+    pdf = pd.DataFrame({"horizon": rng.integers(0, 2, n), "y_prob": p, "y_true": (rng.random(n) < p**2).astype(int), "y_mask": 1})
+    pdf.loc[pdf.index % 3 == 0, "y_prob"] = 0.25  # a third of all rows on one score
+    df = spark.createDataFrame(pdf).unionByName(spark.createDataFrame([(7, 0.5, 1, 1)], "horizon long, y_prob double, y_true long, y_mask long"))
+    knots = decide.isotonic_knots(df, ["horizon"])
+    got = decide.apply_knots(df, knots, ["horizon"]).toPandas()
+    assert len(got) == n + 1 and got[got.horizon == 7]["y_cal"].tolist() == [0.5]
+    for h, g in got[got.horizon < 2].groupby("horizon"):
+        cells = g.groupby("y_prob")["y_true"].agg(["mean", "count"])
+        blocks = []
+        for m, c in zip(cells["mean"], cells["count"]):
+            blocks.append([m, c, 1])
+            while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+                b, a = blocks.pop(), blocks.pop()
+                blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]])
+        want = dict(zip(cells.index, np.repeat([b[0] for b in blocks], [b[2] for b in blocks])))
+        assert np.allclose(g["y_cal"], [want[x] for x in g["y_prob"]], atol=1e-9)
+    with pytest.raises(Exception, match="no calibrator"):
+        decide.calibrate(df, df, "isotonic", (0, 1)).collect()
+
+
 def test_platt_solves_the_penalised_fit(spark):
     pdf, df = preds(spark)
     v = pdf[pdf.y_mask == 1]
