@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +21,7 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             # The tables hold zone-less timestamps; epochs and calendar days are meant in UTC.
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship(spark)
             return fn(spark, sf_dir)
 
         run.__doc__ = fn.__doc__

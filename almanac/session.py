@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,23 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package, also where it is installed on the driver alone.
+
+    The sources go to the executors as one zip file, once per application.  Not needed where the
+    package is installed or handed over with ``--py-files``, and harmless there.
+    """
+    context, folder = spark.sparkContext, Path(__file__).parent
+    if getattr(context, "_almanac_shipped", False) or not folder.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="almanac-code-")) / "almanac.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(folder.rglob("*.py")):
+            z.write(f, f.relative_to(folder.parent))
+    context.addPyFile(str(target))
+    context._almanac_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; chosen here only for bare local sessions."""
     named = spark.conf.get("spark.checkpoint.dir", "")
