@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import materialise, new_path
+from ..session import materialise, new_path, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +17,13 @@ def query(name: str, sql: str | None = None):
 
     def wrap(fn):
         assert name not in QUERIES, name
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -92,4 +98,4 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-__all__ = ["QUERIES", "ORACLES", "query", "table", "text_of", "lower_ascii", "let", "partitions", "same", "components", "materialise", "new_path"]
+__all__ = ["QUERIES", "ORACLES", "query", "table", "text_of", "lower_ascii", "let", "partitions", "same", "components", "materialise", "new_path", "ship"]
