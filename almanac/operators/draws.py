@@ -14,7 +14,7 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 def uniforms(keys: np.ndarray, draws: int) -> np.ndarray:
     """Uniform numbers in [0, 1), one row per key (64-bit hashes) and one column per draw."""
-    x = keys.astype(np.int64).view(np.uint64)[:, None] + GOLDEN * np.arange(1, draws + 1, dtype=np.uint64)[None, :]
+    x = np.ascontiguousarray(keys).view(np.uint64)[:, None] + GOLDEN * np.arange(1, draws + 1, dtype=np.uint64)[None, :]
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
@@ -42,7 +42,7 @@ def poisson(keys: np.ndarray, sizes: np.ndarray, draws: int) -> np.ndarray:
             mean = min(rest, 256)
             if mean not in tables:
                 tables[mean] = poisson_table(float(mean))
-            salt = keys[at].astype(np.int64) + np.int64(part) * np.int64(7_046_029_254_386_353_131)
+            salt = keys[at].astype(np.int64).view(np.uint64) + np.uint64(part * 7_046_029_254_386_353_131 % 2**64)
             out[at] += np.searchsorted(tables[mean], uniforms(salt, draws), side="right")
             rest, part = rest - mean, part + 1
     return out
