@@ -4,8 +4,8 @@ Fingerprints are compared as distinct values, so copies cost nothing.  Each leve
 the distance to a vantage point and cuts it into bands; the bands of all levels name a shard.  Two
 fingerprints at most r apart differ by at most r in every distance to a vantage point (triangle
 inequality), so a fingerprint visits exactly the shards whose bands its balls of radius r touch, and
-shards further off are never looked at.  Inside a shard the same bound, on a vantage point of the
-shard's own, prunes blocks before the remaining pairs are compared.  A shard returns a spanning forest
+shards further off are never looked at.  Inside a shard the same bound, on two vantage points of the
+shard's own, prunes stretches before the remaining pairs are compared.  A shard returns a spanning forest
 of its links, at most one row per fingerprint, never all pairs.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked like
@@ -101,33 +101,37 @@ def _extend(shards: Column, reach: Column, count: int) -> Column:
 def forest(own: np.ndarray, guests: np.ndarray, radius: int) -> np.ndarray:
     """Spanning forest of the links among ``own`` and between ``own`` and ``guests``: pairs (fp, root fp).
 
-    Codes are ordered by their distance to one of them; a block of codes is compared with the
-    stretch whose distances differ by at most ``radius``.
+    Codes are ordered by their distances to two vantage points of the shard.  The codes of ``own`` with
+    the same two distances are compared with the stretches whose distances both differ by at most
+    ``radius``; guests are never compared with guests.
     """
     codes = np.concatenate([own, guests]).astype(np.uint64)
     if len(own) == 0 or len(codes) < 2:
         return np.empty((0, 2), dtype=np.uint64)
-    is_own = np.zeros(len(codes), dtype=bool)
-    is_own[: len(own)] = True
-    d = np.bitwise_count(codes ^ own.astype(np.uint64)[0])
-    order = np.argsort(d, kind="stable")
-    codes, d, is_own = codes[order], d[order].astype(np.int64), is_own[order]
+    first = own.astype(np.uint64)[0]
+    second = first ^ np.uint64(0xAAAAAAAAAAAAAAAA)  # half the bits away
+    d1, d2 = (np.bitwise_count(codes ^ v).astype(np.int64) for v in (first, second))
+    key = d1 * 256 + d2 + 64  # 64 keeps d2 - radius in its row
+    order = np.argsort(key, kind="stable")
+    codes, key = codes[order], key[order]
+    mine = np.nonzero(order < len(own))[0]  # places of own codes, in order
     root = np.arange(len(codes))
-    step = 256
-    for a in range(0, len(codes), step):
-        b = min(a + step, len(codes))
-        hi = int(np.searchsorted(d, d[b - 1] + radius, side="right"))
-        for lo in range(a, hi, 4096):
-            up = min(lo + 4096, hi)
-            near = np.bitwise_count(codes[a:b, None] ^ codes[None, lo:up]) <= radius
-            near &= is_own[a:b, None] | is_own[None, lo:up]
-            i, j = np.nonzero(near)
-            i, j = i + a, j + lo
-            keep = (i < j) & (root[i] != root[j])
-            for x, y in zip(i[keep].tolist(), j[keep].tolist()):
-                rx, ry = root[x], root[y]
-                if rx != ry:
-                    root[root == max(rx, ry)] = min(rx, ry)
+    cells = np.concatenate([np.nonzero(np.concatenate([[True], key[mine][1:] != key[mine][:-1]]))[0], [len(mine)]])
+    for a, b in zip(cells[:-1].tolist(), cells[1:].tolist()):
+        at = int(key[mine[a]])
+        for e in range(-radius, radius + 1):
+            lo, hi = np.searchsorted(key, [at + 256 * e - radius, at + 256 * e + radius + 1])
+            for c in range(int(lo), int(hi), 8192):
+                up = min(c + 8192, int(hi))
+                for r in range(a, b, 256):
+                    rows = mine[r : min(r + 256, b)]
+                    i, j = np.nonzero(np.bitwise_count(codes[rows][:, None] ^ codes[None, c:up]) <= radius)
+                    i, j = rows[i], j + c
+                    keep = root[i] != root[j]
+                    for x, y in zip(i[keep].tolist(), j[keep].tolist()):
+                        rx, ry = root[x], root[y]
+                        if rx != ry:
+                            root[root == max(rx, ry)] = min(rx, ry)
     moved = np.nonzero(root != np.arange(len(codes)))[0]
     return np.stack([codes[moved], codes[root[moved]]], axis=1)
 
