@@ -15,18 +15,20 @@ CHUNK = (1 << 20) - 4096
 
 
 def words_of(data: bytes) -> np.ndarray:
-    """The 8 bytes from every position as one number."""
-    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    """The 8 bytes from every position as one number, copied so that later reads are aligned."""
+    return np.ascontiguousarray(np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)))
 
 
 def gram_hashes(w: np.ndarray, n: int, k: int) -> np.ndarray:
     """Hashes of all k-byte strings; k is a multiple of 8, ``w`` from :func:`words_of`, ``n`` the text's length."""
     m = n - k + 1
-    h = np.zeros(m, np.uint64)
-    for j in range(0, k, 8):
-        h += w[j : j + m] * MIX[(j // 8) % 3]
-        h ^= h >> np.uint64(29)
-        h *= MIX[3]
+    h = w[:m] * MIX[0]
+    for j in range(8, k, 8):
+        h ^= h >> np.uint64(31)
+        h += w[j : j + m]
+        h *= MIX[(j // 8) % 3]
+    h ^= h >> np.uint64(29)
+    h *= MIX[3]
     h ^= h >> np.uint64(32)
     return h
 

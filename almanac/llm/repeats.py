@@ -46,50 +46,61 @@ LAST = (1 << 63) - 1
 # --- suffix arrays ------------------------------------------------------------------------------------
 
 
-def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts with a symbol of its own after each; per position its text and its offset there."""
+#: Symbols (9 bits each) that one number holds.
+PACK = 7
+
+
+def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all texts, 0 after each; per position its text, its offset there and how many bytes follow."""
     sizes = np.asarray([len(t) for t in texts], dtype=np.int64)
-    total = int(sizes.sum()) + len(texts)
     which = np.repeat(np.arange(len(texts)), sizes + 1)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(texts) else np.empty(0, np.int64)
-    offset = np.arange(total) - starts[which]
-    symbols = np.empty(total, dtype=np.int64)
-    inside = offset < sizes[which]
-    symbols[inside] = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    symbols[~inside] = 256 + np.arange(len(texts))
-    return symbols, which, offset
+    offset = np.arange(int(sizes.sum()) + len(texts)) - starts[which]
+    left = sizes[which] - offset
+    symbols = np.zeros(len(which), dtype=np.int64)
+    symbols[left > 0] = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    symbols[left > 0] += 1
+    return symbols, which, offset, left
 
 
-def enhanced_suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order and the common prefix of each with the one before, right up to ``depth`` symbols.
+def enhanced_suffix_array(symbols: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order and the common prefix of each with the one before, exact up to ``depth`` bytes at least.
 
-    Ranks of prefixes double in length; the same ranks, from long to short, give the common prefixes.
+    Ranks of prefixes double in length, from seven symbols on; the same ranks, from long to short and
+    then symbol by symbol, give the common prefixes.  A prefix ends with its text.
     """
     n = len(symbols)
-    ranks, size = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)], 1
-    order = np.argsort(ranks[0], kind="stable")
-    while size < depth and n:
-        second = np.full(n, -1, dtype=np.int64)
-        second[: max(0, n - size)] = ranks[-1][size:]
-        key = ranks[-1] * (n + 1) + second + 1
+    padded = np.concatenate([symbols, np.zeros(PACK, dtype=np.int64)])
+    key = padded[:n].copy()
+    for j in range(1, PACK):
+        key = (key << 9) | padded[j : j + n]
+    ranks, size = [], PACK
+    while True:
         order = np.argsort(key, kind="stable")
         ordered = key[order]
         rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        ranks.append(rank)
-        size *= 2
-        if rank[order[-1]] == n - 1:
+        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) if n else 0
+        ranks.append((size, rank))
+        if size >= depth or not n or rank[order[-1]] == n - 1:
             break
+        second = np.full(n, -1, dtype=np.int64)
+        second[: max(0, n - size)] = rank[size:]
+        key = rank * (n + 1) + second + 1
+        size *= 2
     common = np.zeros(n, dtype=np.int64)
     if n > 1:
         got = np.zeros(n - 1, dtype=np.int64)
-        for level in range(len(ranks) - 1, -1, -1):
-            a, b = order[1:] + got, order[:-1] + got
-            ok = (a < n) & (b < n)
+        a, b = order[1:], order[:-1]
+        for size, rank in reversed(ranks):
+            x, y = a + got, b + got
+            ok = (x < n) & (y < n)
             same = np.zeros(n - 1, dtype=bool)
-            same[ok] = ranks[level][a[ok]] == ranks[level][b[ok]]
-            got += same * (1 << level)
-        common[1:] = got
+            same[ok] = rank[x[ok]] == rank[y[ok]]
+            got += same * size
+        for _ in range(PACK - 1):
+            x, y = np.minimum(a + got, n), np.minimum(b + got, n)
+            got += (padded[x] == padded[y]) & (x < n) & (y < n)
+        common[1:] = np.minimum(got, np.minimum(left[a], left[b]))
     return order, common
 
 
@@ -100,18 +111,18 @@ def interval_tree(texts: list[bytes], at_least: int) -> list[tuple[int, list[tup
     interval's suffixes differ in the byte after the common prefix; it is reported where they differ in
     the byte before it too (a text's start differs from everything).
     """
-    symbols, which, offset = join_texts(texts)
-    order, common = enhanced_suffix_array(symbols, max(map(len, texts), default=0) + 1)
+    symbols, which, offset, left = join_texts(texts)
+    order, common = enhanced_suffix_array(symbols, left, max(map(len, texts), default=0))
     before = np.where(offset[order] > 0, symbols[order - 1], -1 - which[order])
     out, stack = [], []  # stack of [length, first place, byte before or None where they differ]
     lengths = [*common.tolist()[1:], 0]
     for i, length in enumerate(lengths):
-        left, kind = i, int(before[i])
+        low, kind = i, int(before[i])
         while stack and stack[-1][0] > length:
-            size, left, inner = stack.pop()
+            size, low, inner = stack.pop()
             kind = inner if inner == kind else None
             if kind is None:
-                out.append((size, [(int(which[p]), int(offset[p])) for p in sorted(order[left : i + 1].tolist())]))
+                out.append((size, [(int(which[p]), int(offset[p])) for p in sorted(order[low : i + 1].tolist())]))
             if stack and stack[-1][0] >= length:
                 stack[-1][2] = stack[-1][2] if stack[-1][2] == kind else None
                 kind = stack[-1][2]
@@ -119,7 +130,7 @@ def interval_tree(texts: list[bytes], at_least: int) -> list[tuple[int, list[tup
             if stack and stack[-1][0] == length:
                 stack[-1][2] = stack[-1][2] if stack[-1][2] == kind else None
             else:
-                stack.append([length, left, kind])
+                stack.append([length, low, kind])
     return out
 
 
@@ -129,8 +140,8 @@ def repeated_windows(contexts: list[bytes], docs: np.ndarray, length: int) -> tu
     The intervals of at least ``length`` common bytes are the roots of the interval tree; each holds
     all occurrences of one window.
     """
-    symbols, which, offset = join_texts(contexts)
-    order, common = enhanced_suffix_array(symbols, max(map(len, contexts), default=0) + 1)
+    symbols, which, offset, left = join_texts(contexts)
+    order, common = enhanced_suffix_array(symbols, left, length)
     if not len(order):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     root = np.nonzero(common < length)[0]  # first place of every interval
@@ -321,6 +332,22 @@ def contexts_of(joined: DataFrame, length: int, k: int) -> DataFrame:
     return joined.mapInArrow(run, "h long, doc long, c long, body binary, place int, window long")
 
 
+def whole_anchors(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by anchor in portions of about ``most`` rows; an anchor is never cut."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        rest.append(b)
+        if sum(x.num_rows for x in rest) >= most:
+            rows = pa.concat_batches(rest)
+            h = rows.column("h").to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+            if cut:
+                yield rows.slice(0, cut)
+            rest = [rows.slice(cut)]
+    if rest:
+        yield pa.concat_batches(rest)
+
+
 def look(contexts: DataFrame, length: int, most: int = 8_000) -> DataFrame:
     """(doc, c, places): the windows of each context that a smaller document has too.
 
@@ -328,9 +355,7 @@ def look(contexts: DataFrame, length: int, most: int = 8_000) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-
-        def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
+        for rows in whole_anchors(batches, most):
             docs, marks = rows.column("doc").to_numpy(), rows.column("c").to_numpy()
             which, place = repeated_windows(rows.column("body").to_pylist(), docs, length)
             order = np.lexsort((place, which))
@@ -338,23 +363,34 @@ def look(contexts: DataFrame, length: int, most: int = 8_000) -> DataFrame:
             cut = np.nonzero(first_of(which))[0] if len(which) else np.empty(0, np.int64)
             ends = [*cut[1:].tolist(), len(which)]
             out = [(int(docs[which[a]]), int(marks[which[a]]), place[a:z].tobytes()) for a, z in zip(cut.tolist(), ends)]
-            return _batch(out, ["doc", "c", "places"], [pa.int64(), pa.int64(), pa.binary()])
+            yield _batch(out, ["doc", "c", "places"], [pa.int64(), pa.int64(), pa.binary()])
+
+    return _by_anchor(contexts).mapInArrow(run, "doc long, c long, places binary")
 
-        for b in batches:
-            rest.append(b)
-            if sum(x.num_rows for x in rest) >= most:
-                rows = pa.concat_batches(rest)
-                h = rows.column("h").to_numpy()
-                cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
-                if cut:
-                    yield solve(rows.slice(0, cut))
-                rest = [rows.slice(cut)]
-        if rest:
-            yield solve(pa.concat_batches(rest))
 
+def _by_anchor(contexts: DataFrame) -> DataFrame:
     n = partitions(contexts.sparkSession)
-    dealt = contexts.where("place is null").select("h", "doc", "c", "body").repartition(n, "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, "doc long, c long, places binary")
+    return contexts.where("place is null").select("h", "doc", "c", "body").repartition(n, "h").sortWithinPartitions("h")
+
+
+def repeat_groups(contexts: DataFrame, length: int, most: int = 8_000) -> DataFrame:
+    """(text, size, doc, c, place): maximal repeats of ``length`` bytes or more within the contexts, one row per occurrence.
+
+    The report beside the cut: which strings repeat, and where all their occurrences stand (context ``c``
+    of document ``doc``, ``place`` bytes in).  Strings are maximal within contexts; a passage longer than
+    a context shows as several.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_anchors(batches, most):
+            docs, marks, bodies = rows.column("doc").to_pylist(), rows.column("c").to_pylist(), rows.column("body").to_pylist()
+            out = []
+            for size, at in interval_tree(bodies, length):
+                text = bodies[at[0][0]][at[0][1] : at[0][1] + size]
+                out += [(text, size, docs[i], marks[i], place) for i, place in at]
+            yield _batch(out, ["text", "size", "doc", "c", "place"], [pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32()])
+
+    return _by_anchor(contexts).mapInArrow(run, "text binary, size int, doc long, c long, place int")
 
 
 def look_hot(contexts: DataFrame) -> DataFrame:

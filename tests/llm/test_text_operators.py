@@ -243,6 +243,16 @@ def test_repeats(spark, hot):
     assert sorted(str(tuple(r)) for r in got) == cut_by_hand(rows, 50)
 
 
+def test_repeat_groups(spark):
+    bodies = [(7, 1, 10, b"x" * 3 + b"abcdefghij" + b"1"), (7, 2, 20, b"y" + b"abcdefghij" + b"22"), (7, 3, 30, b"cdefghij3"), (9, 4, 40, b"zzzzzzzz")]
+    contexts = spark.createDataFrame([(*r, None) for r in bodies], "h long, doc long, c long, body binary, place int")
+    got = {}
+    for r in repeats.repeat_groups(contexts, 8).collect():
+        assert r["size"] == len(r["text"])
+        got.setdefault(bytes(r["text"]), set()).add((r["doc"], r["c"], r["place"]))
+    assert got == {b"abcdefghij": {(1, 10, 3), (2, 20, 1)}, b"cdefghij": {(1, 10, 5), (2, 20, 3), (3, 30, 0)}}
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
     one = repeats.remove_repeats(frame(spark, [(1, "a" * 60), (2, "b" + "a" * 60)])).orderBy("doc_id").collect()
