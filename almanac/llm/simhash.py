@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, materialise
 
@@ -51,15 +51,16 @@ def fingerprint(text: str | None, size: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(doc_id, fp) per row."""
+    """(doc_id, text_hash, fp) per row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = pa.array([fingerprint(t.as_py(), size) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fp], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), text, F.xxhash64(text)).mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def vantage(level: int) -> int:
@@ -162,28 +163,46 @@ def links(fps: DataFrame, radius: int = 4, levels: int = 3, count: int = 4) -> D
     return spread.groupBy("shard").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, levels: int = 3, count: int = 4) -> DataFrame:
-    """Per row doc_id, fp and component_id, the smallest id reachable over links of at most ``radius`` bits."""
+def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, levels: int = 3, count: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fp), and per fingerprint (fp, low, root): its smallest id and its component.
+
+    ``root`` is a fingerprint of the component, so components are told apart whatever their ids.
+    """
     rows = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
     fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "fps")
     comp = components(links(fps.select("fp"), radius, levels, count)).withColumnsRenamed({"node": "_n", "component": "_c"})
-    named = fps.join(comp, fps.fp == comp._n, "left").select("fp", "low", F.coalesce("_c", "fp").alias("root"))
+    return rows, materialise(fps.join(comp, fps.fp == comp._n, "left").select("fp", "low", F.coalesce("_c", "fp").alias("root")), "roots")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per row doc_id, fp and component_id, the smallest id reachable over links of at most ``radius`` bits."""
+    rows, named = rooted(docs, id_col, text_col, **options)
     # The component's name is the smallest id of any of its fingerprints: a map-side minimum.
     ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
     names = materialise(named.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id"), "names")
     return rows.join(names, rows.fp == names._fp).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input with one row of each group of near-duplicates: the smallest id; of rows that repeat it, one.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unique_ids: bool = True, **options) -> DataFrame:
+    """The input with one row of each group of near-duplicates: the smallest id, nulls last, then the smallest text hash.
 
-    Groups whose ids are all null keep one row too.
+    Rows without an id are told apart by their texts.  With ``unique_ids`` an id names one document: of
+    groups whose kept rows repeat an id, one row stays.  Without it each group keeps its row.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept._id), "left_semi")
-    w = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(F.col(text_col)))
-    return out.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").select(*[F.col(c) for c in docs.columns])
+    rows, named = rooted(docs, id_col, text_col, **options)
+    keyed = rows.join(named.select(F.col("fp").alias("_fp"), "root"), rows.fp == F.col("_fp"))
+    # Minima are taken map-side; no row of a group, however large, is sorted with the others.
+    kept = keyed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("key"))
+    kept = kept.select(F.col("key.doc_id").alias("_id"), F.col("key.text_hash").alias("_h")).distinct()
+    if unique_ids:
+        named_ids = kept.where("_id is not null").groupBy("_id").agg(F.min("_h").alias("_h"))
+        kept = named_ids.unionByName(kept.where("_id is null"))
+    kept = materialise(kept, "kept")
+    texts = F.xxhash64(F.col(text_col).cast("string"))
+    out = docs.withColumn("_text_hash", texts)
+    out = out.join(kept, out[id_col].eqNullSafe(kept._id) & (F.col("_text_hash") == kept._h), "left_semi")
+    # Rows equal in id and text are left: one of them stays.
+    return out.dropDuplicates([id_col, "_text_hash"]).select(*[F.col(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -334,6 +334,18 @@ def test_simhash(spark, monkeypatch):
     assert all(simhash.fingerprint(t) % 2**64 == fingerprint_by_hand(t) for _, t in rows)
 
 
+def test_keep_one_keeps_unrelated_texts(spark):
+    rng = np.random.default_rng(11)
+    text = [" ".join(rng.choice([f"w{i}" for i in range(300)], 80)) for _ in range(12)]
+    rows = [(None, t) for t in text[:6]] + [(None, text[0]), (None, text[1]), (7, text[6]), (7, text[7]), (7, text[7]), (8, text[1]), (9, text[8])]
+    assert len({c for c in map(fingerprint_by_hand, text)}) == 12
+    got = sorted(map(str, ((r["doc_id"], r["text"]) for r in simhash.keep_one(frame(spark, rows).repartition(3), unique_ids=False).collect())))
+    want = [(None, t) for i, t in enumerate(text[:6]) if i != 1] + [(8, text[1]), (7, text[6]), (7, text[7]), (9, text[8])]
+    assert got == sorted(map(str, want))
+    got = [r["doc_id"] for r in simhash.keep_one(frame(spark, rows)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [None] * 5 + [7, 8, 9]))
+
+
 def test_forest_links_what_is_near():
     rng = np.random.default_rng(6)
     codes = rng.integers(0, 2**63, 400, dtype=np.uint64)
