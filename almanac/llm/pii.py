@@ -1,8 +1,9 @@
 """Personal data: fixed patterns as seeds, and contexts learned from them.
 
 Four kinds (email, ip, card, phone) are found by pattern and check.  Further identifiers are found by
-bootstrapping: a *lexical pattern* is the key in front of a value (``token = "``, ``e-mail:``), an
-*instance* the value.  Seeds are values that hold a base span and long hexadecimal or mixed values.
+bootstrapping: a *lexical pattern* is the key in front of a value (``token = "``, ``e-mail:``) or, in
+running text, the one to three words before or after a token with digits (``passport number X1234567``),
+an *instance* the value.  Seeds are values that hold a base span and long hexadecimal or mixed values.
 Patterns are scored by the confidence of their instances, instances by the confidence of their
 patterns, in a fixed number of rounds over the pattern-instance graph; the values behind trusted
 patterns become spans of kind ``secret`` where no base span lies.
@@ -33,8 +34,15 @@ KINDS = {
 }
 #: Characters without which a kind can't occur; texts without them are not scanned for it.
 HINT = {"email": "@", "ip": ".", "phone": "+"}
-#: A key, an assignment mark, perhaps a quote, and a value of at least three characters.
-KEYED = r"(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z0-9_-]{0,40}+\x20{0,2}+[=:]\x20{0,2}+[\x22\x27]?+[^\s\x22\x27,;=:]{3,200}+"
+#: A key, an assignment mark, perhaps a quote, and a value of at least three characters.  Neither has a
+#: greatest length; possessive forms keep long runs linear.
+KEYED = r"(?<![A-Za-z0-9_-])[A-Za-z][A-Za-z0-9_-]*+\x20{0,2}+[=:]\x20{0,2}+[\x22\x27]?+[^\s\x22\x27,;=:]{3,}+"
+#: What may be an identifier in running text: a base kind, or at least five characters with a digit.
+PROSE = "|".join([*(f"(?:{KINDS[k]})" for k in ("email", "ip", "phone", "card")), r"(?:(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{5,}+)"])
+#: The form of a base kind: where its check fails, words around it don't make it an identifier.
+FORM = "^(?:" + "|".join(f"(?:{KINDS[k]})" for k in ("ip", "phone", "card")) + ")$"
+#: How many words next to a value make a pattern at most.
+WORDS = 3
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
@@ -106,6 +114,38 @@ def keyed_values(text: Column) -> Column:
     ))
 
 
+def prose_values(text: Column) -> Column:
+    """array of (patterns, value, start, end) of places in running text; patterns are the words before and after.
+
+    Words are runs of letters in lower case and never reach over another such place.
+    """
+    empty = F.array().cast("array<struct<patterns:array<string>,value:string,start:int,end:int>>")
+    words = lambda gap: F.filter(F.split(F.lower(gap), r"[^\p{L}]+"), lambda w: w != "")
+    ends = lambda w: F.struct(F.slice(w, 1, WORDS).alias("first"), F.slice(F.reverse(w), 1, WORDS).alias("last"))
+    sides = F.transform(F.split(text, PROSE, -1), lambda gap: let(words(gap), ends))
+
+    def patterns(mark: str, near: Column, turn) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(near)), lambda n: F.concat(F.lit(mark), F.array_join(turn(F.slice(near, F.lit(1), n)), " ")))
+
+    def around(gaps: Column) -> Column:
+        def place(x: Column, i: Column) -> Column:
+            before, after = F.get(gaps, i)["last"], F.get(gaps, i + 1)["first"]
+            none = F.array().cast("array<string>")
+            return F.struct(
+                F.concat(
+                    F.when(F.size(before) > 0, patterns("before ", before, F.reverse)).otherwise(none),
+                    F.when(F.size(after) > 0, patterns("after ", after, lambda w: w)).otherwise(none),
+                ).alias("patterns"),
+                x["value"].alias("value"),
+                x["start"].alias("start"),
+                (x["start"] + F.length(x["value"])).alias("end"),
+            )
+
+        return F.transform(places(text, PROSE), place)
+
+    return F.when(text.rlike("[0-9@]"), let(sides, around)).otherwise(empty)
+
+
 def _crosses(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
 
@@ -136,19 +176,27 @@ def score_graph(edges: DataFrame, rounds: int = 3, weight: float = 2.0) -> DataF
     return per_pattern
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trust: float = 0.6, rounds: int = 3) -> DataFrame:
-    """Per row: doc_id, text_hash, the base spans by kind (arrays of start, end), and ``learned`` (start, end) spans."""
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trust: float = 0.6, rounds: int = 3, prose_trust: float = 0.8) -> DataFrame:
+    """Per row: doc_id, text_hash, the base spans by kind (arrays of start, end), and ``learned`` (start, end) spans.
+
+    Words around a value say less than a key, so they are trusted from ``prose_trust`` on.
+    """
     text = text_of(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"), F.xxhash64(text).alias("_h"))
-    base = base.select("doc_id", "_h", *[base_spans(F.col("_t"), k).alias(k) for k in KINDS], keyed_values(F.col("_t")).alias("_keyed"))
+    base = base.select("doc_id", "_h", *[base_spans(F.col("_t"), k).alias(k) for k in KINDS], keyed_values(F.col("_t")).alias("_keyed"), prose_values(F.col("_t")).alias("_prose"))
     base = materialise(base, "spans")
+    # A value behind a key is the key's, whatever its characters.
+    prose = F.filter("_prose", lambda x: ~_crosses(x, F.col("_keyed")))
     every = F.concat(*[F.col(k) for k in KINDS])
-    places_ = base.where(F.size("_keyed") > 0).select("doc_id", "_h", every.alias("_base"), F.explode("_keyed").alias("k"))
-    places_ = places_.withColumn("crosses", _crosses(F.col("k"), F.col("_base")))
-    edges = places_.groupBy("k.pattern", F.xxhash64("k.value").alias("value")).agg(F.max(F.col("crosses") | is_seed_value(F.col("k.value"))).alias("seed"))
-    scored = score_graph(materialise(edges, "graph"), rounds)
-    trusted = materialise(scored.where(F.col("trust") >= trust).select(F.col("pattern").alias("_p")), "patterns")
-    new = places_.where("not crosses").join(trusted, F.col("k.pattern") == F.col("_p"), "left_semi")
+    keyed = F.transform("_keyed", lambda x: F.struct(F.array(x["pattern"]).alias("patterns"), x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end")))
+    places_ = base.where((F.size("_keyed") > 0) | (F.size("_prose") > 0)).select("doc_id", "_h", every.alias("_base"), F.explode(F.concat(keyed, prose)).alias("k"))
+    places_ = places_.withColumn("crosses", _crosses(F.col("k"), F.col("_base"))).drop("_base").withColumn("pattern", F.explode("k.patterns"))
+    edges = places_.groupBy("pattern", F.xxhash64("k.value").alias("value")).agg(F.max(F.col("crosses") | is_seed_value(F.col("k.value"))).alias("seed"))
+    scored = score_graph(materialise(edges, "graph"), rounds).where(F.col("trust") >= trust)
+    trusted = scored.where((F.col("trust") >= prose_trust) | F.col("pattern").rlike("[=:]"))
+    trusted = materialise(trusted.select(F.col("pattern").alias("_p")), "patterns")
+    refuted = ~F.col("pattern").rlike("[=:]") & F.col("k.value").rlike(FORM)
+    new = places_.where(~F.col("crosses") & ~refuted).join(trusted, F.col("pattern") == F.col("_p"), "left_semi")
     new = new.groupBy("doc_id", "_h").agg(F.array_sort(F.collect_set(F.struct("k.start", "k.end"))).alias("learned"))
     new = new.withColumnsRenamed({"doc_id": "_id", "_h": "_hh"})
     out = base.join(new, base.doc_id.eqNullSafe(new._id) & (base._h == new._hh), "left")

@@ -180,6 +180,21 @@ def test_bootstrap_finds_unseen_values(spark):
     assert text[500] == "here token = \"[SECRET]\" ends" and text[600] is None and text[601] == "[EMAIL], [IP]"
 
 
+def test_long_secrets_and_keys_are_whole(spark):
+    seeds = [(i, f"text token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" more {'k' * 60}: {hashlib.md5(str(i).encode()).hexdigest()}") for i in range(30)]
+    long = "aB3" * 400
+    text = {r["doc_id"]: r["text"] for r in pii.redact(frame(spark, [*seeds, (500, f"a token = \"{long}\" b"), (501, f"{'k' * 60}: abc-77 c")])).collect()}
+    assert text[500] == "a token = \"[SECRET]\" b" and text[501] == f"{'k' * 60}: [SECRET] c"
+
+
+def test_contexts_in_running_text(spark):
+    rows = [(i, f"bring passport number {hashlib.sha1(str(i).encode()).hexdigest()[:24]}z9 along or call me on +49 30 {1234567 + i} today") for i in range(40)]
+    rows += [(100 + i, f"chapter numbered {10000 + i} follows") for i in range(40)]
+    rows += [(500, "your passport number X1234567, please"), (501, "call me on 8841-22"), (502, "chapter numbered 20000 follows"), (503, "nothing but passport number and call me on monday"), (504, "call me on 4111111111111112")]
+    spans = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(frame(spark, rows))).collect()}
+    assert spans[500] == "secret:21:29" and spans[501] == "secret:11:18" and spans[502] == spans[503] == spans[504] == spans[100] == ""
+
+
 def test_no_texts_no_spans(spark):
     assert pii.find(frame(spark, [])).count() == 0
     docs = frame(spark, [(1, "plain"), (1, "plain")])
