@@ -3,11 +3,13 @@
 A neighbour graph starts from random-projection leaves and is refined by joins of neighbours of
 neighbours: every node sends its vector to its neighbours in both directions, and a node that holds the
 vectors of its neighbours proposes each pair of them that beats what either already has.  Rounds go on
-until few entries change.  Lists that are saturated (all their entries are links) would hide further
-links, so lists are then enlarged to the whole component that the links form: components are compared
-within themselves by tiles, which count links and never emit pairs.  An audit compares a bounded
-sample of nodes with all nodes; while its recall is below the target, further leaves with other
-projections are added.
+until few entries change.  A list whose entries are all links (saturated) would hide further links; two
+nodes whose link is in neither list both have such lists, so the saturated nodes of a label are compared
+with each other by tiles.  Labels of at most ``whole`` nodes are compared whole by tiles and need no graph.
+Links are counted within the components they form, again by tiles; no tile ever emits all pairs.  An
+audit compares a bounded sample of the nodes in larger labels with all nodes, each node weighing the same;
+while its recall is below the target, further leaves with other projections are added, and after ``tries``
+times these labels are compared whole too.
 
 Equal vectors of a label are one node; they are links of each other and never expanded.  Vectors of
 different or null labels, null or zero vectors and vectors with null or non-finite components link with
@@ -15,14 +17,13 @@ nothing.  Cosines are of double precision.  Of rows with the same id the smalles
 can link stays; rows without an id take no part.  An empty table gives an empty result; other columns
 are ignored, whatever their names.
 
-Bounds: a leaf or tile is one task's work and holds at most about ``leaf`` nodes; a node joins at most
+Bounds: a leaf is one task's work and holds at most about ``leaf`` nodes, a tile four times as many; a node joins at most
 ``k`` forward and ``k`` backward neighbours per round (the backward ones chosen by a hash); the sample
 of the audit has at most ``sample`` nodes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,11 +76,11 @@ def nodes_of(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> D
     return rows.groupBy("vec_id").agg(F.min("r").alias("r")).select("vec_id", "r.label", "r.v")
 
 
-def leaf_edges(nodes: DataFrame, trees: list[int], bits: int, k: int, leaf: int) -> DataFrame:
+def leaf_edges(nodes: DataFrame, trees: list[int], k: int, leaf: int) -> DataFrame:
     """Neighbour candidates (u, v, sim): the k nearest within each random-projection leaf.
 
-    A leaf is the nodes of one label and one vector length on the same sides of ``bits`` random planes;
-    leaves above ``leaf`` are split by a hash, differently in every tree.
+    A leaf is the nodes of one label and one vector length on the same sides of random planes, as
+    many as its label needs (column ``bits``); leaves above ``leaf`` are split by a hash, differently in every tree.
     """
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,17 +88,18 @@ def leaf_edges(nodes: DataFrame, trees: list[int], bits: int, k: int, leaf: int)
             rows = matrix(b.column("v"))
             n = len(rows)
             codes = np.zeros((len(trees), n), dtype=np.int64)
-            sizes = np.asarray([len(r) for r in rows])
+            sizes, bits = np.asarray([len(r) for r in rows]), b.column("bits").to_numpy()
             for size in np.unique(sizes):
                 at = np.nonzero(sizes == size)[0]
                 x = unit([rows[i] for i in at])
                 for t, tree in enumerate(trees):
-                    planes = np.random.default_rng(10_007 * tree + int(size)).standard_normal((int(size), bits))
-                    codes[t, at] = ((x @ planes) > 0) @ (1 << np.arange(bits)) if bits else 0
+                    most = int(bits[at].max())
+                    planes = np.random.default_rng(10_007 * tree + int(size)).standard_normal((most, int(size)))  # the first planes are the same for all
+                    codes[t, at] = ((x @ planes.T) > 0) @ (1 << np.arange(most)) & ((1 << bits[at]) - 1) if most else 0
             for t, tree in enumerate(trees):
                 yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), pa.array(np.full(n, tree, dtype=np.int64)), pa.array(codes[t])], names=["node", "label", "tree", "code"])
 
-    signs = nodes.select("node", "label", "v").mapInArrow(code, "node long, label string, tree long, code long")
+    signs = nodes.select("node", "label", "v", "bits").mapInArrow(code, "node long, label string, tree long, code long")
     signs = materialise(signs, "signs")
     sizes = signs.groupBy("label", "tree", "code").agg(F.count(F.lit(1)).alias("n"))
     chunks = F.ceil(F.col("n") / F.lit(leaf))
@@ -182,16 +184,50 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, rounds: int, change: flo
     return graph
 
 
-def tile_counts(members: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """(node, links): per node the vectors of its component that it links with, counted with their copies.
+def tiles(members: DataFrame, tile: int) -> DataFrame:
+    """``members`` (component, node, copies, x) dealt and sorted by tiles (component, a, b).
 
-    ``members`` has component, node, copies, kind and x.  Components are cut into chunks of about ``tile``
-    nodes by a hash, and every two chunks of a component meet once; a tile returns one count per node.
+    Components are cut into chunks of about ``tile`` nodes by a hash, and every two chunks of a component
+    meet once.
     """
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("chunks"))
     m = members.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     m = m.select("component", F.least("mine", "other").cast("long").alias("a"), F.greatest("mine", "other").cast("long").alias("b"), F.col("mine").cast("long").alias("mine"), "node", "copies", "x")
+    return m.repartition(partitions(members.sparkSession), "component", "a", "b").sortWithinPartitions("component", "a", "b")
+
+
+def tile_links(members: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """Spanning edges (a, b) of all links among the members of each component: at most one row per node of a tile."""
+
+    def span(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in grouped(batches, 3):
+            ids = g.column("node").to_numpy()
+            x = unit(matrix(g.column("x")))
+            near = x @ x.T >= threshold
+            free = np.ones(len(ids), dtype=bool)
+            src, dst = [], []
+            for start in np.nonzero(near.sum(axis=1) > 1)[0].tolist():
+                todo = [start] if free[start] else []
+                free[start] = False
+                while todo:
+                    i = todo.pop()
+                    found = np.nonzero(near[i] & free)[0]
+                    free[found] = False
+                    src.append(np.full(len(found), ids[i]))
+                    dst.append(ids[found])
+                    todo.extend(found.tolist())
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["a", "b"])
+
+    return tiles(members, tile).mapInArrow(span, "a long, b long")
+
+
+def tile_counts(members: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """(node, links): per node the vectors of its component that it links with, counted with their copies.
+
+    A tile returns one count per node.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, links = [], []
@@ -211,12 +247,11 @@ def tile_counts(members: DataFrame, threshold: float, tile: int) -> DataFrame:
         if nodes:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(links))], names=["node", "links"])
 
-    dealt = m.repartition(partitions(members.sparkSession), "component", "a", "b").sortWithinPartitions("component", "a", "b")
-    return dealt.mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    return tiles(members, tile).mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int) -> float:
-    """Recall of links for a sample of nodes of at most about ``sample``, against all nodes."""
+    """Mean recall of the links of a node, for a sample of about ``sample`` nodes against all nodes; nodes without links don't count."""
     total = nodes.count()
     share = max(1, total // max(1, sample))
     some = nodes.where(F.pmod(F.xxhash64("node", F.lit(99)), F.lit(share)) == 0).select("node", "label", "v").limit(4 * sample).collect()
@@ -240,32 +275,50 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int) ->
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array((near * copies[at][:, None]).sum(axis=0).astype(np.int64))], names=["node", "links"])
 
     true = nodes.select("node", "label", "copies", "v").mapInArrow(truth, "node long, links long").groupBy("node").agg(F.sum("links").alias("t"))
-    got, want = true.join(counts, "node", "left").agg(F.sum(F.least("t", F.coalesce("links", F.lit(0)))), F.sum("t")).first()
-    return 1.0 if not want else got / want
+    reached = true.where("t > 0").join(counts, "node", "left").agg(F.avg(F.least("t", F.coalesce("links", F.lit(0))) / F.col("t"))).first()[0]
+    return 1.0 if reached is None else reached
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, k: int = 6, leaf: int = 512, trees: int = 3, rounds: int = 4, change: float = 0.01, sample: int = 256, recall: float = 0.99, tries: int = 3) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, k: int = 6, leaf: int = 512, trees: int = 3, rounds: int = 4, change: float = 0.01, sample: int = 256, recall: float = 0.99, tries: int = 3, whole: int = 4096) -> DataFrame:
     """One row per id: vec_id, n_links, component_id, kept, recall (of the audit, the same in all rows)."""
     rows = materialise(nodes_of(vectors, id_col, vec_col, label_col), "vectors")
     nodes = rows.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    nodes = materialise(nodes, "nodes")
-    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits = max(0, math.ceil(math.log2(max(1, largest) / leaf)))
-    graph, reached = None, 1.0
-    for attempt in range(tries):
-        edges = leaf_edges(nodes, list(range(attempt * trees, (attempt + 1) * trees)), bits, k, leaf)
-        if graph is not None:
-            edges = edges.union(graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.sim"))
-        graph = materialise(best_lists(edges, k), "graph")
-        graph = descend(graph, nodes, k, rounds, change)
-        linked = graph.select("u", F.explode("near").alias("e")).where(F.col("e.sim") >= threshold).select(F.col("u").alias("a"), F.col("e.v").alias("b"))
-        parts = materialise(components(linked), "components")
+    nodes = materialise(nodes.withColumn("kind", F.xxhash64("label", F.size("v"))), "nodes")
+    kinds = materialise(nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(leaf)))).cast("long")
+    large = kinds.where(F.col("n") > whole).select("kind", bits.alias("bits"))
+    small = nodes.join(kinds.where(F.col("n") <= whole).select("kind"), "kind", "left_semi")
+    side = lambda df: df.select(F.col("kind").alias("component"), "node", "copies", F.col("v").alias("x"))
+    exact = materialise(tile_links(side(small), threshold, 2 * leaf), "links")
+
+    def settle(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        parts = materialise(components(links), "components")
         info = nodes.select(F.col("node").alias("_n"), "copies", F.col("v").alias("x"))
         members = parts.join(info, parts.node == info._n).select("component", "node", "copies", "x")
-        counts = materialise(tile_counts(members, threshold, 2 * leaf), "counts")
+        return parts, materialise(tile_counts(members, threshold, 2 * leaf), "counts")
+
+    if not large.head(1):
+        parts, counts = settle(exact)
         reached = audit(nodes, counts, threshold, sample)
-        if reached >= recall:
-            break
+    else:
+        many = materialise(nodes.join(large, "kind"), "many")
+        graph, reached = None, 0.0
+        for attempt in range(tries):
+            edges = leaf_edges(many, list(range(attempt * trees, (attempt + 1) * trees)), k, leaf)
+            if graph is not None:
+                edges = edges.union(graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.sim"))
+            graph = materialise(best_lists(edges, k), "graph")
+            graph = descend(graph, many, k, rounds, change)
+            linked = graph.select("u", F.explode("near").alias("e")).where(F.col("e.sim") >= threshold).select(F.col("u").alias("a"), F.col("e.v").alias("b"))
+            full = graph.where((F.size("near") >= k) & (F.element_at("near", -1)["sim"] >= threshold)).select(F.col("u").alias("_u"))
+            hidden = tile_links(side(many.join(full, many.node == full._u, "left_semi")), threshold, 2 * leaf)
+            parts, counts = settle(exact.union(linked).union(hidden))
+            reached = audit(many, counts, threshold, sample)
+            if reached >= recall:
+                break
+        else:
+            parts, counts = settle(exact.union(tile_links(side(many), threshold, 2 * leaf)))
+            reached = audit(many, counts, threshold, sample)
     per_node = nodes.select("node", "label", "v", "copies").join(counts, "node", "left").join(parts, "node", "left")
     per_node = per_node.select(F.col("label").alias("_l"), F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     found = rows.join(per_node, (rows.label == per_node._l) & (rows.v == per_node._v)).select(F.col("vec_id").alias("_id"), "n_links", "component_id")

@@ -61,6 +61,25 @@ def test_neighbours(spark):
         assert (r["n_links"], r["component_id"], r["kept"]) == (len(others), min(seen), min(seen) == i)
 
 
+@pytest.mark.parametrize("options", [{}, {"whole": 0}, {"whole": 0, "tries": 0}])
+def test_linked_tight_groups(spark, options):
+    """Two groups whose 6 nearest are all their own, linked across, and pairs apart of them."""
+    rng = np.random.default_rng(5)
+    axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    centres = [axes[0], 0.942 * axes[0] + np.sqrt(1 - 0.942**2) * axes[1]]
+    v = [c + 0.004 * rng.standard_normal(64) for c in centres for _ in range(30)]
+    v += [axes[2 + i // 2] + 0.01 * rng.standard_normal(64) for i in range(40)]
+    x = np.asarray(v, dtype=np.float32).astype(np.float64)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    s = x @ x.T
+    assert (s[:30, 30:60] >= 0.93).sum() > 200 and np.sort(s[:30, :30], axis=1)[:, -7].min() > s[:30, 30:60].max()
+    links = (s >= 0.93).sum(axis=1) - 1
+    got = {r["vec_id"]: r for r in neighbours.near_duplicates(vectors(spark, [(i, np.float32(r).tolist(), 1) for i, r in enumerate(v)]), **options).collect()}
+    assert [got[i]["n_links"] for i in range(100)] == links.tolist()
+    assert [got[i]["component_id"] for i in range(100)] == [0] * 60 + [i - i % 2 for i in range(60, 100)]
+    assert {r["recall"] for r in got.values()} == {1.0}
+
+
 def test_no_neighbours(spark):
     assert neighbours.near_duplicates(vectors(spark, [])).count() == 0
     got = neighbours.near_duplicates(vectors(spark, [(5, [1.0, 0.0], 1), (4, None, 1)])).collect()
