@@ -43,6 +43,8 @@ SIGNS = {
 SEPARATORS = ".-_*~^'`,:;/\\​­"
 #: Costs (negative logarithms) of the channel: a letter as it stands, a sign for a letter, a doubled letter kept, a run cut to one.
 PLAIN, SIGN, DOUBLE, SHRINK, DROP = 0.05, 0.7, 0.7, 0.3, 0.1
+#: Costs of a word's edge at a separator or space, and at several spaces.
+WORD, GAP = 1.0, 0.1
 
 ODD = re.compile(r"[^\W\d_]*(?:[0-9@$!|+(€£¡]|[.\-_*~^'`,:;/\\​­](?=\w))", re.UNICODE)
 PAIR = re.compile(r"([^\W\d_])\1")
@@ -95,8 +97,8 @@ def language_model(counts: DataFrame, add: float = 0.1) -> np.ndarray:
 # --- restoration --------------------------------------------------------------------------------------
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Per observed run the strings that it may stand for, with their costs."""
+def lattice(token: str, edges: bool = False) -> list[list[tuple[str, float]]]:
+    """Per observed run the strings that it may stand for, with their costs; with ``edges`` a separator may be a space."""
     out, i = [], 0
     while i < len(token):
         c, j = token[i], i
@@ -110,19 +112,22 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         elif c.isalpha():
             ways = [(c, PLAIN + (SHRINK if n > 1 else 0))] + ([(c * 2, PLAIN + (DOUBLE if n > 2 else 0))] if n > 1 else [])
         else:
-            ways = [("", DROP)]
+            ways = [("", DROP)] + ([(" ", GAP if c == " " and n > 1 else WORD)] if edges else [])
         out.append(ways)
         i = j
     return out
 
 
-def decode(token: str, costs: np.ndarray) -> str:
-    """The cheapest reading of a token: Viterbi over the lattice, states are the last two letters."""
-    code = lambda c: ord(c) - 96 if "a" <= c <= "z" else OTHER
-    best: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-    for ways in lattice(token):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+def decode(token: str, costs: np.ndarray, edges: bool = False) -> str:
+    """The cheapest reading of a token: Viterbi over the lattice, states are the last two letters.
+
+    Paths share their beginnings, so work and memory are linear in the token's length.
+    """
+    code = lambda c: EDGE if c == " " else ord(c) - 96 if "a" <= c <= "z" else OTHER
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
+    for ways in lattice(token, edges):
+        step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in best.items():
             for way, price in ways:
                 x, y, total = a, b, cost + price
                 for c in way:
@@ -130,31 +135,34 @@ def decode(token: str, costs: np.ndarray) -> str:
                     total += costs[x, y, k]
                     x, y = y, k
                 if (x, y) not in step or total < step[x, y][0]:
-                    step[x, y] = (total, text + way)
+                    step[x, y] = (total, (path, way) if way else path)
         best = step
-    return min(((cost + costs[a, b, EDGE], text) for (a, b), (cost, text) in best.items()), default=(0.0, ""))[1]
-
-
-def readings(token: str, costs: np.ndarray, longest: int = 64) -> list[str]:
-    """The words a token is scored as: itself, and its restored form where the token may hide one.
-
-    Tokens of more than ``longest`` runs of equal characters are no hidden words; they stand for themselves.
-    """
-    plain = token.strip(EDGES)
-    if not (ODD.match(token) or PAIR.search(token)) or not any(map(str.isalpha, token)):
+    path = min(((cost + costs[a, b, EDGE], i, path) for i, ((a, b), (cost, path)) in enumerate(best.items())), default=(0.0, 0, None))[2]
+    out = []
+    while path is not None:
+        path, way = path
+        out.append(way)
+    return "".join(reversed(out))
+
+
+def readings(token: str, costs: np.ndarray) -> list[str]:
+    """The words a token is scored as: itself, and its restored forms, as one word and as several, where it may hide some."""
+    plain, bare = token.strip(EDGES), token.strip(".,;:?\"'()[]{}<>«»¿…*#&%~`")
+    spread = any(c in SEPARATORS or c == " " for c in bare)
+    if not (spread or ODD.match(bare) or ODD.match(token) or PAIR.search(token)) or not any(map(str.isalpha, token)):
         return [plain]
-    if len(token) > longest and sum(1 for a, b in zip(token, token[1:]) if a != b) >= longest:
-        return [plain]
-    return list(dict.fromkeys([plain, decode(token.strip(".,;:?\"'"), costs)]))
+    several = decode(bare, costs, edges=True).split() if spread else []
+    whole = token.strip(".,;:?\"'")
+    return list(dict.fromkeys([plain, *several, *(decode(t, costs) for t in {whole: 0, bare: 0})]))
 
 
 def tokens(text: str) -> list[str]:
-    """Distinct tokens of a text; letters that are spaced out also make one token, with and without a letter at either end."""
+    """Distinct tokens of a text; letters that are spaced out also make one token, with and without a letter at either end, and one with its spaces."""
     low = text.lower()
     out = set(low.split())
     for m in SPACED.finditer(low):
         run = m.group().replace(" ", "")
-        out.update((run, run[1:], run[:-1], run[1:-1]))
+        out.update((run, run[1:], run[:-1], run[1:-1], m.group()))
     return list(out)
 
 
@@ -300,9 +308,13 @@ class Model:
             p = 1 / (1 + np.exp(-np.clip(inputs(found, np.asarray([float(len(t)) for t in texts])) @ self.beta, -30, 30)))
         return np.where(found[:, 2] > 0, p, self.without)
 
+    def _whole(self, token: str) -> str:
+        found = readings(token, self.costs)
+        return decode(token.strip(EDGES), self.costs) if len(found) > 1 else found[0]
+
     def restore(self, text: str) -> str:
         """The text with every token in its cheapest reading."""
-        return " ".join(readings(t, self.costs)[-1] for t in text.lower().split())
+        return " ".join(self._whole(t) for t in text.lower().split())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, features: int = 5_000, least: int = 6, odds: float = 2.0) -> Model:

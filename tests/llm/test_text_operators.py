@@ -428,6 +428,18 @@ def test_toxicity(spark, learned):
     assert kept.columns == docs.columns and kept.count() == 500
 
 
+def test_long_and_wrapped_disguises(spark, learned):
+    model = toxicity.fit(*learned)
+    said = lambda text: {w for t in toxicity.tokens(text) for w in toxicity.readings(t, model.costs)}
+    for wrapped in ('"1d10t"', "[1d10t]", "(1d10t),"):
+        assert "idiot" in said(wrapped)
+    sentence = "thing erly moron souly marling ouan"
+    assert "moron" in said("  ".join(" ".join(w) for w in sentence.split()))
+    assert "moron" in said(" ".join("thingmoron"))
+    assert "moron" in said(".".join("thing" * 12 + "moron" + "erly"))
+    assert len(toxicity.decode("a.b" * 20_000, model.costs)) == 40_000
+
+
 def test_toxicity_without_labels(spark, learned):
     docs, labels = learned
     assert {r["score"] for r in toxicity.classify(docs.limit(5), labels.limit(0)).collect()} == {0.0}
