@@ -98,4 +98,15 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-__all__ = ["QUERIES", "ORACLES", "query", "table", "text_of", "lower_ascii", "let", "partitions", "same", "components", "materialise", "new_path", "ship"]
+#: SQL for the 256 remainders of CRC-32 (reflected polynomial 0xEDB88320), a recursive common table ``crc_table``.
+CRC_TABLE = """crc_bits(i, step, v) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT i, step + 1, xor(v >> 1, 3988292384 * (v & 1)) FROM crc_bits WHERE step < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS tab FROM crc_bits WHERE step = 8)"""
+
+
+def crc_sql(column: str) -> str:
+    """SQL for the unsigned CRC-32 of the bytes that ``column`` spells in hex; ``crc_table`` is among the tables."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len({column}), 2), lambda p: CAST('0x' || substr({column}, p, 2) AS BIGINT))),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+__all__ = ["CRC_TABLE", "crc_sql", "QUERIES", "ORACLES", "query", "table", "text_of", "lower_ascii", "let", "partitions", "same", "components", "materialise", "new_path", "ship"]

@@ -90,4 +90,31 @@ def op2(spark, d):
     return classify(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+@query("op11_two_pass_shuffle")
+def op11(spark, d):
+    from .sharding import digest, write_shards
+
+    return digest(write_shards(table(spark, d, "documents")))
+
+
+from .resampling import RESAMPLE_SQL
+
+
+@query("op12_importance_resampling", RESAMPLE_SQL)
+def op12(spark, d):
+    from .resampling import resample
+
+    return resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+from .spelling import SPELLING_SQL
+
+
+@query("op13_spelling_chunks", SPELLING_SQL)
+def op13(spark, d):
+    from .spelling import variants
+
+    return variants(table(spark, d, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 __all__ = ["QUERIES", "ORACLES"]
