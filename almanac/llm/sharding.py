@@ -38,6 +38,11 @@ def record_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text.cast("string")), F.lit(0)) + F.lit(RECORD)).cast("long")
 
 
+def quotient(x: Column, n: int) -> Column:
+    """Whole quotient of a number that is not negative."""
+    return ((x - F.pmod(x, F.lit(n))) / F.lit(n)).cast("long")
+
+
 def exchange_order(n: int, seed: int, bucket: int) -> np.ndarray:
     """The order that Fisher and Yates' exchange gives n rows: place i swaps with one of the places 0 to i, from the last down."""
     draws = np.random.default_rng([seed, bucket]).integers(0, np.arange(n, 0, -1)) if n else []
@@ -95,12 +100,10 @@ def write_shards(docs: DataFrame, shards: int = 40, seed: int = 2024, bucket_byt
     mixed = dealt.mapInArrow(exchange, f"bucket long, place long, row {rows.schema['row'].dataType.simpleString()}")
     whole = mixed.join(starts, mixed.bucket == starts._b)
     position = F.col("start") + F.col("place")
-    shard = F.floor(position * F.lit(shards) / F.lit(max(1, n)))
-    # The division is of doubles; the integer test afterwards makes it exact.
-    first = lambda s: F.ceil(s.cast("decimal(38,0)") * F.lit(n) / F.lit(shards)).cast("long")
-    shard = shard - (position < first(shard)).cast("long") + (position >= first(shard + 1)).cast("long")
+    shard = quotient(position * F.lit(shards), max(1, n))
     out = whole.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], shard.cast("int").alias("shard"), position.alias("_at"))
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], "shard", (F.col("_at") - first(F.col("shard"))).alias("slot"))
+    first = quotient(F.col("shard") * F.lit(n) + F.lit(shards - 1), shards)  # the place of a shard's first row
+    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], "shard", (F.col("_at") - first).alias("slot"))
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     back = spark.read.schema(out.schema).parquet(path)
     return back.select(*out.columns)
