@@ -194,14 +194,29 @@ def lexicon_score(utterances: DataFrame, lexicon: DataFrame, phrase: str = "phra
     length; below ``floor`` it counts as 0, so every utterance keeps a row per family and kind, also
     one that resembles nothing.  A null phrase scores 0.
     """
+    best = _phrase_scores(utterances, lexicon, phrase, floor)
+    return utterances.join(best, utterances[phrase].eqNullSafe(best["_said"]), "left").drop("_said").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def lexicon_pairs(utterances: DataFrame, lexicon: DataFrame, phrase: str = "phrase", floor: float = 0.0) -> DataFrame:
+    """:func:`lexicon_score` with the kinds side by side: per utterance and family ``s_act`` and ``s_def``.
+
+    The kinds meet on the distinct phrases; an utterance is joined to one narrow row per family and never grouped.
+    """
+    at = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
+    best = _phrase_scores(utterances, lexicon, phrase, floor).groupBy("_said", "family").agg(at("active").alias("s_act"), at("defensive").alias("s_def"))
+    zero = {s: F.coalesce(s, F.lit(0.0)) for s in ("s_act", "s_def")}
+    return utterances.join(best, utterances[phrase].eqNullSafe(best["_said"]), "left").drop("_said").withColumns(zero)
+
+
+def _phrase_scores(utterances: DataFrame, lexicon: DataFrame, phrase: str, floor: float) -> DataFrame:
     lex = lexicon.groupBy("family", "kind").agg(F.collect_set(F.lower("entry")).alias("entries"))
     whole = only_row(lex, F.collect_list(F.struct("family", "kind", "entries")).alias("l"))
     said = utterances.select(F.col(phrase).alias("_said")).distinct().withColumn("_low", F.lower("_said"))
     rows = said.withColumn("_x", F.explode(whole["l"])).select("_said", "_low", "_x.*")
     sim = F.transform("entries", lambda e: 1 - F.levenshtein(F.col("_low"), e) / F.greatest(F.length("_low"), F.length(e)))
     best = rows.withColumn("score", F.coalesce(F.array_max(sim), F.lit(0.0)))
-    best = best.select("_said", "family", "kind", F.when(F.col("score") >= floor, F.col("score")).otherwise(0.0).alias("score"))
-    return utterances.join(best, utterances[phrase].eqNullSafe(best["_said"]), "left").drop("_said").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return best.select("_said", "family", "kind", F.when(F.col("score") >= floor, F.col("score")).otherwise(0.0).alias("score"))
 
 
 def deploy_lexicon(lexicon: DataFrame, inventory: DataFrame) -> DataFrame:

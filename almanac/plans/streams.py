@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import theta
-from ..operators import joins as jn, reshape as rs
+from ..operators import joins as jn, lookup as lk, reshape as rs
 from ..operators.patterns import micros
-from ..session import new_path
-from ..sources.tables import stream_files, table_path
-from ..streaming import decisions as dc, lexicon as lx, operators as st
+from ..session import materialise, new_path
+from ..sources.tables import lay_out, stream_files
+from ..streaming import alerts as al, decisions as dc, joins as sj, lexicon as lx, operators as st
 from ..streaming.run import replay
 from . import base as b
 from .registry import load, query
@@ -17,12 +17,27 @@ from .registry import load, query
 R = lambda c, n=6: F.round(c, n)
 
 
-def stream(spark, d):
-    """The event table as a stream; all files present form the replay."""
-    s = stream_files(spark, table_path(d, "events"), load(spark, d, "events").schema, per_trigger=None)
+#: The archive is replayed in files in time order, so many in a micro-batch.
+FILES, PER_TRIGGER = 6, 2
+
+
+def stream(spark, d, where="true", path=None):
+    """The event table as a stream, laid out in time order and read a few files at a time."""
+    e = load(spark, d, "events")
+    if path is None:
+        path = new_path(spark, "events")
+        lay_out(e, "ts", path, FILES)
+    s = stream_files(spark, path, e.schema, per_trigger=PER_TRIGGER).where(where)
     return s.withColumn("ts", F.col("ts").cast("timestamp")).withColumnRenamed("user_id", "station").withColumn("us", micros("ts"))
 
 
+def two_streams(spark, d, left, right):
+    """Two streams over one laid-out archive."""
+    path = new_path(spark, "events")
+    lay_out(load(spark, d, "events"), "ts", path, FILES)
+    return stream(spark, d, left, path), stream(spark, d, right, path)
+
+
 WM = "(SELECT epoch_us(date_trunc('millisecond', max(ts))) FROM events)"
 
 
@@ -43,7 +58,7 @@ def _(spark, d):
 def flags(spark, d):
     """Daily flags per station: a station has one row per day, so its state stays in time order."""
     p = b.daily_panel(spark, d)
-    return p.select("station", "t", F.coalesce((F.col("stage") >= 30).cast("int"), F.lit(0)).alias("flag"))
+    return p.select("station", "t", F.coalesce((F.col("stage") >= 30).cast("int"), F.lit(0)).alias("flag"), F.col("day").cast("timestamp").alias("ts"))
 
 
 FLAGS = b.DAILY_PANEL + ", raw AS (SELECT station AS entity, 1 AS thr, t, CAST(coalesce(stage >= 30, false) AS INTEGER) AS flag FROM dpanel)"
@@ -52,12 +67,18 @@ isl AS (SELECT *, sum(c) OVER (PARTITION BY entity ORDER BY t) AS rid FROM chg),
 flagged AS (SELECT entity, thr, t, CAST(flag = 1 AND count(*) OVER (PARTITION BY entity, rid) >= 2 AS INTEGER) AS flag FROM isl)"""
 
 
-@query("n03_alert_state", "WITH RECURSIVE " + FLAGS + RUNS + b.onset_sql(r=5) + " SELECT CAST(entity AS BIGINT) AS station, CAST(t AS BIGINT) AS onset_t FROM onsets WHERE onset = 1")
+DAY_END = "(SELECT max(t) FROM dpanel)"
+
+
+@query("n03_alert_state", "WITH RECURSIVE " + FLAGS + RUNS + b.onset_sql(r=5) + f" SELECT CAST(entity AS BIGINT) AS station, CAST(t AS BIGINT) AS onset_t FROM onsets WHERE onset = 1 AND t + 2 <= {DAY_END}")
 def _(spark, d):
+    """Daily flags in event time; the last day is not behind the watermark yet."""
     f = flags(spark, d)
     path = new_path(spark, "flags")
-    f.write.parquet(path)
-    return replay(st.alert_state(stream_files(spark, path, f.schema, per_trigger=None), 2, 5))
+    lay_out(f, "ts", path, FILES)
+    own = al.state_session(spark)
+    alerts = al.onset_alerts(stream_files(own, path, f.schema, per_trigger=PER_TRIGGER), "ts", "1 day", 2, 5)
+    return replay(alerts, reader=spark)
 
 
 @query("n04_sessions", f"""WITH l AS (SELECT user_id AS station, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pu, value FROM events),
@@ -81,12 +102,24 @@ ws AS (SELECT u.event_id, u.user_id AS station, CASE WHEN u.ts - s.ts <= INTERVA
 
 @query("n06_with_state", "WITH " + STATE + " SELECT * FROM ws")
 def _(spark, d):
-    s = stream(spark, d).where("event_type IN ('view', 'purchase', 'signup', 'error', 'click')").select("event_id", "station", "us", "event_type", "value")
+    s = stream(spark, d, "event_type IN ('view', 'purchase', 'signup', 'error', 'click')").select("event_id", "station", "us", "event_type", "value")
     is_state = F.col("event_type").isin("error", "click")
     out = st.with_state(s, is_state, ["station"], "us", "event_id", "value", 2 * 86400e6)
     return out.select("event_id", "station", "state_event_id", "state_value")
 
 
+BEHIND = """least((SELECT epoch_us(date_trunc('millisecond', max(ts))) FROM events WHERE {0}), (SELECT epoch_us(date_trunc('millisecond', max(ts))) FROM events WHERE {1})) - 600000000 - {2} * 86400000000"""
+
+
+@query("n06_state_join", "WITH " + STATE + " SELECT ws.* FROM ws JOIN events e ON e.event_id = ws.event_id WHERE epoch_us(e.ts) <= "
+       + BEHIND.format("event_type IN ('view', 'purchase', 'signup')", "event_type IN ('error', 'click')", 2))
+def _(spark, d):
+    """Utterances and states as two streams joined in event time; events come out two days behind the watermark, as far as a state reaches."""
+    u, s = two_streams(spark, d, "event_type IN ('view', 'purchase', 'signup')", "event_type IN ('error', 'click')")
+    out = sj.latest_state(u.select("event_id", "station", "ts"), s.select("event_id", "station", "ts", "value"), ["station"], "ts", "event_id", "2 DAYS", "10 minutes", ["value"])
+    return replay(out).select("event_id", "station", "state_event_id", "state_value")
+
+
 # --- utterances and the lexicon ------------------------------------------------------------------
 
 
@@ -119,6 +152,24 @@ def _(spark, d):
     return s.select("event_id", "family", "kind", R("score", 9).alias("score"))
 
 
+WORDS = """ent AS (SELECT DISTINCT lang AS family, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS entry FROM documents),
+ask AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS phrase FROM benchmark),
+ds AS (SELECT DISTINCT phrase FROM ask),
+mt AS (SELECT phrase, family, entry, 1 - levenshtein(phrase, entry)::DOUBLE / greatest(length(phrase), length(entry)) AS score FROM ds JOIN ent
+  ON length(entry) >= 0.75 * length(phrase) AND length(phrase) >= 0.75 * length(entry)),
+bm AS (SELECT phrase, family, min(struct_pack(less := -score, entry := entry)) AS x FROM mt WHERE score >= 0.75 GROUP BY 1, 2)"""
+
+
+@query("c19_lexicon_lookup", "WITH " + WORDS + " SELECT item_id, ask.phrase, family, x.entry AS entry, round(-x.less, 9) AS score FROM ask JOIN bm ON bm.phrase = ask.phrase")
+def _(spark, d):
+    """Words of the benchmark looked up in the lexicon of all longer words of the documents, by language."""
+    words = lambda t, *cols: load(spark, d, t).select(*cols, F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"))).alias("w"))
+    lex = words("documents", F.col("lang").alias("family")).distinct().select("family", F.lit("active").alias("kind"), F.col("w").alias("entry"))
+    ask = words("benchmark", "item_id").distinct().withColumnRenamed("w", "phrase")
+    out = lk.lexicon_lookup(ask, materialise(lex, "lexicon"), floor=0.75)
+    return out.select("item_id", "phrase", "family", "entry", R("score", 9).alias("score"))
+
+
 FAM = "[" + ", ".join(f"'{f}'" for f in lx.FAMILIES) + "]"
 
 
@@ -149,10 +200,9 @@ dec AS (SELECT *, CASE WHEN sa >= theta THEN 'execute' WHEN sd - sa >= 0.1 AND s
 
 
 def decided(u, spark):
-    scored = jn.lexicon_score(u, lx.matching_table(spark))
     th = theta(F.length("phrase"), "conf", "snr", (F.col("event_type") == "error").cast("int"), delta=0.05)
-    keyed = scored.withColumn("theta", R(th, 9))
-    best = dc.best_scores(keyed, ["event_id", "home", "room", "family", "phrase", "theta"])
+    scored = jn.lexicon_pairs(u.withColumn("theta", R(th, 9)), lx.matching_table(spark))
+    best = scored.select("event_id", "home", "room", "family", "phrase", "theta", "s_act", "s_def")
     return dc.decide(best, F.col("theta"), F.lit(0.6), 0.1)
 
 
@@ -196,6 +246,16 @@ def _(spark, d):
     return out.select("event_id", "station", "trg_event_id", R("theta").alias("theta"))
 
 
+@query("n11_trigger_stream", """WITH u AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), s AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup'),
+j AS (SELECT u.event_id, u.user_id AS station, u.ts, CASE WHEN u.ts - s.ts <= INTERVAL 1 DAY THEN s.event_id END AS trg_event_id FROM u ASOF LEFT JOIN s ON u.user_id = s.user_id AND u.ts >= s.ts)
+SELECT event_id, station, trg_event_id, CASE WHEN trg_event_id IS NULL THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS theta FROM j WHERE epoch_us(ts) <= """ + BEHIND.format("event_type = 'view'", "event_type = 'signup'", 1))
+def _(spark, d):
+    """The partner's trigger on streams; events come out one day behind the watermark, as far as a trigger reaches."""
+    u, s = two_streams(spark, d, "event_type = 'view'", "event_type = 'signup'")
+    out = sj.partner_trigger(u.select("event_id", "station", "ts", F.lit(0.6).alias("theta")), s.select("event_id", "station", "ts"), ["station"], "ts", "event_id", "1 DAY", "10 minutes", 0.1)
+    return replay(out).select("event_id", "station", "trg_event_id", R("theta").alias("theta"))
+
+
 @query("n12_profile_weight", """WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'guest' ELSE 'owner' END AS profile, CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'other' ELSE 'en' END AS lang, 1.0::DOUBLE / (1 + turn) AS score FROM conversations)
 SELECT conv_id, turn, round(score * coalesce(CASE WHEN profile = 'owner' AND lang = 'en' THEN 1.5 WHEN profile = 'owner' AND lang = 'other' THEN 0.8 END, 1.0), 6) AS score FROM c""")
 def _(spark, d):

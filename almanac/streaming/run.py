@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import new_path
 
 
-def replay(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def replay(stream: DataFrame, path: str | None = None, checkpoint: str | None = None, reader: SparkSession | None = None) -> DataFrame:
     """Process everything available through a checkpointed parquet sink, then read the sink.
 
     The file sink's log makes the output exactly-once; with the same ``path`` and ``checkpoint``
-    a later run goes on where this one ended.
+    a later run goes on where this one ended.  ``reader`` is the session that reads the result, where it
+    is not the stream's own.
     """
-    spark = stream.sparkSession
+    spark = reader or stream.sparkSession
     path, checkpoint = path or new_path(spark, "stream-out"), checkpoint or new_path(spark, "stream-checkpoint")
     q = (
         stream.writeStream.format("parquet").outputMode("append").option("path", path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from almanac.operators import joins as jn, timeseries as ts
 from almanac.session import new_path
 from almanac.sources.tables import stream_files
-from almanac.streaming import decisions as dc, operators as st
+from almanac.streaming import alerts as al, decisions as dc, joins as sj, operators as st
 from almanac.streaming.run import replay
 
 
@@ -145,3 +145,79 @@ def test_old_states_are_not_carried_on(spark):
         got = st.with_state(stream_files(spark, folder, schema), F.col("is_state") == 1, ["dev"], "us", "id", "value", 50, store, out, ckpt)
     assert {r.id: r.state_value for r in got.collect()} == {3: 2.0, 4: None}
     assert spark.read.parquet(f"{store}/1").count() == 0 and spark.read.parquet(f"{store}/0").count() == 1
+
+
+FLAGS = "station bigint, t int, flag int, ts timestamp"
+
+
+def flag_rows(seed, n=40):
+    rnd = random.Random(seed)
+    day = lambda t: pd.Timestamp("2024-01-01") + pd.Timedelta(days=t)
+    flags = {s: [int(rnd.random() < 0.5) for _ in range(n)] for s in (1, 2, 3)}
+    rows = [(s, t, f, day(t)) for s in flags for t, f in enumerate(flags[s])] + [(9, 100, 0, day(100))]
+    want = []
+    for s, f in flags.items():
+        last, t = -100, 0
+        while t < n:
+            if f[t] and (t == 0 or not f[t - 1]) and t + 1 < n and f[t + 1] and (last < 0 or t - last > 4):
+                want.append((s, t))
+                last = t
+            t += 1
+    return rows, sorted(want), rnd
+
+
+def test_event_time_alerts_whatever_the_files(spark):
+    """The same onsets, the last ones too, for 1, 3 and 16 files a trigger in shuffled order, and after a restart in the middle."""
+    rows, want, rnd = flag_rows(5)
+    order = sorted(rows, key=lambda r: r[1] + rnd.uniform(-4, 4))
+    folder = parts(spark, [pd.DataFrame(order[i : i + 8], columns=["station", "t", "flag", "ts"]) for i in range(0, len(order), 8)], FLAGS)
+    own = al.state_session(spark)
+    for per in (1, 3, 16):
+        alerts = al.onset_alerts(stream_files(own, folder, FLAGS, per_trigger=per), "ts", "10 days", 2, 4)
+        assert sorted(map(tuple, replay(alerts, reader=spark).collect())) == want
+    grow, out, ckpt = (new_path(spark, n) for n in ("grow", "alerts", "ckpt"))
+    for part in (order[:60], order[60:]):
+        spark.createDataFrame(pd.DataFrame(part, columns=["station", "t", "flag", "ts"]), FLAGS).coalesce(1).write.mode("append").parquet(grow)
+        got = replay(al.onset_alerts(stream_files(own, grow, FLAGS), "ts", "10 days", 2, 4), out, ckpt, spark)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_silent_stations_are_forgotten_and_late_rows_left_out(spark):
+    day = lambda t: pd.Timestamp("2024-01-01") + pd.Timedelta(days=t)
+    batches = [[(1, 0, 1), (1, 1, 1), (2, 1, 0)], [(2, 30, 0)], [(2, 31, 0), (1, 2, 1)], [(1, 40, 1), (1, 41, 1), (2, 60, 0)], [(2, 61, 0)]]
+    frames = [pd.DataFrame([(s, t, f, day(t)) for s, t, f in b], columns=["station", "t", "flag", "ts"]) for b in batches]
+    folder = parts(spark, frames, FLAGS)
+    own = al.state_session(spark)
+    run = lambda keep: sorted(map(tuple, replay(al.onset_alerts(stream_files(own, folder, FLAGS, per_trigger=1), "ts", "1 day", 2, 50, keep), reader=spark).collect()))
+    assert run(365) == [(1, 0)]  # the second run of flags lies within the refractory time
+    assert run(10) == [(1, 0), (1, 40)]  # after ten silent days nothing is known of the first
+
+
+def test_stream_join_equals_its_batch_twin_after_a_restart(spark):
+    rnd = random.Random(11)
+    at = sorted(rnd.sample(range(0, 86_400 * 10, 30), 400))
+    rows = [(i, rnd.randrange(4), pd.Timestamp("2024-03-01") + pd.Timedelta(seconds=s), int(rnd.random() < 0.25), float(i)) for i, s in enumerate(at)]
+    rows.append((999, 0, pd.Timestamp("2024-05-01"), 0, 0.0))
+    rows.append((998, 0, pd.Timestamp("2024-05-01"), 1, 0.0))
+    schema = "id bigint, dev bigint, ts timestamp, is_state int, value double"
+    grow, out, ckpt = (new_path(spark, n) for n in ("pairs", "joined", "ckpt"))
+    for part in (rows[:150], rows[150:300], rows[300:]):
+        spark.createDataFrame(pd.DataFrame(part, columns=["id", "dev", "ts", "is_state", "value"]), schema).coalesce(1).write.mode("append").parquet(grow)
+        s = lambda cond: stream_files(spark, grow, schema).where(cond)
+        j = sj.latest_state(s("is_state = 0").select("id", "dev", "ts"), s("is_state = 1").select("id", "dev", "ts", "value"), ["dev"], "ts", "id", "6 HOURS", "1 hour", ["value"])
+        got = replay(j, out, ckpt)
+    full = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "dev", "ts", "is_state", "value"]), schema).withColumn("us", F.unix_micros("ts"))
+    want = jn.asof_join(full.where("is_state = 0 AND id < 900"), full.where("is_state = 1").select("dev", "us", "id", "value"), ["dev"], "us", "id", 6 * 3600e6, prefix="state_")
+    key = lambda df: sorted((r.id, r.state_id, r.state_value) for r in df.collect())
+    assert str(key(got.where("id < 900"))) == str(key(want)) and sum(r.state_id is None for r in want.collect()) > 5
+
+
+def test_partner_trigger_on_streams(spark):
+    t = lambda s: pd.Timestamp("2024-01-01") + pd.Timedelta(s)
+    rows = [(1, 1, t("1h"), 0), (2, 1, t("2h"), 1), (3, 1, t("3h"), 0), (4, 1, t("30h"), 0), (5, 2, t("31h"), 0), (6, 9, t("90h"), 0), (7, 9, t("90h"), 1)]
+    schema = "id bigint, dev bigint, ts timestamp, cycle int"
+    folder = parts(spark, [pd.DataFrame(rows[:3], columns=["id", "dev", "ts", "cycle"]), pd.DataFrame(rows[3:], columns=["id", "dev", "ts", "cycle"])], schema)
+    s = lambda cond: stream_files(spark, folder, schema, per_trigger=1).where(cond)
+    u = s("cycle = 0").select("id", "dev", "ts", F.lit(0.6).alias("theta"))
+    out = replay(sj.partner_trigger(u, s("cycle = 1").select("id", "dev", "ts"), ["dev"], "ts", "id", "24 HOURS", "10 minutes", 0.1))
+    assert {r.id: (r.trg_id, round(r.theta, 6)) for r in out.collect()} == {1: (None, 0.6), 3: (2, 0.5), 4: (None, 0.6), 5: (None, 0.6)}
