@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from ..functions.scalars import clamp, logit, sigmoid
 from .metrics import budget_thresholds, observed, quantile_sweep
 from .patterns import SEG, cut_points, join_same, join_small, previous_value, quantiles, with_segment
+from .rolling import rolling_quantile
 
 CANDIDATES = [i / 199 for i in range(200)]
 
@@ -70,6 +71,18 @@ def alerts(preds: DataFrame, thresholds: DataFrame, by: Sequence[str]) -> DataFr
     return join_small(preds, thresholds, by, "inner").withColumn("alert", (F.col("y_prob") >= F.col("thr")).cast("int"))
 
 
+def alert_report(scored: DataFrame, by: Sequence[str], period: str) -> DataFrame:
+    """Per group and period the threshold, rows, valid labels, onsets, alerts, and alerts that were right.
+
+    ``scored`` carries the threshold of its group as ``thr``; without one nothing is alerted.
+    """
+    hit = F.coalesce(F.col("y_prob") >= F.col("thr"), F.lit(False))
+    onset = (F.col("y_true") == 1) & (F.col("y_mask") == 1)
+    return scored.groupBy(*by, period).agg(
+        F.max("thr").alias("thr"), F.count(F.lit(1)).alias("n"), F.sum("y_mask").cast("bigint").alias("valid"),
+        F.sum(F.col("y_true") * F.col("y_mask")).cast("bigint").alias("positives"), F.count_if(hit).alias("alerts"), F.count_if(hit & onset).alias("hits"))
+
+
 # --- calibration ---------------------------------------------------------------------------
 
 
@@ -291,10 +304,9 @@ def cqr(fit: DataFrame, apply: DataFrame, by: Sequence[str], y: str, lo: str, hi
 
 def cqr_rolling(df: DataFrame, by: Sequence[str], t: str, y: str, lo: str, hi: str, alpha: float, periods: int) -> DataFrame:
     """I13 on a panel: residual quantile over the ``periods`` periods before each row."""
-    w = Window.partitionBy(*by).orderBy(t).rowsBetween(-periods, -1)
-    r = df.withColumn("_r", F.greatest(F.col(lo) - F.col(y), F.col(y) - F.col(hi)))
-    adj = F.percentile("_r", F.lit(1 - alpha)).over(w)
-    return r.withColumn("_a", adj).withColumns({f"{lo}_c": F.col(lo) - F.col("_a"), f"{hi}_c": F.col(hi) + F.col("_a")}).drop("_a", "_r")
+    residual = F.greatest(F.col(lo) - F.col(y), F.col(y) - F.col(hi))
+    r = rolling_quantile(df, by, t, residual, 1 - alpha, periods, "_a")
+    return r.withColumns({f"{lo}_c": F.col(lo) - F.col("_a"), f"{hi}_c": F.col(hi) + F.col("_a")}).drop("_a")
 
 
 def drift_alarm(metrics: DataFrame, by: Sequence[str], period: str, limit: float, name: str = "ece") -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from .draws import uniforms
+from .dyadic import Axis, interval_join
 from .patterns import join_same, previous_value, running_sums
 from .timeseries import rolling
 
@@ -168,11 +169,11 @@ def call_features(pings: DataFrame, gap_us: float, min_dwell_h: float) -> DataFr
 def episode_severity(events: DataFrame, segments: DataFrame, lag_days_per_mile: float) -> DataFrame:
     """Severity of an event at a segment downstream: falls with the miles and arrives later.
 
-    ``events`` (event, mile, day, severity, reach); ``segments`` (segment, mile_cell, mile) with the
-    cell = whole mile; an event is expanded to the cells it reaches, then equi-joined.
+    ``events`` (event, mile, day, severity, reach); ``segments`` (segment, mile).  An event's miles are dyadic blocks, so a
+    long reach costs a few rows.
     """
-    e = events.withColumn("mile_cell", F.explode(F.sequence(F.col("mile"), F.col("mile") + F.col("reach"))))
-    j = e.join(segments.withColumnRenamed("mile", "seg_mile"), "mile_cell")
+    e = events.withColumn("_end", F.col("mile") + F.col("reach"))
+    j = interval_join(segments.select("segment", F.col("mile").alias("seg_mile")), e, [Axis("seg_mile", "mile", "_end")])
     dist = F.col("seg_mile") - F.col("mile")
     return j.select("event", "segment", F.date_add("day", F.floor(dist * lag_days_per_mile).cast("int")).alias("day"),
                     (F.col("severity") * (1 - dist / (F.col("reach") + 1))).alias("severity"))

@@ -15,7 +15,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions.scalars import STRIDE_STEP, stride_sample
+from ..session import materialise
 from .patterns import global_index, only_row, quantiles, quantiles_wide
+from .selection import digit, first_counts, ordered_bits, radix_quantiles
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
@@ -129,7 +131,10 @@ def audit_columns(eps: float) -> list[Column]:
 
 def matrix_audit(pairs: DataFrame, eps: float = 1e-12, extra: Sequence[Column] = ()) -> DataFrame:
     """All counters in one aggregation; ``complete`` compares the rows with n(n+1)/2."""
-    a = pairs.agg(*audit_columns(eps), *extra)
+    return complete_audit(pairs.agg(*audit_columns(eps), *extra))
+
+
+def complete_audit(a: DataFrame) -> DataFrame:
     return a.withColumn("expected", (F.col("diag") * (F.col("diag") + 1) / 2).cast("bigint")).withColumn(
         "complete", (F.col("total") == F.col("expected")).cast("int"))
 
@@ -144,19 +149,45 @@ QS = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
 
 def quantile_profile(pairs: DataFrame, qs: Sequence[float] = QS, exact: bool = True) -> DataFrame:
-    """Quantiles of off-diagonal distances overall, within and across years."""
-    off = pairs.where("i_idx <> j_idx").select("distance", F.when(F.col("i_year") == F.col("j_year"), "same").otherwise("cross").alias("part"))
-    both = off.withColumn("part", F.explode(F.array(F.lit("all"), F.col("part"))))
-    return quantiles(both, ["part"], "distance", qs, exact)
+    """Quantiles of off-diagonal distances overall, within and across years.
+
+    Exact ones come from radix selection: ``pairs`` is scanned four times and should be stored.
+    """
+    both = off_diagonal(pairs).withColumn("part", F.explode(F.array(F.lit("all"), F.col("part"))))
+    return radix_quantiles(both, ["part"], "distance", qs) if exact else quantiles(both, ["part"], "distance", qs, False)
+
+
+def off_diagonal(pairs: DataFrame) -> DataFrame:
+    same = F.when(F.col("i_year") == F.col("j_year"), "same").otherwise("cross")
+    return pairs.where("i_idx <> j_idx").select(F.col("distance").cast("double").alias("distance"), same.alias("part"))
 
 
 def audit_pairs(pairs: DataFrame, eps: float = 1e-12, qs: Sequence[float] = QS) -> DataFrame:
-    """Counters, moments (one aggregation) and quantiles as key/value rows."""
-    off = F.when(F.col("i_idx") != F.col("j_idx"), F.col("distance"))
-    a = matrix_audit(pairs, eps, [F.avg(off).alias("mean"), F.stddev_pop(off).alias("std")])
-    kv = lambda df: df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in df.columns])))
-    q = quantile_profile(pairs, qs).select(F.format_string("%s_p%s", "part", (F.col("q") * 100).cast("int")).alias("key"), "value")
-    return kv(a).unionByName(q)
+    """Counters, moments and quantiles as key/value rows from four scans of a stored matrix.
+
+    The first scan counts by part (diagonal, same or cross year) and leading digit of the distance and
+    makes the counters and moments of every such cell; the other scans follow the quantiles' digits.
+    """
+    d = F.col("distance").cast("double")
+    finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) < INF)
+    part = F.when(F.col("i_idx") == F.col("j_idx"), "diag").when(F.col("i_year") == F.col("j_year"), "same").otherwise("cross")
+    counters = audit_columns(eps)
+    names = ["total", "diag", "nan", "inf", "neg", "diag_nonzero", "label_mismatch", "off_zero", "off_zero_eps", "same_year", "cross_year"]
+    off = F.when(F.col("i_idx") != F.col("j_idx"), d)
+    cells = first_counts(pairs.withColumn("part", part), ["part"], F.when(finite, ordered_bits(d)), *counters, F.count(off).alias("_c"), F.avg(off).alias("_m"), F.var_pop(off).alias("_v"))
+    cells = materialise(cells, "audit_cells")
+
+    one = only_row(cells, (F.sum(F.col("_c") * F.col("_m")) / F.sum("_c")).alias("mean"))
+    spread = F.sum(F.col("_c") * (F.col("_v") + F.pow(F.col("_m") - F.col("_one.mean"), F.lit(2.0)))) / F.sum("_c")
+    sums = cells.withColumn("_one", one).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names], F.max("_one.mean").alias("mean"), F.sqrt(spread).alias("std"))
+    a = complete_audit(sums)
+    kv = a.select(F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in a.columns])))
+
+    hist = cells.where("part <> 'diag' AND d IS NOT NULL").select(F.explode(F.array(F.lit("all"), F.col("part"))).alias("part"), "d", "n")
+    hist = hist.groupBy("part", "d").agg(F.sum("n").alias("n"))
+    both = off_diagonal(pairs).withColumn("part", F.explode(F.array(F.lit("all"), F.col("part"))))
+    q = radix_quantiles(both, ["part"], "distance", qs, hist)
+    return kv.unionByName(q.select(F.format_string("%s_p%s", "part", (F.col("q") * 100).cast("int")).alias("key"), "value"))
 
 
 def mean_same_period(pairs: DataFrame) -> DataFrame:

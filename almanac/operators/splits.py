@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .metrics import uniform_hash
 from .patterns import join_same, only_row, previous_value, running_sums
 
 
@@ -109,19 +108,27 @@ def class_weights(train: DataFrame, policy: str = "all", any_valid: str | None =
     return train.withColumn("_c", c).withColumn("w", w).drop("_c")
 
 
-def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int = 0) -> DataFrame:
+def uniform_of(seed: int, key: Column | str) -> Column:
+    """A number from 0 to below 1 out of the first 52 bits of the MD5 of ``seed:key``."""
+    k = F.col(key) if isinstance(key, str) else key
+    h = F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")).cast("binary"))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def weighted_sample(df: DataFrame, weight: str, key: str, n: int | None = None, seed: int = 0) -> DataFrame:
     """N draws with replacement, probability proportional to the weight; ``draws`` per chosen row.
 
-    Rows become consecutive intervals of the running weight; hashed uniforms are looked up in
-    them by a segmented look-back, so neither the rows nor the draws meet in one task.
+    Without ``n`` there are as many draws as rows.  Rows become consecutive intervals of the running weight; hashed
+    uniforms are looked up in them by a segmented look-back, so neither the rows nor the draws meet in one task.
     """
     spark = df.sparkSession
     src = df.where(F.col(weight) > 0).select(F.col(key).cast("bigint").alias("_k"), F.col(weight).cast("double").alias("_w"))
     cum = running_sums(src.withColumn("_x", F.col("_k").cast("double")), [], "_x", {"_w": "w"}, ["_k"])
     starts = cum.select((F.col("cum_w") - F.col("_w")).alias("_x"), F.lit(0).alias("_side"), F.col("_k"), F.col("_k").alias("_id"))
     total = only_row(src, F.sum("_w").alias("w"))
-    draws = spark.range(n).withColumn("_t", total).select(
-        (uniform_hash(F.col("id"), F.lit(seed)) * F.col("_t.w")).alias("_x"), F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_k"), F.col("id").alias("_id"))
+    ids = df.select(F.col(key).cast("bigint").alias("id")) if n is None else spark.range(n)
+    draws = ids.withColumn("_t", total).select(
+        (uniform_of(seed, "id") * F.col("_t.w")).alias("_x"), F.lit(1).alias("_side"), F.lit(None).cast("bigint").alias("_k"), F.col("id").alias("_id"))
     hit = previous_value(starts.unionByName(draws), [], "_x", ["_x", "_side", "_id"], "_k", "_pick", inclusive=True).where("_side = 1")
     picks = hit.groupBy(F.col("_pick").alias(key)).agg(F.count(F.lit(1)).alias("draws"))
     return df.join(picks, key)
@@ -129,7 +136,7 @@ def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int = 0)
 
 def sample_k(df: DataFrame, key: Sequence[str], k: int, seed: int = 0) -> DataFrame:
     """Uniform sample of fixed size, the same on every run: the k smallest key hashes."""
-    h = F.xxhash64(*[F.col(c) for c in key], F.lit(seed))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]).cast("binary"))
     return df.withColumn("_h", h).orderBy("_h", *key).limit(k).drop("_h")
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions.scalars import slug
-from ..operators import joins as jn, splits as sp, timeseries as ts
+from ..operators import dyadic as dy, joins as jn, splits as sp, timeseries as ts
 from ..operators.patterns import only_row
 from ..session import materialise, new_path
 from ..sources.tables import write_parquet
@@ -191,10 +191,22 @@ NOTICES = """notices AS (SELECT event_id, CAST(ts AS DATE) AS s, CAST(ts AS DATE
 @query("c15_interval_join", "WITH " + b.DAILY + ", " + NOTICES + """
 SELECT station, day, count(*) AS active, round(max(value), 6) AS worst FROM daily JOIN notices ON day BETWEEN s AND e AND station BETWEEN lo AND hi GROUP BY 1, 2""")
 def _(spark, d):
-    j = jn.interval_join(b.daily(spark, d).select("station", "day"), notices(spark, d), "day", "station", "start", "end", "lo", "hi")
+    axes = [dy.Axis("day", "start", "end"), dy.Axis("station", "lo", "hi", 10.0)]
+    j = dy.interval_join(b.daily(spark, d).select("station", "day"), notices(spark, d), axes)
     return j.groupBy("station", "day").agg(F.count(F.lit(1)).alias("active"), R(F.max("value")).alias("worst"))
 
 
+@query("c15_notices_in_force", """WITH n AS (SELECT epoch_us(ts) AS s, epoch_us(ts) + (event_id % 30) * 86400000000 AS e, user_id - 5 AS lo, user_id + 5 AS hi, value FROM events WHERE event_type = 'error')
+SELECT o.event_id, count(*) AS active, round(max(n.value), 6) AS worst FROM events o JOIN n ON epoch_us(o.ts) BETWEEN s AND e AND o.user_id BETWEEN lo AND hi GROUP BY 1""")
+def _(spark, d):
+    """Notices of up to a month, in quarter hours, in force at every single reading."""
+    e = b.events(spark, d)
+    n = e.where("event_type = 'error'").select(F.col("us").alias("start"), (F.col("us") + F.pmod("event_id", F.lit(30)) * 86_400_000_000).alias("end"), (F.col("station") - 5).alias("lo"), (F.col("station") + 5).alias("hi"), "value")
+    axes = [dy.Axis("us", "start", "end", 900e6), dy.Axis("station", "lo", "hi", 4.0)]
+    j = dy.interval_join(e.select("event_id", "us", "station"), n, axes)
+    return j.groupBy("event_id").agg(F.count(F.lit(1)).alias("active"), R(F.max("value")).alias("worst"))
+
+
 @query("c16_multirate_align", """WITH w AS (SELECT user_id AS station, CAST(date_trunc('week', ts) AS DATE) AS wk, avg(value) AS weekly FROM events GROUP BY 1, 2),
 m AS (SELECT user_id AS station, CAST(date_trunc('month', ts) AS DATE) AS mo, sum(value) AS monthly FROM events GROUP BY 1, 2)
 SELECT w.station, wk AS week, round(weekly, 6) AS weekly, round(monthly, 6) AS monthly FROM w LEFT JOIN m ON m.station = w.station AND m.mo = CAST(date_trunc('month', wk) AS DATE)""")

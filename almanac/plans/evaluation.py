@@ -228,6 +228,18 @@ def _(spark, d):
     return mt.verify_tables(surge.label_stats(lab, ["horizon", "year"]), surge.label_stats(lab, ["horizon"]), ["horizon"])
 
 
+@query("h23_verify_broken_table", "WITH RECURSIVE " + b.onset_labels_sql() + """, k AS (SELECT horizon, CAST(sum(m) AS BIGINT) AS v, CAST(sum(y * m) AS BIGINT) AS p FROM labels_h GROUP BY 1),
+t AS (SELECT horizon, v, p, v + CAST(horizon = 1 AS BIGINT) * (v % 7) AS valid, p + CAST(horizon = 3 AS BIGINT) * (p % 5) AS positives FROM k)
+SELECT horizon, valid, positives, CAST(valid = v AS INTEGER) AS valid_ok, CAST(positives = p AS INTEGER) AS positives_ok, CAST(abs(positives / greatest(valid, 1)::DOUBLE - p / greatest(v, 1)::DOUBLE) <= 1e-9 AS INTEGER) AS rate_ok FROM t""")
+def _(spark, d):
+    """A published table with errors that follow from its own numbers: which of them are found."""
+    lab = b.onset_labels(spark, d).withColumn("year", F.year("month"))
+    t = surge.label_stats(lab, ["horizon"])
+    t = t.withColumns({"valid": F.col("valid") + F.when(F.col("horizon") == 1, F.col("valid") % 7).otherwise(0), "positives": F.col("positives") + F.when(F.col("horizon") == 3, F.col("positives") % 5).otherwise(0)})
+    t = t.withColumn("pos_rate", F.col("positives") / F.greatest("valid", F.lit(1)))
+    return mt.verify_tables(surge.label_stats(lab, ["horizon", "year"]), t, ["horizon"])
+
+
 NAIVE = "WITH " + b.PANEL + ", f AS (SELECT entity, t, price, lag(price, 1) OVER w AS fc, lag(price, 12) OVER w AS nv FROM panel WINDOW w AS (PARTITION BY entity ORDER BY t))"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import pairs as pr
+from ..operators import nearest as nn, pairs as pr
 from ..operators.patterns import global_index, only_row
 from ..session import materialise
 from . import base as b
@@ -94,7 +94,7 @@ QL = "[" + ", ".join(f"{q}" for q in pr.QS) + "]"
   SELECT distance, CASE WHEN i_year = j_year THEN 'same' ELSE 'cross' END FROM pairs WHERE i_idx <> j_idx)
 SELECT part, unnest({QL})::DOUBLE AS q, round(unnest(quantile_cont(distance, {QL})), 6) AS value, count(*) AS n FROM off GROUP BY part""")
 def _(spark, d):
-    return pr.quantile_profile(pairs(spark, d)).withColumn("value", R("value"))
+    return pr.quantile_profile(materialise(pairs(spark, d), "pairs")).withColumn("value", R("value"))
 
 
 @query("d14_quantile_profile_sketch")
@@ -146,12 +146,12 @@ def _(spark, d):
 @query("o03_knn_all", PAIRS + """, k AS (SELECT node, other, distance, row_number() OVER (PARTITION BY node ORDER BY distance, other) AS rank FROM mir WHERE node <> other)
 SELECT node, other, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""")
 def _(spark, d):
-    return pr.knn_all(pairs(spark, d), 5).withColumn("distance", R("distance"))
+    return nn.nearest(points(spark, d), ["x", "y"], 5).withColumn("distance", R("distance"))
 
 
 @query("o04_closest_pairs", PAIRS + " SELECT i_label, j_label, round(distance, 6) AS distance FROM pairs WHERE i_idx <> j_idx AND i_year = 1999 AND j_year = 1999 ORDER BY pairs.distance, i_idx, j_idx LIMIT 15")
 def _(spark, d):
-    return pr.closest_pairs(pairs(spark, d, i_where=F.col("year") == 1999, j_where=F.col("year") == 1999), 1999, 15).withColumn("distance", R("distance"))
+    return nn.closest(points(spark, d).where("year = 1999"), ["x", "y"], 15).withColumn("distance", R("distance"))
 
 
 @query("a12_export_lines", PAIRS + " SELECT i_idx, j_idx, printf('(%d,%d) %.4f [%s vs %s]', i_idx + 1, j_idx + 1, distance, i_label, j_label) AS line FROM pairs")

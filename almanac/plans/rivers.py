@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import calendar_columns
-from ..operators import metrics as mt, multirate as mr, splits as sp, timeseries as ts
+from ..operators import hierarchy as hi, metrics as mt, multirate as mr, splits as sp, timeseries as ts
 from ..operators.patterns import only_row
 from ..session import materialise
 from . import base as b
@@ -88,6 +88,30 @@ def _(spark, d):
     return out.select("entity", "segment", R("reconciled", 4).alias("reconciled"))
 
 
+TREE = "WITH " + MICRO + """, l3 AS (SELECT 'n' || entity || '-' || segment AS node, entity, n_regionkey AS region, value AS e, abs(value) / 1000 AS s, value FROM micro JOIN nation ON n_nationkey = entity),
+a2 AS (SELECT entity, region, sum(e) AS se, sum(s) AS ss, sum(value) AS value FROM l3 GROUP BY 1, 2), l2 AS (SELECT *, ss / (ss + 200000) AS w, se + ss / (ss + 200000) * (value * 1.05 - se) AS e, 200000 * (ss / (ss + 200000)) AS s FROM a2),
+a1 AS (SELECT region, sum(e) AS se, sum(s) AS ss, sum(value) AS value FROM l2 GROUP BY 1), l1 AS (SELECT *, se + ss / (ss + 500000) * (value * 0.97 - se) AS e, 500000 * (ss / (ss + 500000)) AS s FROM a1),
+a0 AS (SELECT sum(e) AS se, sum(s) AS ss, sum(value) AS value FROM l1), l0 AS (SELECT *, se + ss / (ss + 1000000) * (value * 1.02 - se) AS x FROM a0),
+x1 AS (SELECT l1.*, l1.e + l1.s / l0.ss * (l0.x - l0.se) AS x FROM l1, l0), x2 AS (SELECT l2.*, l2.e + l2.s / x1.ss * (x1.x - x1.se) AS x FROM l2 JOIN x1 USING (region)),
+x3 AS (SELECT l3.node, l3.e + l3.s / x2.ss * (x2.x - x2.se) AS x FROM l3 JOIN x2 USING (entity))"""
+
+
+@query("m05_reconcile_tree", TREE + """ SELECT 'total' AS node, round(x, 3) AS reconciled FROM l0 UNION ALL SELECT 'r' || region, round(x, 3) FROM x1
+UNION ALL SELECT 'n' || entity, round(x, 3) FROM x2 UNION ALL SELECT node, round(x, 3) FROM x3""")
+def _(spark, d):
+    """Total, regions, nations and segments of a nation, each with a forecast and a variance of its own."""
+    nation = load(spark, d, "nation").select(F.col("n_nationkey").alias("entity"), F.col("n_regionkey").alias("region"))
+    leaf = materialise(micro(spark, d).join(nation, "entity"), "micro")
+    name = lambda c: F.concat(F.lit(c[0]), F.col(c[1]).cast("string"))
+    row = lambda node, parent, level, value, var: [node.alias("node"), parent.alias("parent"), F.lit(level).alias("level"), value.alias("value"), var.alias("var")]
+    nodes = leaf.select(*row(F.concat(name(("n", "entity")), F.lit("-"), F.col("segment")), name(("n", "entity")), 3, F.col("value"), F.abs("value") / 1000))
+    for key, up, level, factor, var in ((("n", "entity"), name(("r", "region")), 2, 1.05, 200000.0), (("r", "region"), F.lit("total"), 1, 0.97, 500000.0)):
+        s = leaf.groupBy(*{"entity": ["entity", "region"], "region": ["region"]}[key[1]]).agg(F.sum("value").alias("v"))
+        nodes = nodes.unionByName(s.select(*row(name(key), up, level, F.col("v") * factor, F.lit(var))))
+    top = leaf.agg(F.sum("value").alias("v")).select(*row(F.lit("total"), F.lit(None).cast("string"), 0, F.col("v") * 1.02, F.lit(1000000.0)))
+    return hi.reconcile_tree(nodes.unionByName(top), 3).select("node", R("reconciled", 3).alias("reconciled"))
+
+
 @query("m06_coherency", REC + " SELECT pt.entity, round(total, 4) AS total, round(s, 4) AS bottom, round(total - s, 4) AS gap FROM pt JOIN gs ON gs.entity = pt.entity WHERE abs(total - s) > 0.01 * greatest(abs(total), 1)")
 def _(spark, d):
     m, t = base_forecasts(spark, d)

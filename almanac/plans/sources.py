@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import pairs as pr, reshape as rs, surge
+from ..operators import nearest as nn, pairs as pr, reshape as rs, surge
 from ..session import new_path
 from ..sources import tables as src
 from . import base as b
 from .alignment import ANNUAL, annual_wide
-from .matrix import PAIRS, pairs
+from .matrix import PAIRS, pairs, points
 from .registry import load, query
 
 R = lambda c, n=6: F.round(c, n)
@@ -129,7 +129,7 @@ def _(spark, d):
 SELECT node, other, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""")
 def _(spark, d):
     path = new_path(spark, "topk")
-    src.export_topk(pr.knn_all(pairs(spark, d), 3).withColumn("distance", R("distance")), path)
+    src.export_topk(nn.nearest(points(spark, d), ["x", "y"], 3).withColumn("distance", R("distance")), path)
     return src.read_csv(spark, path, "node STRING, other STRING, distance DOUBLE, rank INT")
 
 

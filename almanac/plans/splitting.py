@@ -129,13 +129,16 @@ def _(spark, d):
     return sp.class_weights(tr).select("entity", "t_end", R("w").alias("w"))
 
 
-@query("g11_weighted_sample")
+@query("g11_weighted_sample", """WITH w AS (SELECT o_orderkey AS k, o_totalprice AS w, sum(o_totalprice) OVER (ORDER BY o_orderkey) - o_totalprice AS lo FROM orders WHERE o_totalprice > 0),
+t AS (SELECT sum(w) AS w FROM w),
+d AS (SELECT CAST('0x' || substr(md5('7:' || o_orderkey), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496::DOUBLE * t.w AS x FROM orders, t)
+SELECT k AS o_orderkey, any_value(w.w) AS o_totalprice, count(*) AS draws FROM d ASOF JOIN w ON d.x >= w.lo GROUP BY 1""")
 def _(spark, d):
     o = load(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return sp.weighted_sample(o, "o_totalprice", "o_orderkey", o.count(), seed=7)
+    return sp.weighted_sample(o, "o_totalprice", "o_orderkey", seed=7)
 
 
-@query("g12_sample_k")
+@query("g12_sample_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('7:' || o_orderkey), o_orderkey LIMIT 500")
 def _(spark, d):
     return sp.sample_k(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 500, seed=7)
 
@@ -253,13 +256,17 @@ def _(spark, d):
     return mt.metric_table(calibrated(spark, d)[0], ["horizon", "month"])
 
 
-@query("i15_flow_alerts", NEXT + """ SELECT horizon, month, CAST(count(*) AS BIGINT) AS n, CAST(sum(m) AS BIGINT) AS valid, CAST(sum(y * m) AS BIGINT) AS positives, true AS alerts_in_range
+@query("i15_flow_counts", NEXT + """ SELECT horizon, month, CAST(count(*) AS BIGINT) AS n, CAST(sum(m) AS BIGINT) AS valid, CAST(sum(y * m) AS BIGINT) AS positives
 FROM sp WHERE split = 'test' GROUP BY 1, 2""")
 def _(spark, d):
-    """Alerts of the test rows at the thresholds of the validation rows, with the counts by month."""
+    """Rows, valid labels and onsets of the test months that alerts are raised for."""
+    test = surge_predictions(spark, d).where("split = 'test'")
+    return decide.alert_report(test.withColumn("thr", F.lit(0.5)), ["horizon"], "month").select("horizon", "month", "n", "valid", "positives")
+
+
+@query("i15_flow_alerts")
+def _(spark, d):
+    """Thresholds of the validation rows, and the alerts they raise among the test rows, by horizon and month."""
     test, thr = calibrated(spark, d)
     j = test.join(thr.select("horizon", "thr"), "horizon", "left")
-    g = j.groupBy("horizon", "month").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y_mask").cast("bigint").alias("valid"), F.sum(F.col("y_true") * F.col("y_mask")).cast("bigint").alias("positives"),
-        F.count_if(F.coalesce(F.col("y_prob") >= F.col("thr"), F.lit(False))).alias("alerts"))
-    return g.select("horizon", "month", "n", "valid", "positives", F.col("alerts").between(0, F.col("n")).alias("alerts_in_range"))
+    return decide.alert_report(j, ["horizon"], "month")
