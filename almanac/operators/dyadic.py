@@ -31,8 +31,13 @@ def cell(c: Column, unit: float) -> Column:
     return (F.floor(c.cast("double") / F.lit(float(unit))) + F.lit(1 << 40)).cast("long")
 
 
+def name(level: Column, block: Column) -> Column:
+    """One number for a block: the level in the top bits."""
+    return (F.shiftleft(level.cast("long"), 56) + block).cast("long")
+
+
 def blocks(first: Column, last: Column) -> Column:
-    """The dyadic blocks (level, block) of the units ``first`` to ``last``; none if they are the wrong way round or null.
+    """The dyadic blocks, by :func:`name`, of the units ``first`` to ``last``; none if they are the wrong way round or null.
 
     At level l the units from ceil(first / 2^l) to floor((last + 1) / 2^l) are whole blocks; an odd end is a
     block that no higher level has.
@@ -40,14 +45,14 @@ def blocks(first: Column, last: Column) -> Column:
     end = last + 1
 
     def level(l: Column) -> Column:  # noqa: E741
-        size = F.shiftleft(F.lit(1).cast("long"), l) if isinstance(l, int) else F.pow(F.lit(2.0), l).cast("long")
+        size = F.pow(F.lit(2.0), l).cast("long")
         lo, hi = F.floor((first + size - 1) / size).cast("long"), F.floor(end / size).cast("long")
         odd = lambda v: F.pmod(v, F.lit(2)) == 1
-        pick = lambda ok, v: F.when(ok & (lo < hi), F.struct(l.cast("int").alias("level"), v.cast("long").alias("block")))
+        pick = lambda ok, v: F.when(ok & (lo < hi), name(l, v))
         return F.array_compact(F.array(pick(odd(lo), lo), pick(odd(hi), hi - 1)))
 
     top = F.ceil(F.log2((last - first + 2).cast("double"))).cast("int")
-    empty = F.array().cast("array<struct<level:int,block:bigint>>")
+    empty = F.array().cast("array<bigint>")
     return F.when(first <= last, F.flatten(F.transform(F.sequence(F.lit(0), top), level))).otherwise(empty)
 
 
@@ -65,9 +70,11 @@ def interval_join(obs: DataFrame, intervals: DataFrame, axes: Sequence[Axis], by
     ob = obs
     for n, a in enumerate(axes):
         at = cell(number(obs, a.point), a.unit)
-        look = F.transform(F.col("_used.l"), lambda l: F.struct(l.alias("level"), F.floor(at / F.pow(F.lit(2.0), l)).cast("long").alias("block")))  # noqa: E741, B023
-        ob = ob.withColumn("_used", only_row(iv, F.collect_set(f"_k{n}.level").alias("l")))  # at most 64 levels
-        ob = ob.withColumn(f"_k{n}", F.explode(F.when(at.isNotNull(), look))).drop("_used")
+        units = cell(number(intervals, a.end), a.unit) - cell(number(intervals, a.start), a.unit) + 1
+        # No block is longer than the longest interval.
+        top = only_row(intervals, F.floor(F.log2(F.greatest(F.max(units), F.lit(1)).cast("double"))).cast("int").alias("l"))
+        look = F.transform(F.sequence(F.lit(0), F.col("_top.l")), lambda l: name(l, F.floor(at / F.pow(F.lit(2.0), l))))  # noqa: E741, B023
+        ob = ob.withColumn("_top", top).withColumn(f"_k{n}", F.explode(F.when(at.isNotNull() & F.col("_top.l").isNotNull(), look))).drop("_top")
     j = ob.join(iv, [*by, *keys])
     for a in axes:
         j = j.where((F.col(a.point) >= F.col(a.start)) & (F.col(a.point) <= F.col(a.end)))

@@ -1,16 +1,17 @@
 """Exact nearest neighbours of points in the plane, without the matrix of all pairs (inventory O2-O4, A16).
 
 Points at one place are one *site*.  Sites are cut along x into strips of about equal numbers, about
-sqrt(n) of them, and a strip is searched along y: a window over its sites gives every site a distance
-within which enough neighbours lie, and only sites nearer than that along y are looked at.  A site whose
-circle leaves its strip also visits the strips the circle touches, and the search stops there, as
-whatever lies beyond is further than the k-th neighbour.  A strip holds about sqrt(n) sites and a site
-meets a number of others that does not grow with n, so the work is n log n in all.
+sqrt(n) of them, and the sites of a strip along y into cells of some hundred, each in the order of x.  Within
+its cell a site finds a distance that enough neighbours lie within; then only the cells that this circle
+touches are searched, and in them only the stretch of x it covers.  A site whose circle leaves its strip
+also visits the strips the circle touches, and the search stops there, as whatever lies beyond is
+further than the k-th neighbour.  A strip holds about sqrt(n) sites times a constant, and a site meets a
+number of others that does not grow with n.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,58 +23,72 @@ from .patterns import cut_points, with_segment
 FOUND = "site long, other long"
 
 
-def _reach(y: np.ndarray, x: np.ndarray, weight: np.ndarray, need: int) -> np.ndarray:
-    """Per site (sorted by y) a distance within which sites of at least ``need`` points lie, itself included."""
-    n, half = len(y), need
-    at = np.clip(np.arange(n)[:, None] + np.arange(-half, half + 1)[None, :], 0, n - 1)
-    real = np.abs(np.arange(n)[:, None] + np.arange(-half, half + 1)[None, :] - at) == 0
-    d = np.where(real, np.hypot(x[at] - x[:, None], y[at] - y[:, None]), np.inf)
-    order = np.argsort(d, axis=1, kind="stable")
-    have = np.cumsum(np.take_along_axis(np.where(real, weight[at], 0), order, axis=1), axis=1)
-    enough = have >= need
-    first = np.argmax(enough, axis=1)
-    return np.where(enough.any(axis=1), np.take_along_axis(d, np.take_along_axis(order, first[:, None], 1), 1)[:, 0], np.inf)
-
-
-def _inside(x0, y0, r, x, y) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) with (x[j], y[j]) at most r[i] from (x0[i], y0[i]); y is sorted."""
-    lo, hi = np.searchsorted(y, y0 - r, "left"), np.searchsorted(y, y0 + r, "right")
-    out_i, out_j = [], []
-    for a in range(0, len(x0), 512):  # at most 512 sites' candidates at a time
-        n = hi[a : a + 512] - lo[a : a + 512]
-        i = np.repeat(np.arange(a, a + len(n)), n)
-        j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[a : a + 512], n)
-        near = np.hypot(x[j] - x0[i], y[j] - y0[i]) <= r[i]
-        out_i.append(i[near])
-        out_j.append(j[near])
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.empty(0, int), np.empty(0, int))
+#: Candidate pairs that are compared at a time.
+AT_ONCE = 1 << 21
+
+
+class Strip:
+    """The sites of a strip, in cells along y that are sorted by x."""
+
+    def __init__(self, site: np.ndarray, x: np.ndarray, y: np.ndarray, cell: int):
+        order = np.argsort(y, kind="stable")
+        cuts = np.array_split(order, max(1, len(order) // cell)) if len(order) else []
+        self.cells = [c[np.argsort(x[c], kind="stable")] for c in cuts]
+        self.site, self.x, self.y = site, x, y
+
+    def reach(self, need: int) -> np.ndarray:
+        """Per site a distance within which ``need`` sites lie, itself included; infinite in a cell with fewer."""
+        r = np.full(len(self.x), np.inf)
+        for c in self.cells:
+            if len(c) >= need:
+                d = np.hypot(self.x[c][:, None] - self.x[c][None, :], self.y[c][:, None] - self.y[c][None, :])
+                r[c] = np.partition(d, need - 1, axis=1)[:, need - 1]
+        return r
+
+    def inside(self, x0: np.ndarray, y0: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs (i, j) of the strip's sites j at most r[i] from (x0[i], y0[i])."""
+        out_i, out_j = [np.empty(0, int)], [np.empty(0, int)]
+        for c in self.cells:
+            cx, cy = self.x[c], self.y[c]
+            some = np.nonzero((y0 - r <= cy.max()) & (y0 + r >= cy.min()))[0]
+            lo, hi = np.searchsorted(cx, x0[some] - r[some], "left"), np.searchsorted(cx, x0[some] + r[some], "right")
+            for part in np.array_split(np.arange(len(some)), int((hi - lo).sum()) // AT_ONCE + 1):
+                n = hi[part] - lo[part]
+                i = np.repeat(some[part], n)
+                j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[part], n)
+                near = np.hypot(cx[j] - x0[i], cy[j] - y0[i]) <= r[i]
+                out_i.append(i[near])
+                out_j.append(c[j[near]])
+        return np.concatenate(out_i), np.concatenate(out_j)
 
 
 def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
     return [t.column(c).to_numpy() for c in names]
 
 
-def _at_home(need: int, slack: float):
+def _at_home(need: int, slack: float, cell: int):
     """Neighbours within a strip, and the distance that other strips need to be searched to."""
 
-    def run(strip: pa.Table) -> pa.Table:
-        site, x, y, weight = _columns(strip.sort_by("y"), "site", "x", "y", "weight")
-        r = _reach(y, x, weight, need) * (1 + 1e-12) + slack
-        i, j = _inside(x, y, np.where(np.isinf(r), 2.0 * (np.ptp(x) + np.ptp(y)) + 1, r), x, y)
-        own = pa.table({"site": site, "other": pa.nulls(len(site), pa.int64()), "r": r})
-        return pa.concat_tables([own, pa.table({"site": site[i], "other": site[j], "r": pa.nulls(len(i), pa.float64())})])
+    def run(rows: pa.Table) -> pa.Table:
+        strip = Strip(*_columns(rows, "site", "x", "y"), cell)
+        r = strip.reach(need) * (1 + 1e-12) + slack
+        i, j = strip.inside(strip.x, strip.y, np.where(np.isinf(r), 2.0 * (np.ptp(strip.x) + np.ptp(strip.y)) + 1, r))
+        own = pa.table({"site": strip.site, "other": pa.nulls(len(r), pa.int64()), "r": r})
+        return pa.concat_tables([own, pa.table({"site": strip.site[i], "other": strip.site[j], "r": pa.nulls(len(i), pa.float64())})])
 
     return run
 
 
-def _away(guests: pa.Table, strip: pa.Table) -> pa.Table:
+def _away(cell: int):
     """Sites of a strip within the circles of guests from other strips."""
-    if not guests.num_rows or not strip.num_rows:
-        return pa.table({"site": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-    g, x0, y0, r = _columns(guests, "guest", "x0", "y0", "r")
-    site, x, y = _columns(strip.sort_by("y"), "site", "x", "y")
-    i, j = _inside(x0, y0, np.where(np.isinf(r), np.finfo(float).max / 4, r), x, y)
-    return pa.table({"site": g[i], "other": site[j]})
+
+    def run(guests: pa.Table, rows: pa.Table) -> pa.Table:
+        strip = Strip(*_columns(rows, "site", "x", "y"), cell)
+        g, x0, y0, r = _columns(guests, "guest", "x0", "y0", "r")
+        i, j = strip.inside(x0, y0, np.where(np.isinf(r), np.finfo(float).max / 4, r))
+        return pa.table({"site": g[i], "other": strip.site[j]})
+
+    return run
 
 
 def nearest(points: DataFrame, coords: Sequence[str], k: int, label: str = "label", tie: str | None = None, digits: int = 10, per_cell: int = 256) -> DataFrame:
@@ -89,12 +104,12 @@ def nearest(points: DataFrame, coords: Sequence[str], k: int, label: str = "labe
     # Of a place no more than k + 1 points can be among anyone's k nearest; the limit works before the shuffle.
     first = p.withColumn("_r", F.row_number().over(Window.partitionBy("x", "y").orderBy("tie", "node"))).where(F.col("_r") <= k + 1)
     sites = first.groupBy("x", "y").agg(F.collect_list(F.struct("tie", "node")).alias("members"))
-    sites = materialise(sites.withColumn("weight", F.size("members").cast("long")).withColumn("site", F.monotonically_increasing_id()), "sites")
+    sites = materialise(sites.withColumn("site", F.monotonically_increasing_id()), "sites")
 
     strips = max(1, round((sites.count() / per_cell) ** 0.5))
     cuts = cut_points(sites, "x", strips) if strips > 1 else []
-    narrow = with_segment(sites.select("site", "x", "y", "weight"), "x", cuts, "strip")
-    home = narrow.groupBy("strip").applyInArrow(_at_home(k + 1, 4 * 10.0**-digits), "site long, other long, r double")
+    narrow = with_segment(sites.select("site", "x", "y"), "x", cuts, "strip")
+    home = narrow.groupBy("strip").applyInArrow(_at_home(k + 1, 4 * 10.0**-digits, max(per_cell, 2 * k + 2)), "site long, other long, r double")
     home = materialise(home, "home")
     found = home.where("other IS NOT NULL").select("site", "other")
     if cuts:
@@ -102,7 +117,7 @@ def nearest(points: DataFrame, coords: Sequence[str], k: int, label: str = "labe
         circles = with_segment(with_segment(circles.withColumns({"_a": F.col("x") - F.col("r"), "_b": F.col("x") + F.col("r")}), "_a", cuts, "_lo"), "_b", cuts, "_hi")
         visits = circles.where("_lo < strip OR _hi > strip").withColumn("_to", F.explode(F.sequence(F.col("_lo").cast("long"), F.col("_hi").cast("long")))).where("_to <> strip")
         visits = visits.select(F.col("_to").cast("double"), "site", "x", "y", "r").toDF("strip", "guest", "x0", "y0", "r")
-        found = found.unionByName(visits.groupBy("strip").cogroup(narrow.groupBy("strip")).applyInArrow(_away, FOUND))
+        found = found.unionByName(visits.groupBy("strip").cogroup(narrow.groupBy("strip")).applyInArrow(_away(max(per_cell, 2 * k + 2)), FOUND))
 
     here = sites.select(F.col("site").alias("_s"), F.col("x").alias("x0"), F.col("y").alias("y0"))
     there = sites.select(F.col("site").alias("_o"), "x", "y", "members")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from ..functions.scalars import STRIDE_STEP, stride_sample
 from ..session import materialise
 from .patterns import global_index, only_row, quantiles, quantiles_wide
-from .selection import digit, first_counts, ordered_bits, radix_quantiles
+from .selection import first_counts, radix_quantiles
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
@@ -151,7 +151,7 @@ QS = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 def quantile_profile(pairs: DataFrame, qs: Sequence[float] = QS, exact: bool = True) -> DataFrame:
     """Quantiles of off-diagonal distances overall, within and across years.
 
-    Exact ones come from radix selection: ``pairs`` is scanned four times and should be stored.
+    Exact ones come from radix selection: ``pairs`` is scanned up to five times and should be stored.
     """
     both = off_diagonal(pairs).withColumn("part", F.explode(F.array(F.lit("all"), F.col("part"))))
     return radix_quantiles(both, ["part"], "distance", qs) if exact else quantiles(both, ["part"], "distance", qs, False)
@@ -163,18 +163,17 @@ def off_diagonal(pairs: DataFrame) -> DataFrame:
 
 
 def audit_pairs(pairs: DataFrame, eps: float = 1e-12, qs: Sequence[float] = QS) -> DataFrame:
-    """Counters, moments and quantiles as key/value rows from four scans of a stored matrix.
+    """Counters, moments and quantiles as key/value rows from up to five scans of a stored matrix.
 
     The first scan counts by part (diagonal, same or cross year) and leading digit of the distance and
     makes the counters and moments of every such cell; the other scans follow the quantiles' digits.
     """
     d = F.col("distance").cast("double")
-    finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) < INF)
     part = F.when(F.col("i_idx") == F.col("j_idx"), "diag").when(F.col("i_year") == F.col("j_year"), "same").otherwise("cross")
     counters = audit_columns(eps)
     names = ["total", "diag", "nan", "inf", "neg", "diag_nonzero", "label_mismatch", "off_zero", "off_zero_eps", "same_year", "cross_year"]
     off = F.when(F.col("i_idx") != F.col("j_idx"), d)
-    cells = first_counts(pairs.withColumn("part", part), ["part"], F.when(finite, ordered_bits(d)), *counters, F.count(off).alias("_c"), F.avg(off).alias("_m"), F.var_pop(off).alias("_v"))
+    cells = first_counts(pairs.withColumn("part", part), ["part"], d, *counters, F.count(off).alias("_c"), F.avg(off).alias("_m"), F.var_pop(off).alias("_v"))
     cells = materialise(cells, "audit_cells")
 
     one = only_row(cells, (F.sum(F.col("_c") * F.col("_m")) / F.sum("_c")).alias("mean"))
