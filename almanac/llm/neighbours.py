@@ -3,22 +3,26 @@
 A neighbour graph starts from random-projection leaves and is refined by joins of neighbours of
 neighbours: every node sends its vector to its neighbours in both directions, and a node that holds the
 vectors of its neighbours proposes each pair of them that beats what either already has.  Rounds go on
-until few entries change.  A list whose entries are all links (saturated) would hide further links; two
-nodes whose link is in neither list both have such lists, so the saturated nodes of a label are compared
-with each other by tiles.  Labels of at most ``whole`` nodes are compared whole by tiles and need no graph.
-Links are counted within the components they form, again by tiles; no tile ever emits all pairs.  An
-audit compares a bounded sample of the nodes in larger labels with all nodes, each node weighing the same;
-while its recall is below the target, further leaves with other projections are added, and after ``tries``
-times these labels are compared whole too.
+until few entries change.  Entries at or above the threshold are links, and links make components.
+
+A list whose entries are all links is saturated and may hide links.  Two nodes whose link is in neither
+list both have such lists, so the saturated nodes get a second list of as many places, for the nearest
+nodes outside their own component, and descend again with it; its links merge components, the lists are
+enlarged again, and so on until no saturated list gains a link.  Within a component nothing needs to be found: its links
+are counted by tiles, which return one count per node and never a pair.
+
+An audit compares a bounded sample of the nodes with all nodes, each node weighing the same; while its
+recall is below the target, leaves with other projections are added, and only after ``tries`` times
+the labels are compared whole, by tiles.
 
 Equal vectors of a label are one node; they are links of each other and never expanded.  Vectors of
 different or null labels, null or zero vectors and vectors with null or non-finite components link with
-nothing.  Cosines are of double precision.  Of rows with the same id the smallest (label, vector) that
-can link stays; rows without an id take no part.  An empty table gives an empty result; other columns
-are ignored, whatever their names.
+nothing.  Cosines are of double precision.  Every row has its row in the result: rows that repeat an id
+or have none are vectors like others, and a component is named by its smallest id (null, if it has none).
+An empty table gives an empty result; other columns are ignored, whatever their names.
 
 Bounds: a leaf is one task's work and holds at most about ``leaf`` nodes, a tile four times as many; a node joins at most
-``k`` forward and ``k`` backward neighbours per round (the backward ones chosen by a hash); the sample
+``k`` forward and ``k`` backward neighbours of either list per round (the backward ones chosen by a hash); the sample
 of the audit has at most ``sample`` nodes.
 """
 
@@ -66,18 +70,23 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordB
         yield pa.concat_batches(rest)
 
 
-def nodes_of(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(vec_id, label, v) of the rows that can link."""
+def rows_of(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
+    """(vec_id, label, v) of all rows; label and v are null where a row links with nothing."""
     x = F.col(vec_col)
     number = lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))
-    ok = x.isNotNull() & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
-    rows = vectors.where(ok).where(F.forall(x, number) & F.exists(x, lambda c: c != 0))
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.struct(F.col(label_col).cast("string").alias("label"), x.cast("array<double>").alias("v")).alias("r"))
-    return rows.groupBy("vec_id").agg(F.min("r").alias("r")).select("vec_id", "r.label", "r.v")
+    ok = x.isNotNull() & F.col(label_col).isNotNull() & F.forall(x, number) & F.exists(x, lambda c: c != 0)
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(ok, F.col(label_col).cast("string")).alias("label"), F.when(ok, x.cast("array<double>")).alias("v"))
+
+
+def with_bits(nodes: DataFrame, leaf: int) -> DataFrame:
+    """``nodes`` with the number of planes that cut their label and vector length into leaves of about ``leaf``."""
+    sizes = nodes.groupBy(F.col("kind").alias("_k")).agg(F.count(F.lit(1)).alias("_size"))
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_size") / F.lit(leaf)))).cast("long")
+    return nodes.join(sizes, nodes.kind == F.col("_k")).withColumn("bits", bits).drop("_k", "_size")
 
 
 def leaf_edges(nodes: DataFrame, trees: list[int], k: int, leaf: int) -> DataFrame:
-    """Neighbour candidates (u, v, sim): the k nearest within each random-projection leaf.
+    """Neighbour candidates (u, v, sim): the k nearest of another ``part`` within each random-projection leaf.
 
     A leaf is the nodes of one label and one vector length on the same sides of random planes, as
     many as its label needs (column ``bits``); leaves above ``leaf`` are split by a hash, differently in every tree.
@@ -105,7 +114,7 @@ def leaf_edges(nodes: DataFrame, trees: list[int], k: int, leaf: int) -> DataFra
     chunks = F.ceil(F.col("n") / F.lit(leaf))
     split = signs.join(sizes, ["label", "tree", "code"]).where("n > 1")
     split = split.select("node", F.xxhash64("label", "tree", "code", F.pmod(F.xxhash64("node", "tree"), chunks)).alias("leaf"))
-    rows = split.join(nodes.select("node", "v"), "node").select("leaf", "node", F.size("v").cast("long").alias("size"), "v")
+    rows = split.join(nodes.select("node", "part", "v"), "node").select("leaf", "node", F.size("v").cast("long").alias("size"), "part", "v")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in grouped(batches, 2):
@@ -114,14 +123,16 @@ def leaf_edges(nodes: DataFrame, trees: list[int], k: int, leaf: int) -> DataFra
                 continue
             ids = g.column("node").to_numpy()
             x = unit(matrix(g.column("v")))
+            part = g.column("part").to_numpy()
             s = x @ x.T
-            np.fill_diagonal(s, -2)
+            s[part[:, None] == part[None, :]] = -2
             m = min(k, n - 1)
             best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            u = np.repeat(ids, m)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(s, best, axis=1).ravel())], names=["u", "v", "sim"])
+            sims = np.take_along_axis(s, best, axis=1).ravel()
+            real = sims > -2
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)[real]), pa.array(ids[best].ravel()[real]), pa.array(sims[real])], names=["u", "v", "sim"])
 
-    dealt = rows.select("leaf", "size", "node", "v").repartition(partitions(nodes.sparkSession), "leaf").sortWithinPartitions("leaf", "size")
+    dealt = rows.select("leaf", "size", "node", "part", "v").repartition(partitions(nodes.sparkSession), "leaf").sortWithinPartitions("leaf", "size")
     return dealt.mapInArrow(near, EDGES)
 
 
@@ -134,29 +145,33 @@ def best_lists(edges: DataFrame, k: int) -> DataFrame:
     return top.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("sim", "v")), asc=False).alias("near"))
 
 
-def local_joins(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Candidates (u, v, sim) proposed by common neighbours that beat the k-th entry of u's list."""
+def local_joins(graph: DataFrame, nodes: DataFrame, k: int, also: DataFrame | None = None) -> DataFrame:
+    """Candidates (u, v, sim) of different parts, proposed by common neighbours, that beat the k-th entry of u's list.
+
+    ``also`` are further neighbours (u, v) over which vectors are sent.
+    """
     flat = graph.select("u", F.explode("near").alias("e")).select("u", "e.v")
+    flat = flat if also is None else flat.union(also)
     back = flat.select(F.col("v").alias("u"), F.col("u").alias("v"))
     order = Window.partitionBy("u").orderBy(F.xxhash64("u", "v"))
     back = back.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
-    own = graph.select("u", F.col("u").alias("v"))
+    own = nodes.select(F.col("node").alias("u"), F.col("node").alias("v"))
     mail = flat.union(back).union(own).distinct()
     worst = F.when(F.size("near") >= k, F.element_at("near", -1)["sim"]).otherwise(F.lit(-2.0))
-    state = nodes.select("node", "label", "v").join(graph.select(F.col("u").alias("node"), worst.alias("worst")), "node", "left")
-    state = state.select(F.col("node").alias("_n"), F.xxhash64("label", F.size("v")).alias("kind"), F.col("v").alias("x"), F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-    sent = mail.join(state, mail.v == state._n).select(F.col("u").alias("centre"), "kind", F.col("v").alias("node"), "x", "worst")
+    state = nodes.select("node", "kind", "part", "v").join(graph.select(F.col("u").alias("node"), worst.alias("worst")), "node", "left")
+    state = state.select(F.col("node").alias("_n"), "kind", "part", F.col("v").alias("x"), F.coalesce("worst", F.lit(-2.0)).alias("worst"))
+    sent = mail.join(state, mail.v == state._n).select(F.col("u").alias("centre"), "kind", F.col("v").alias("node"), "part", "x", "worst")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, sims = [], [], []
         for g in grouped(batches, 2):
             n = g.num_rows
-            if n < 3:
+            if n < 2:
                 continue
-            ids, worst = g.column("node").to_numpy(), g.column("worst").to_numpy()
+            ids, worst, part = (g.column(c).to_numpy() for c in ("node", "worst", "part"))
             x = unit(matrix(g.column("x")))
             s = x @ x.T
-            np.fill_diagonal(s, -2)
+            s[part[:, None] == part[None, :]] = -3
             i, j = np.nonzero(s > worst[:, None])
             us.append(ids[i])
             vs.append(ids[j])
@@ -171,11 +186,11 @@ def local_joins(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(propose, EDGES)
 
 
-def descend(graph: DataFrame, nodes: DataFrame, k: int, rounds: int, change: float) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame, k: int, rounds: int, change: float, also: DataFrame | None = None) -> DataFrame:
     """Refine until fewer than ``change`` of the entries are new, at most ``rounds`` times."""
     for _ in range(rounds):
         old = graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.sim")
-        new = materialise(best_lists(old.union(local_joins(graph, nodes, k)), k), "graph")
+        new = materialise(best_lists(old.union(local_joins(graph, nodes, k, also)), k), "graph")
         flat = new.select("u", F.explode("near").alias("e")).select("u", "e.v")
         fresh, entries = flat.join(old.select("u", "v", F.lit(1).alias("_o")), ["u", "v"], "left").agg(F.count_if(F.col("_o").isNull()), F.count(F.lit(1))).first()
         graph = new
@@ -184,6 +199,36 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, rounds: int, change: flo
     return graph
 
 
+def links_in(graph: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the entries of the lists that are links."""
+    return graph.select("u", F.explode("near").alias("e")).where(F.col("e.sim") >= threshold).select(F.col("u").alias("a"), F.col("e.v").alias("b"))
+
+
+def enlarge(nodes: DataFrame, graph: DataFrame, linked: DataFrame, threshold: float, k: int, leaf: int, trees: list[int], rounds: int, change: float) -> tuple[DataFrame, DataFrame]:
+    """(links, components) after the saturated nodes have looked outside their components until none gains a link.
+
+    Each turn that goes on merges components, so there are few: as many as the longest chain of groups
+    that find each other one after the other.
+    """
+    parts = materialise(components(linked), "components")
+    full = graph.where((F.size("near") >= k) & (F.element_at("near", -1)["sim"] >= threshold))
+    also = materialise(full.select("u", F.explode("near").alias("e")).select("u", "e.v"), "saturated")
+    if not also.head(1):
+        return linked, parts
+    side = nodes.drop("bits", "part").join(also.select(F.col("u").alias("_u")).distinct(), F.col("node") == F.col("_u"), "left_semi")
+    side = materialise(with_bits(side, leaf), "saturated_nodes")
+    while True:
+        own = parts.select(F.col("node").alias("_n"), F.col("component").alias("part"))
+        here = materialise(side.join(own, side.node == own._n).drop("_n"), "outside")
+        lists = materialise(best_lists(leaf_edges(here, trees, k, leaf), k), "graph")
+        lists = descend(lists, here, k, rounds, change, also)
+        more = materialise(links_in(lists, threshold), "links")
+        if not more.head(1):
+            return linked, parts
+        linked = materialise(linked.union(more), "links")
+        parts = materialise(components(linked), "components")
+
+
 def tiles(members: DataFrame, tile: int) -> DataFrame:
     """``members`` (component, node, copies, x) dealt and sorted by tiles (component, a, b).
 
@@ -279,53 +324,45 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, sample: int) ->
     return 1.0 if reached is None else reached
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, k: int = 6, leaf: int = 512, trees: int = 3, rounds: int = 4, change: float = 0.01, sample: int = 256, recall: float = 0.99, tries: int = 3, whole: int = 4096) -> DataFrame:
-    """One row per id: vec_id, n_links, component_id, kept, recall (of the audit, the same in all rows)."""
-    rows = materialise(nodes_of(vectors, id_col, vec_col, label_col), "vectors")
-    nodes = rows.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    nodes = materialise(nodes.withColumn("kind", F.xxhash64("label", F.size("v"))), "nodes")
-    kinds = materialise(nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "kinds")
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(leaf)))).cast("long")
-    large = kinds.where(F.col("n") > whole).select("kind", bits.alias("bits"))
-    small = nodes.join(kinds.where(F.col("n") <= whole).select("kind"), "kind", "left_semi")
-    side = lambda df: df.select(F.col("kind").alias("component"), "node", "copies", F.col("v").alias("x"))
-    exact = materialise(tile_links(side(small), threshold, 2 * leaf), "links")
-
-    def settle(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        parts = materialise(components(links), "components")
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, k: int = 6, leaf: int = 512, trees: int = 3, rounds: int = 4, change: float = 0.01, sample: int = 256, recall: float = 0.99, tries: int = 3) -> DataFrame:
+    """One row per row of the input: vec_id, n_links, component_id, kept, recall (of the audit, the same in all rows)."""
+    rows = materialise(rows_of(vectors, id_col, vec_col, label_col), "vectors")
+    nodes = rows.where("label IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    # A written number stays the node's, whichever task reads it again.
+    nodes = materialise(nodes.withColumns({"node": F.monotonically_increasing_id(), "kind": F.xxhash64("label", F.size("v"))}), "nodes")
+    nodes = materialise(with_bits(nodes, leaf).withColumn("part", F.col("node")), "nodes")
+
+    def settle(parts: DataFrame) -> DataFrame:
         info = nodes.select(F.col("node").alias("_n"), "copies", F.col("v").alias("x"))
         members = parts.join(info, parts.node == info._n).select("component", "node", "copies", "x")
-        return parts, materialise(tile_counts(members, threshold, 2 * leaf), "counts")
-
-    if not large.head(1):
-        parts, counts = settle(exact)
+        return materialise(tile_counts(members, threshold, 2 * leaf), "counts")
+
+    graph, reached, parts, counts = None, 0.0, None, None
+    for attempt in range(tries):
+        planes = list(range(attempt * trees, (attempt + 1) * trees))
+        edges = leaf_edges(nodes, planes, k, leaf)
+        if graph is not None:
+            edges = edges.union(graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.sim"))
+        graph = descend(materialise(best_lists(edges, k), "graph"), nodes, k, rounds, change)
+        linked = materialise(links_in(graph, threshold), "links")
+        linked, parts = enlarge(nodes, graph, linked, threshold, k, leaf, [1000 + t for t in planes], rounds, change)
+        counts = settle(parts)
         reached = audit(nodes, counts, threshold, sample)
+        if reached >= recall:
+            break
     else:
-        many = materialise(nodes.join(large, "kind"), "many")
-        graph, reached = None, 0.0
-        for attempt in range(tries):
-            edges = leaf_edges(many, list(range(attempt * trees, (attempt + 1) * trees)), k, leaf)
-            if graph is not None:
-                edges = edges.union(graph.select("u", F.explode("near").alias("e")).select("u", "e.v", "e.sim"))
-            graph = materialise(best_lists(edges, k), "graph")
-            graph = descend(graph, many, k, rounds, change)
-            linked = graph.select("u", F.explode("near").alias("e")).where(F.col("e.sim") >= threshold).select(F.col("u").alias("a"), F.col("e.v").alias("b"))
-            full = graph.where((F.size("near") >= k) & (F.element_at("near", -1)["sim"] >= threshold)).select(F.col("u").alias("_u"))
-            hidden = tile_links(side(many.join(full, many.node == full._u, "left_semi")), threshold, 2 * leaf)
-            parts, counts = settle(exact.union(linked).union(hidden))
-            reached = audit(many, counts, threshold, sample)
-            if reached >= recall:
-                break
-        else:
-            parts, counts = settle(exact.union(tile_links(side(many), threshold, 2 * leaf)))
-            reached = audit(many, counts, threshold, sample)
-    per_node = nodes.select("node", "label", "v", "copies").join(counts, "node", "left").join(parts, "node", "left")
-    per_node = per_node.select(F.col("label").alias("_l"), F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    found = rows.join(per_node, (rows.label == per_node._l) & (rows.v == per_node._v)).select(F.col("vec_id").alias("_id"), "n_links", "component_id")
-    every = vectors.select(F.col(id_col).cast("long").alias("vec_id")).where("vec_id is not null").distinct()
-    out = every.join(found, every.vec_id == found._id, "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"), F.lit(float(reached)).alias("recall"))
+        whole = nodes.select(F.col("kind").alias("component"), "node", "copies", F.col("v").alias("x"))
+        parts = materialise(components(tile_links(whole, threshold, 2 * leaf)), "components")
+        counts = settle(parts)
+        reached = audit(nodes, counts, threshold, sample)
+    own = nodes.select("node", "label", "v", "low", "copies").join(counts, "node", "left").join(parts, "node", "left")
+    own = materialise(own.withColumn("component", F.coalesce("component", "node")), "named")
+    named = own.groupBy(F.col("component").alias("_c")).agg(F.min("low").alias("component_id"))
+    per_node = own.join(named, own.component == named._c)
+    per_node = per_node.select(F.col("label").alias("_l"), F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.join(per_node, (rows.label == per_node._l) & (rows.v == per_node._v), "left")
+    component = F.when(F.col("_l").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), F.lit(float(reached)).alias("recall"))
 
 
 NEIGHBOURS_SQL = """

@@ -42,28 +42,29 @@ def planted(seed=0, groups=25):
 
 
 def test_neighbours(spark):
-    rows = planted() + ODD + [(9006, [1.0] * 8, 2)]
-    ok = [(i, np.asarray(v, dtype=np.float64), x) for i, v, x in rows if i is not None and x is not None and usable(v) and any(v)]
-    near = {i: set() for i, *_ in rows if i is not None}
-    for a, v, x in ok:
-        for b, w, y in ok:
-            if a != b and x == y and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.93:
-                near[a].add(b)
-    got = {r["vec_id"]: r for r in neighbours.near_duplicates(vectors(spark, rows).repartition(3), leaf=8, k=4).collect()}
-    assert set(got) == set(near)
-    for i, others in near.items():
+    rows = planted() + ODD + [(9006, [1.0] * 8, 2), (None, planted()[5][1], 1), (9007, [1.0] * 3, 1), (3000, planted()[7][1], 0), (3000, planted()[9][1], 1)]
+    ok = [v is not None and usable(v) and any(v) and x is not None for _, v, x in rows]
+    unit_ = [np.asarray(v, dtype=np.float64) / np.sqrt(np.dot(v, v)) if good else None for (_, v, _), good in zip(rows, ok)]
+    near = [[j for j in range(len(rows)) if j != i and ok[i] and ok[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]) and unit_[i] @ unit_[j] >= 0.93] for i in range(len(rows))]
+    want = Counter()
+    for i, (vec_id, _, _) in enumerate(rows):
         seen, todo = {i}, [i]
         while todo:
-            for j in near[todo.pop()] - seen:
-                seen.add(j)
-                todo.append(j)
-        r = got[i]
-        assert (r["n_links"], r["component_id"], r["kept"]) == (len(others), min(seen), min(seen) == i)
-
-
-@pytest.mark.parametrize("options", [{}, {"whole": 0}, {"whole": 0, "tries": 0}])
-def test_linked_tight_groups(spark, options):
+            new = set(near[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        low = min(ids) if ids else None
+        want[(vec_id, len(near[i]), low, vec_id == low)] += 1
+    got = neighbours.near_duplicates(vectors(spark, rows).repartition(3), leaf=8, k=4)
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("options", [{}, {"tries": 1, "leaf": 32}, {"tries": 0}])
+def test_linked_tight_groups(spark, monkeypatch, options):
     """Two groups whose 6 nearest are all their own, linked across, and pairs apart of them."""
+    if options.get("tries", 1):  # the lists alone find them
+        monkeypatch.setattr(neighbours, "tile_links", None)
     rng = np.random.default_rng(5)
     axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
     centres = [axes[0], 0.942 * axes[0] + np.sqrt(1 - 0.942**2) * axes[1]]
