@@ -23,7 +23,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, materialise
+from .common import components, materialise, partitions
+from .neighbours import grouped
 
 #: Shingles hashed at a time, so that a very long text needs little memory.
 CHUNK = 1 << 16
@@ -174,6 +175,143 @@ def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return rows, materialise(fps.join(comp, fps.fp == comp._n, "left").select("fp", "low", F.coalesce("_c", "fp").alias("root")), "roots")
 
 
+#: Bands of smallest hashes that name candidate groups, and hashes in a band: of sets that share four fifths, one
+#: in 1,600 shares no band.
+BANDS, IN_BAND = 14, 4
+MULTIPLIERS = np.random.default_rng(2024).integers(0, 1 << 63, (BANDS * IN_BAND, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Candidate sets that are compared in one task at a time.
+TILE = 1024
+
+
+def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 values of the word shingles; fewer words make one shingle, none an empty set."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    found = [np.empty(0, dtype=np.uint64)]
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - size + 1) if words else 0
+    for at in range(0, n, CHUNK):
+        last = min(at + CHUNK, n)
+        found.append(np.unique(np.fromiter((digest(b" ".join(words[i : i + size]), 42) for i in range(at, last)), dtype=np.uint64, count=last - at)))
+    return np.unique(np.concatenate(found))
+
+
+def sketch(shingles: np.ndarray) -> tuple[int, int, list[int]]:
+    """A hash of the set, its SimHash, and the keys of its bands (as signed numbers)."""
+    if not len(shingles):
+        return 0, 0, []
+    bits, least = np.zeros(64, dtype=np.int64), np.full(BANDS * IN_BAND, ~np.uint64(0))
+    for at in range(0, len(shingles), 8192):
+        some = shingles[at : at + 8192]
+        bits += np.unpackbits(some.byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, (some[None, :] * MULTIPLIERS[:, :1] + MULTIPLIERS[:, 1:]).min(axis=1))
+    fp = int.from_bytes(np.packbits(2 * bits > len(shingles)).tobytes(), "big", signed=True)
+    sig = int.from_bytes(xxhash.xxh64_digest(shingles.tobytes(), 42), "big", signed=True)
+    keys = [int.from_bytes(xxhash.xxh64_digest(least[b * IN_BAND : (b + 1) * IN_BAND].tobytes(), b), "big", signed=True) for b in range(BANDS)]
+    return sig, fp, keys
+
+
+def verified(sigs: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float, radius: int) -> list[tuple[int, int]]:
+    """Spanning links (sig, sig) of the sets that share at least ``similarity`` of their union.
+
+    Sets are ordered by the distance of their fingerprints to a vantage point; a set meets the stretch that
+    the triangle bound leaves, then those at most ``radius`` bits away, and then the sets themselves.
+    """
+    codes = fps.view(np.uint64)
+    d = np.bitwise_count(codes ^ codes[0]).astype(np.int64)
+    order = np.argsort(d, kind="stable")
+    codes, d = codes[order], d[order]
+    root = list(range(len(order)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    ends = np.searchsorted(d, d + radius, "right")
+    for i in range(len(order)):
+        near = i + 1 + np.nonzero(np.bitwise_count(codes[i + 1 : ends[i]] ^ codes[i]) <= radius)[0]
+        a = sets[order[i]]
+        for j in near.tolist():
+            b = sets[order[j]]
+            if min(len(a), len(b)) < similarity * max(len(a), len(b)) or find(i) == find(j):
+                continue
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            if common >= similarity * (len(a) + len(b) - common):
+                root[find(j)] = find(i)
+                out.append((int(sigs[order[i]]), int(sigs[order[j]])))
+    return out
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 20) -> tuple[DataFrame, DataFrame]:
+    """As :func:`rooted`, with links between texts whose word shingles share at least ``similarity``.
+
+    At such a similarity fingerprints of 64 bits differ by about 10, where a vantage point prunes next to nothing.
+    So sets that share a band of smallest hashes make candidate groups, the groups are the shards,
+    and inside a shard the vantage point and ``radius`` go before the exact comparison.  A group of more than
+    ``TILE`` sets is taken apart by its bands, and what is still larger is compared by tiles of chunks.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sketch(shingle_set(t.as_py(), size)) for t in b.column(1)]
+            cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=["doc_id", "text_hash", "fp", "code", "keys"])
+
+    text = F.col(text_col).cast("string")
+    marked = docs.select(F.col(id_col).alias("doc_id"), text, F.xxhash64(text)).mapInArrow(marks, f"doc_id {kind}, text_hash long, fp long, code long, keys array<long>")
+    marked = materialise(marked, "marked")  # ``fp`` is the hash of the set here
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("key")
+    sets = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), first, F.first("code").alias("code"), F.first("keys").alias("keys")), "sets")
+
+    banded = sets.select("fp", F.explode("keys").alias("band"))
+    shared = materialise(banded.groupBy("band").agg(F.min("fp").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
+    touching = banded.join(shared, "band")
+    groups = materialise(components(touching.where("fp <> centre").select("fp", "centre"), "fp", "centre"), "groups")
+    sizes = groups.groupBy(F.col("component").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    sized = groups.join(sizes, groups.component == F.col("_c"))
+    apart = sized.where(F.col("_n") > TILE).select(F.col("node").alias("_f"))
+    members = sized.where(F.col("_n") <= TILE).select(F.col("component").alias("shard"), F.col("node").alias("fp"))
+    members = members.unionByName(touching.join(apart, touching.fp == F.col("_f"), "left_semi").select(F.col("band").alias("shard"), "fp"))
+    members = materialise(members, "members")
+
+    # One text of each candidate set gives the set again.
+    some = sets.join(members.select(F.col("fp").alias("_m")).distinct(), F.col("fp") == F.col("_m"), "left_semi")
+    some = materialise(some.select(F.col("key.doc_id").alias("_id"), F.col("key.text_hash").alias("_h"), "fp", "code"), "candidates")
+    texts = docs.select(F.col(id_col).alias("_i"), text.alias("_t"), F.xxhash64(text).alias("_x"))
+    texts = texts.join(some, texts._x.eqNullSafe(some._h) & texts._i.eqNullSafe(some._id)).select("fp", "code", "_t")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()  # rows equal in id and text give one set per task
+        for b in batches:
+            fresh = [i for i, f in enumerate(b.column(0).to_pylist()) if not (f in seen or seen.add(f))]
+            packed = [shingle_set(b.column(2)[i].as_py(), size).tobytes() for i in fresh]
+            at = pa.array(fresh, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(packed, pa.binary())], names=["fp", "code", "shingles"])
+
+    whole = materialise(texts.mapInArrow(again, "fp long, code long, shingles binary"), "shingles")
+    chunks = members.groupBy(F.col("shard").alias("_s")).agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("chunks"))
+    dealt = members.join(chunks, members.shard == F.col("_s")).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("long"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)))
+    dealt = dealt.select("shard", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), F.col("fp").alias("_f"))
+    tiled = dealt.join(whole, F.col("_f") == whole.fp).select("shard", "a", "b", "fp", "code", "shingles")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in grouped(batches, 3):
+            at = np.unique(g.column("fp").to_numpy(), return_index=True)[1]
+            if len(at) > 1:
+                held = [np.frombuffer(g.column("shingles")[i].as_py(), dtype=np.uint64) for i in at.tolist()]
+                pairs = verified(g.column("fp").to_numpy()[at], g.column("code").to_numpy()[at], held, similarity, radius)
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+    tiled = tiled.repartition(partitions(docs.sparkSession), "shard", "a", "b").sortWithinPartitions("shard", "a", "b")
+    comp = components(tiled.mapInArrow(check, "a long, b long")).withColumnsRenamed({"node": "_n", "component": "_c"})
+    named = sets.join(comp, sets.fp == comp._n, "left").select("fp", "low", F.coalesce("_c", "fp").alias("root"))
+    return marked.select("doc_id", "text_hash", "fp"), materialise(named, "roots")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row doc_id, fp and component_id, the smallest id reachable over links of at most ``radius`` bits."""
     rows, named = rooted(docs, id_col, text_col, **options)
@@ -183,13 +321,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(names, rows.fp == names._fp).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unique_ids: bool = True, **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unique_ids: bool = True, find=rooted, **options) -> DataFrame:
     """The input with one row of each group of near-duplicates: the smallest id, nulls last, then the smallest text hash.
 
+    ``find`` makes the groups: :func:`rooted` by fingerprints, :func:`similar` by shared shingles.
+
     Rows without an id are told apart by their texts.  With ``unique_ids`` an id names one document: of
     groups whose kept rows repeat an id, one row stays.  Without it each group keeps its row.
     """
-    rows, named = rooted(docs, id_col, text_col, **options)
+    rows, named = find(docs, id_col, text_col, **options)
     keyed = rows.join(named.select(F.col("fp").alias("_fp"), "root"), rows.fp == F.col("_fp"))
     # Minima are taken map-side; no row of a group, however large, is sorted with the others.
     kept = keyed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("key"))
