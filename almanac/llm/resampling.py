@@ -7,8 +7,8 @@ thousand times the log of its smoothed share in the target over its share in the
 A text's weight is the sum of the gains of its features, and its score adds a Gumbel draw out of a hash
 of its id, so the highest scores are a draw without replacement.
 
-Texts are cut once: the buckets of a text are kept as packed numbers, about a quarter of the text's
-bytes, and both the histogram and the weights read those.  Ranks come from segments of the score.
+Texts are cut once: the buckets of a text are kept as packed numbers, two bytes a feature (four with
+more than 65,536 buckets), and both the histogram and the weights read those.  Ranks come from segments of the score.
 
 Defined results: a null or empty text has no features and weight 0; a null id hashes like an empty one;
 rows that repeat an id have the same draw; equal scores go by id (nulls last), then by weight and number
