@@ -19,6 +19,10 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import let, materialise, text_of
@@ -46,22 +50,43 @@ WORDS = 3
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
+#: Places that are folded at a time: a fold copies what it has at every step, so long lists go in stretches.
+STRETCH = 128
+
+
+def stretches(items: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of every ``STRETCH`` items in a row; none for an empty array."""
+    first = F.sequence(F.lit(1), F.size(items), F.lit(STRETCH))
+    return F.when(F.size(items) > 0, F.transform(first, lambda at: body(F.slice(items, at, STRETCH))))
+
+
 def places(text: Column, pattern: str, hint: str | None = None) -> Column:
     """Leftmost non-overlapping matches: array of (start, value), starts in code points.
 
-    The pieces between the matches and the matches alternate, so starts are running lengths.
+    The pieces between the matches and the matches alternate, so starts are running lengths: within
+    a stretch of matches first, then over the stretches.
     """
     empty = F.array().cast("array<struct<start:int,value:string>>")
 
-    def starts(values: Column) -> Column:
+    def moved(out: Column, by: Column) -> Column:
+        return F.transform(out, lambda x: F.struct((x["start"] + by).alias("start"), x["value"].alias("value")))
+
+    def within(pairs: Column) -> Column:
         step = lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), x["value"].alias("value")))).alias("out"),
+            (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["value"].alias("value")))).alias("out"),
         )
-        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-        pairs = lambda gaps: F.transform(values, lambda x, i: F.struct(F.get(gaps, i).alias("gap"), x.alias("value")))
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+
+    def joined(parts: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved(x["out"], acc["at"]))).alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,value:string>>>").alias("out"))
+        return F.aggregate(parts, start, step, lambda acc: F.flatten(acc["out"]))
+
+    def starts(values: Column) -> Column:
+        pairs = lambda gaps: F.transform(values, lambda x, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), x.alias("value")))
         # Pieces are cut only where there are matches.
-        return F.when(F.size(values) > 0, F.aggregate(let(F.split(text, pattern, -1), pairs), start, step, lambda acc: acc["out"])).otherwise(empty)
+        return F.when(F.size(values) > 0, joined(let(let(F.split(text, pattern, -1), pairs), lambda p: stretches(p, within)))).otherwise(empty)
 
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), starts)
     return F.when(F.contains(text, F.lit(hint)), found).otherwise(empty) if hint else found
@@ -147,7 +172,14 @@ def prose_values(text: Column) -> Column:
 
 
 def _crosses(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+    """Whether a span shares a place with any of ``others``, which are in order and apart from each other.
+
+    Of those that start before the span's end, found by halving, only the last can reach over its start.
+    """
+    bits = F.length(F.bin(F.size(others)))
+    powers = F.transform(F.sequence(bits - 1, F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    before = F.aggregate(powers, F.lit(0), lambda at, p: F.when(F.get(others, at + p - 1)["start"] < span["end"], at + p).otherwise(at))
+    return F.coalesce(F.get(others, before - 1)["end"] > span["start"], F.lit(False))
 
 
 def is_seed_value(value: Column) -> Column:
@@ -184,13 +216,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trust:
     text = text_of(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"), F.xxhash64(text).alias("_h"))
     base = base.select("doc_id", "_h", *[base_spans(F.col("_t"), k).alias(k) for k in KINDS], keyed_values(F.col("_t")).alias("_keyed"), prose_values(F.col("_t")).alias("_prose"))
-    base = materialise(base, "spans")
     # A value behind a key is the key's, whatever its characters.
     prose = F.filter("_prose", lambda x: ~_crosses(x, F.col("_keyed")))
-    every = F.concat(*[F.col(k) for k in KINDS])
     keyed = F.transform("_keyed", lambda x: F.struct(F.array(x["pattern"]).alias("patterns"), x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end")))
-    places_ = base.where((F.size("_keyed") > 0) | (F.size("_prose") > 0)).select("doc_id", "_h", every.alias("_base"), F.explode(F.concat(keyed, prose)).alias("k"))
-    places_ = places_.withColumn("crosses", _crosses(F.col("k"), F.col("_base"))).drop("_base").withColumn("pattern", F.explode("k.patterns"))
+    on_base = lambda x: reduce(or_, [_crosses(x, F.col(k)) for k in KINDS])
+    marked = F.transform(F.concat(keyed, prose), lambda x: F.struct(*[x[c].alias(c) for c in ("patterns", "value", "start", "end")], on_base(x).alias("crosses")))
+    base = materialise(base.select("doc_id", "_h", *KINDS, marked.alias("_places")), "spans")
+    places_ = base.where(F.size("_places") > 0).select("doc_id", "_h", F.explode("_places").alias("k"))
+    places_ = places_.select("doc_id", "_h", "k", F.col("k.crosses").alias("crosses"), F.explode("k.patterns").alias("pattern"))
     edges = places_.groupBy("pattern", F.xxhash64("k.value").alias("value")).agg(F.max(F.col("crosses") | is_seed_value(F.col("k.value"))).alias("seed"))
     scored = score_graph(materialise(edges, "graph"), rounds).where(F.col("trust") >= trust)
     trusted = scored.where((F.col("trust") >= prose_trust) | F.col("pattern").rlike("[=:]"))
@@ -235,12 +268,23 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     text = F.col(text_col)
     out = docs.join(found, docs[id_col].eqNullSafe(found._id) & (F.xxhash64(text_of(text_col)) == found._th), "left")
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        piece = F.concat(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+    def reach(acc: Column, x: Column) -> Column:
+        top = F.greatest(acc["at"], F.array_max(F.transform(x, lambda y: y["end"])))
+        return F.struct(F.concat(acc["out"], F.array(F.struct(x.alias("spans"), acc["at"].alias("lo"), top.alias("hi")))).alias("out"), top.alias("at"))
+
+    def rewritten(part: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            fresh = x["start"] >= acc["at"]
+            piece = F.concat(F.substr(acc["text"], acc["at"] - part["lo"] + 1, x["start"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+            return F.struct(F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"), acc["text"].alias("text"))
+
+        own = F.substr(text, part["lo"] + 1, part["hi"] - part["lo"])
+        return F.aggregate(part["spans"], F.struct(F.lit("").alias("out"), part["lo"].alias("at"), own.alias("text")), step, lambda acc: acc["out"])
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    cut = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    # A stretch of spans rewrites the text between the end of what came before it and its own last end.
+    none = F.array().cast("array<struct<spans:array<struct<start:int,end:int,kind:string>>,lo:int,hi:int>>")
+    parts = F.aggregate(stretches(F.col("_spans"), lambda x: x), F.struct(none.alias("out"), F.lit(0).alias("at")), reach)
+    tail = lambda acc: F.concat(F.array_join(F.transform(acc["out"], rewritten), ""), F.substr(text, acc["at"] + 1))
+    cut = let(parts, tail)
     clean = F.when(F.col("_spans").isNull(), text).otherwise(cut)
     return out.select(*[clean.alias(c) if c == text_col else docs[c] for c in docs.columns])
