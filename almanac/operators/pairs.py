@@ -10,12 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from ..functions.scalars import STRIDE_STEP, stride_sample
 from ..session import materialise
+from .components import components, scores
 from .patterns import global_index, only_row, quantiles, quantiles_wide
 from .selection import first_counts, radix_quantiles
 
@@ -35,20 +34,15 @@ def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumn("_z", stats).withColumns({c: z(c) for c in cols}).drop("_z")
 
 
-def pca2(df: DataFrame, cols: Sequence[str] | str, k: int = 2) -> DataFrame:
-    """First k principal components of the centred columns (or of one array column), ``pc1..pck``.
+def pca2(df: DataFrame, cols: Sequence[str] | str, k: int | None = 2) -> DataFrame:
+    """First k principal components (all, if None) of the centred columns (or of one array column), ``pc1..pck``.
 
     Sign convention: the largest loading of a component is positive.
     """
-    arr = F.col(cols) if isinstance(cols, str) else F.array(*cols)
-    vec = df.withColumn("_v", array_to_vector(F.transform(arr, lambda x: x.cast("double"))))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(vec)
-    load = model.pc.toArray()
-    signs = [1.0 if abs(load[:, j].max()) >= abs(load[:, j].min()) else -1.0 for j in range(k)]
-    scored = model.transform(vec).withColumn("_a", vector_to_array("_p"))
-    means = only_row(scored, *[F.avg(F.col("_a")[j]).alias(f"m{j}") for j in range(k)])
-    out = scored.withColumn("_m", means)
-    return out.withColumns({f"pc{j + 1}": (F.col("_a")[j] - F.col(f"_m.m{j}")) * signs[j] for j in range(k)}).drop("_v", "_p", "_a", "_m")
+    vector = F.col(cols) if isinstance(cols, str) else F.array(*cols)
+    found = components(df, vector, k)
+    out = scores(df, vector, found)
+    return out if found.n else out.withColumns({f"pc{j + 1}": F.lit(None).cast("double") for j in range(k or 0)})
 
 
 def index_labels(df: DataFrame, entity: str = "entity", year: str = "year") -> DataFrame:

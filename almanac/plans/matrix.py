@@ -54,6 +54,23 @@ def _(spark, d):
     return pr.pca2(load(spark, d, "embeddings"), "embedding").select("vec_id", "label", "pc1", "pc2")
 
 
+SPECTRUM = """WITH good AS (SELECT row_number() OVER () AS id, embedding AS v FROM embeddings WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))),
+x AS (SELECT id, i, CAST(v[i] AS DOUBLE) AS v FROM good, range(1, 65) r(i)),
+cov AS (SELECT a.i, b.i AS j, covar_pop(a.v, b.v) AS c FROM x a JOIN x b ON a.id = b.id GROUP BY 1, 2),
+cube AS (SELECT sum(a.c * b.c * c.c) AS s FROM cov a JOIN cov b ON a.j = b.i JOIN cov c ON b.j = c.i AND c.j = a.i)
+SELECT (SELECT count(*) FROM good) AS n, round((SELECT sum(c) FROM cov WHERE i = j), 9) AS variance, round((SELECT sum(c * c) FROM cov), 9) AS squares, round((SELECT s FROM cube), 9) AS cubes"""
+
+
+@query("j03_spectrum", SPECTRUM)
+def _(spark, d):
+    """Variances of the scores on all components: their sums of powers are the traces of the covariance's powers."""
+    e = pr.pca2(load(spark, d, "embeddings"), "embedding", None)
+    pcs = [c for c in e.columns if c.startswith("pc")]
+    v = e.agg(F.count("pc1").alias("n"), F.array(*[F.var_pop(c) for c in pcs]).alias("v"))
+    power = lambda p: R(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x, F.lit(p))), 9)
+    return v.select("n", power(1).alias("variance"), power(2).alias("squares"), power(3).alias("cubes"))
+
+
 @query("j05_index_labels", "WITH " + POINTS + " SELECT idx, label, entity, year FROM points")
 def _(spark, d):
     return points(spark, d).select("idx", "label", "entity", "year")

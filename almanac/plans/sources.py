@@ -125,6 +125,17 @@ def _(spark, d):
     return replay(s).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), R(F.sum("value"), 4).alias("total"))
 
 
+@query("a15_polled_source", "SELECT epoch_us(date_trunc('day', ts)) AS day_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(spark, d):
+    """The events polled by the hour, five days of polls in a micro-batch."""
+    from ..sources.polls import stream_polls
+    from ..streaming.run import replay
+
+    s = stream_polls(spark, f"{d}/events.parquet", load(spark, d, "events").schema, "ts", 3600, polls=120)
+    t = replay(s, polled=True).withColumn("day_us", F.unix_micros(F.date_trunc("day", F.col("ts").cast("timestamp"))))
+    return t.groupBy("day_us", "event_type").agg(F.count(F.lit(1)).alias("n"), R(F.sum("value"), 4).alias("total"))
+
+
 @query("a16_export_topk", PAIRS + """, k AS (SELECT node, other, distance, row_number() OVER (PARTITION BY node ORDER BY distance, other) AS rank FROM mir WHERE node <> other)
 SELECT node, other, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""")
 def _(spark, d):

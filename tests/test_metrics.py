@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac.operators import decide, metrics as mt, pairs as pr, reliability as rl, splits as sp
+from almanac.operators.components import components
 
 
 def preds(spark, n=600, seed=5, digits=2):
@@ -207,6 +208,22 @@ def test_pca_matches_numpy(spark):
         assert np.allclose(np.abs(got[:, j]), np.abs(want[:, j]), atol=1e-6)
 
 
+def test_components_of_odd_and_wide_vectors(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 60)) * np.linspace(3, 0.2, 60) + 1e5
+    odd = [None, [], [1.0] * 59, [float("nan")] * 60, [None] + [1.0] * 59, [float("inf")] * 60]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*x.tolist(), *odd])], "id int, v array<double>").repartition(5)
+    want = np.sort(np.linalg.eigvalsh(np.cov(x.T, bias=True)))[::-1]
+    whole = components(df, F.col("v"), None)
+    assert whole.n == 120 and np.allclose(whole.variances, want, atol=1e-6) and np.allclose(whole.loadings.T @ whole.loadings, np.eye(60))
+    wide = components(df, F.col("v"), 2, wide=10, extra=30, passes=8)
+    assert np.allclose(wide.variances, want[:2], rtol=1e-3) and np.allclose(np.abs((wide.loadings * whole.loadings[:, :2]).sum(axis=0)), 1, atol=1e-2)
+    got = pr.pca2(df, "v").orderBy("id").select("pc1", "pc2").collect()
+    assert np.allclose([list(r) for r in got[:120]], (x - x.mean(axis=0)) @ whole.loadings[:, :2], atol=1e-6)
+    assert all(r["pc1"] is None and r["pc2"] is None for r in got[120:])
+    assert pr.pca2(df.where("id >= 120 and id <> 122"), "v").select("pc1", "pc2").distinct().collect() == [(None, None)]
+
+
 def test_weighted_sample_counts(spark):
     df = spark.createDataFrame([(i, float(i % 5)) for i in range(200)], "id bigint, w double")
     got = sp.weighted_sample(df, "w", "id", 20000, seed=3).toPandas()
