@@ -100,8 +100,8 @@ def _extend(shards: Column, reach: Column, count: int) -> Column:
     return F.flatten(F.transform(shards, lambda t: F.transform(reach, lambda b: t * count + b)))
 
 
-def forest(own: np.ndarray, guests: np.ndarray, radius: int) -> np.ndarray:
-    """Spanning forest of the links among ``own`` and between ``own`` and ``guests``: pairs (fp, root fp).
+def forest(own: np.ndarray, guests: np.ndarray, radius: int, among: bool = True) -> np.ndarray:
+    """Spanning forest of the links between ``own`` and ``guests`` and, with ``among``, inside ``own``: pairs (fp, root fp).
 
     Codes are ordered by their distances to two vantage points of the shard.  The codes of ``own`` with
     the same two distances are compared with the stretches whose distances both differ by at most
@@ -117,61 +117,93 @@ def forest(own: np.ndarray, guests: np.ndarray, radius: int) -> np.ndarray:
     order = np.argsort(key, kind="stable")
     codes, key = codes[order], key[order]
     mine = np.nonzero(order < len(own))[0]  # places of own codes, in order
+    met = np.arange(len(codes)) if among else np.nonzero(order >= len(own))[0]
+    met_code, met_key = codes[met], key[met]
     root = np.arange(len(codes))
+
+    def roots(at: np.ndarray) -> np.ndarray:
+        top = root[at]
+        while not np.array_equal(up := root[top], top):
+            top = up
+        root[at] = top
+        return top
+
+    def root_of(i: int) -> int:
+        while root[i] != i:
+            i = int(root[i])
+        return i
+
     cells = np.concatenate([np.nonzero(np.concatenate([[True], key[mine][1:] != key[mine][:-1]]))[0], [len(mine)]])
     for a, b in zip(cells[:-1].tolist(), cells[1:].tolist()):
         at = int(key[mine[a]])
         for e in range(-radius, radius + 1):
-            lo, hi = np.searchsorted(key, [at + 256 * e - radius, at + 256 * e + radius + 1])
+            lo, hi = np.searchsorted(met_key, [at + 256 * e - radius, at + 256 * e + radius + 1])
             for c in range(int(lo), int(hi), 8192):
                 up = min(c + 8192, int(hi))
                 for r in range(a, b, 256):
                     rows = mine[r : min(r + 256, b)]
-                    i, j = np.nonzero(np.bitwise_count(codes[rows][:, None] ^ codes[None, c:up]) <= radius)
-                    i, j = rows[i], j + c
-                    keep = root[i] != root[j]
-                    for x, y in zip(i[keep].tolist(), j[keep].tolist()):
-                        rx, ry = root[x], root[y]
-                        if rx != ry:
-                            root[root == max(rx, ry)] = min(rx, ry)
-    moved = np.nonzero(root != np.arange(len(codes)))[0]
-    return np.stack([codes[moved], codes[root[moved]]], axis=1)
-
-
-def links(fps: DataFrame, radius: int = 4, levels: int = 3, count: int = 4) -> DataFrame:
+                    i, j = np.nonzero(np.bitwise_count(codes[rows][:, None] ^ met_code[None, c:up]) <= radius)
+                    x, y = roots(rows[i]), roots(met[j + c])
+                    new = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0)
+                    for p, q in new.tolist():
+                        p, q = root_of(p), root_of(q)
+                        root[max(p, q)] = min(p, q)
+    ends = roots(np.arange(len(codes)))
+    moved = np.nonzero(ends != np.arange(len(codes)))[0]
+    return np.stack([codes[moved], codes[ends[moved]]], axis=1)
+
+
+def links(fps: DataFrame, radius: int = 4, levels: int = 3, count: int = 4, chunk: int = 1 << 15) -> DataFrame:
     """Spanning edges (a, b) of all links between distinct fingerprints (column ``fp``).
 
-    A pair meets in the larger of its two shards, so each pair is compared once.
+    A pair meets in the larger of its two shards, so each pair is compared once.  A shard is compared by
+    tiles, one chunk of its own fingerprints with itself, with another of its own or with one of its
+    guests, so that no task holds more than about two chunks, whatever lies in the shard; the number of tiles
+    follows the data.  A further level saves about a quarter of the comparisons and triples the copies.
     """
     cuts = bands(fps, levels, count)
-    home, touched = F.lit(0), F.array(F.lit(0))
+    home, touched = F.lit(0).cast("long"), F.array(F.lit(0).cast("long"))
     for level, cut in enumerate(cuts):
         d = distance(F.col("fp"), level)
         home = home * count + _band(d, cut)
         touched = _extend(touched, F.sequence(_band(d - radius, cut), _band(d + radius, cut)), count)
     spread = fps.select("fp", home.alias("home"), F.explode(touched).alias("shard")).where("shard >= home")
     spread = spread.select("shard", "fp", (F.col("shard") == F.col("home")).alias("own"))
+    sizes = spread.groupBy(F.col("shard").alias("_s")).agg(F.count(F.when(F.col("own"), 1)).alias("mine"), F.count(F.when(~F.col("own"), 1)).alias("others"))
+    chunks = lambda n: F.ceil(F.col(n) / F.lit(chunk)).cast("int")
+    # A shard without own fingerprints has no links.
+    sizes = materialise(sizes.where("mine > 0").select("_s", chunks("mine").alias("m"), chunks("others").alias("g")), "shards")
+    at = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    # Tile (row, column): row is a chunk of own fingerprints, column one of own (from row on) or, after those, of guests.
+    every = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    place = at("m")
+    as_row = F.transform(every(place, F.col("m") + F.col("g") - 1), lambda c: F.struct(place.alias("r"), c.alias("c"), F.lit(True).alias("first")))
+    as_column = F.transform(every(F.lit(0), place - 1), lambda r: F.struct(r.alias("r"), place.alias("c"), F.lit(False).alias("first")))
+    as_guest = F.transform(every(F.lit(0), F.col("m") - 1), lambda r: F.struct(r.alias("r"), (F.col("m") + at("g")).alias("c"), F.lit(False).alias("first")))
+    tiles = F.when(F.col("own"), F.concat(as_row, as_column)).otherwise(as_guest)
+    dealt = spread.join(sizes, F.col("shard") == F.col("_s")).select("shard", "fp", F.explode(tiles).alias("t")).select("shard", "t.r", "t.c", "fp", F.col("t.first").alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, guests = [], []
+        own, guests, among = [], [], False
         for b in batches:
             fp, mine = b.column("fp").to_numpy(), b.column("own").to_numpy(zero_copy_only=False)
             own.append(fp[mine])
             guests.append(fp[~mine])
-        pairs = forest(np.concatenate(own).view(np.uint64), np.concatenate(guests).view(np.uint64), radius).view(np.int64)
+            among = among or (b.num_rows > 0 and b.column("r")[0] == b.column("c")[0])
+        pairs = forest(np.concatenate(own).view(np.uint64), np.concatenate(guests).view(np.uint64), radius, among).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return spread.groupBy("shard").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("shard", "r", "c").applyInArrow(run, "a long, b long")
 
 
-def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, levels: int = 3, count: int = 4) -> tuple[DataFrame, DataFrame]:
+def rooted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4, levels: int = 3, count: int = 4, chunk: int = 1 << 15) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, fp), and per fingerprint (fp, low, root): its smallest id and its component.
 
     ``root`` is a fingerprint of the component, so components are told apart whatever their ids.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
     fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "fps")
-    comp = components(links(fps.select("fp"), radius, levels, count)).withColumnsRenamed({"node": "_n", "component": "_c"})
+    comp = components(links(fps.select("fp"), radius, levels, count, chunk)).withColumnsRenamed({"node": "_n", "component": "_c"})
     return rows, materialise(fps.join(comp, fps.fp == comp._n, "left").select("fp", "low", F.coalesce("_c", "fp").alias("root")), "roots")
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from tokenizers import Tokenizer
 
@@ -195,6 +196,72 @@ def test_contexts_in_running_text(spark):
     assert spans[500] == "secret:21:29" and spans[501] == "secret:11:18" and spans[502] == spans[503] == spans[504] == spans[100] == ""
 
 
+def values_by_hand(text):
+    """Places (patterns, value, start, end): keys with their marks, and the words around values in running text."""
+    keyed = []
+    for m in regex.finditer(r"(?<![A-Za-z0-9_-])([A-Za-z][A-Za-z0-9_-]*+ {0,2}+[=:] {0,2}+[\"']?+)[^\s\"',;=:]{3,}+", text):
+        keyed.append(([re.sub(" +", " ", m.group(1)).lower()], text[m.end(1) : m.end()], m.end(1), m.end()))
+    kinds = [r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"\+[0-9][ ().0-9-]+[0-9]", r"[0-9](?:[ -]?[0-9]){15,}+"]
+    found = list(regex.finditer("|".join([*kinds, r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{5,}+"]), text))
+    edges = [0, *[e for m in found for e in m.span()], len(text)]
+    words = [[w for w in regex.split(r"[^\p{L}]+", text[a:b].lower()) if w] for a, b in zip(edges[::2], edges[1::2])]
+    prose = []
+    for i, m in enumerate(found):
+        last, first = words[i][-3:], words[i + 1][:3]
+        near = ["before " + " ".join(last[-n:]) for n in range(1, len(last) + 1)] + ["after " + " ".join(first[:n]) for n in range(1, len(first) + 1)]
+        if not any(a < m.end() and m.start() < b for *_, a, b in keyed):
+            prose.append((near, m.group(), *m.span()))
+    return keyed + prose
+
+
+def learned_by_hand(texts, rounds=3):
+    """All learned spans by text: three rounds over the graph of patterns and values in plain Python."""
+    seeds, edges, at = {}, set(), {}
+    for t in texts:
+        base = base_by_hand(t)
+        at[t] = [(p, v, a, b, any(c < b and a < d for _, c, d in base)) for p, v, a, b in values_by_hand(t)]
+        for near, v, *_, crosses in at[t]:
+            mixed = re.search("[0-9]", v) and re.search("[A-Za-z]", v) and " " not in v
+            for p in near:
+                edges.add((p, v))
+                seeds[p, v] = max(seeds.get((p, v), 0.0), float(bool(crosses or (mixed and len(v) >= 20))))
+    conf = dict(seeds)
+    for i in range(rounds):
+        of = {p: [conf[e] for e in edges if e[0] == p] for p in {p for p, _ in edges}}
+        trust = {p: sum(c) / (len(c) + 2.0) for p, c in of.items()}
+        if i < rounds - 1:
+            best = {v: max(trust[p] for p, w in edges if w == v) for v in {v for _, v in edges}}
+            conf = {(p, v): max(c, best[v]) for (p, v), c in conf.items()}
+    trusted = {p for p, c in trust.items() if c >= (0.6 if re.search("[=:]", p) else 0.8)}
+    form = regex.compile(pii.FORM)
+    return {t: sorted({(a, b) for near, v, a, b, crosses in places if not crosses and any(p in trusted and (re.search("[=:]", p) or not form.search(v)) for p in near)}) for t, places in at.items()}
+
+
+def test_learned_spans_by_hand(spark):
+    rng = np.random.default_rng(5)
+    parts = ["passport number {}", "call me on {}", "token = \"{}\"", "id: {} ", "section {} follows", "write to {} today,", "plain words only", "host={} é"]
+    values = [lambda i: hashlib.sha1(str(i).encode()).hexdigest(), lambda i: f"AB{i % 40}-{i % 7}xyz", lambda i: f"+49 30 {1000000 + i}", lambda i: f"u{i}@mail.org", lambda i: f"10.0.{i % 300}.7", lambda i: f"{10000 + i % 50}"]
+    likely = {0: 0, 1: 2, 2: 0, 3: 1, 4: 5, 5: 3, 6: 0, 7: 4}
+    rows = []
+    for i in range(250):
+        picks = rng.integers(0, len(parts), 3)
+        rows.append((i, " ".join(parts[p].format(values[likely[p] if rng.random() < 0.93 else int(rng.integers(6))](int(rng.integers(1000)))) for p in picks)))
+    rows += [(900 + i, t) for i, t in enumerate(TEXTS)]
+    want = learned_by_hand({t for _, t in rows})
+    got = {r["doc_id"]: sorted((x["start"], x["end"]) for x in r["learned"]) for r in pii.find(frame(spark, rows).repartition(4)).collect()}
+    assert got == {i: want[t] for i, t in rows} and sum(map(len, want.values())) > 20
+
+
+def test_a_very_long_text_with_many_values(spark):
+    n = 20000
+    text = " ".join(f"u{i}@mail.org token={f'{i:05d}abcdef' * 3} é 10.1.2.{i % 300}" for i in range(n))
+    docs = frame(spark, [(1, text), (2, None)])
+    row = next(r for r in pii.digest(pii.find(docs)).collect() if r["doc_id"] == 1)
+    assert row["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base_by_hand(text)).encode()).hexdigest()
+    redacted = next(r["text"] for r in pii.redact(docs).collect() if r["doc_id"] == 1)
+    assert redacted == " ".join("[EMAIL] token=[SECRET] é " + ("[IP]" if i % 300 < 256 else f"10.1.2.{i % 300}") for i in range(n))
+
+
 def test_no_texts_no_spans(spark):
     assert pii.find(frame(spark, [])).count() == 0
     docs = frame(spark, [(1, "plain"), (1, "plain")])
@@ -343,6 +410,8 @@ def test_simhash(spark, monkeypatch):
     rows += [(200 + i, t) for i, t in enumerate(ODD)] + [(3, rows[4][1]), (3, rows[4][1]), (None, rows[0][1]), (None, "quite alone here with words")]
     got = simhash.digest(simhash.near_duplicates(frame(spark, rows).repartition(4))).collect()
     assert sorted(str(tuple(r)) for r in got) == sorted(map(str, components_by_hand(rows, 4)))
+    tiles = simhash.digest(simhash.near_duplicates(frame(spark, rows).repartition(4), chunk=3)).collect()
+    assert sorted(map(str, tiles)) == sorted(map(str, got))
     kept = simhash.keep_one(frame(spark, rows)).collect()
     assert len(kept) == len({c for *_, c in components_by_hand(rows, 4)})
     monkeypatch.setattr(simhash, "CHUNK", 16)
@@ -378,6 +447,10 @@ def test_forest_links_what_is_near():
 
     for a, b in pairs.tolist():
         parent[root(a)] = root(b)
+    half = len(codes) // 2
+    apart = simhash.forest(codes[:half], codes[half:], 4, among=False)
+    inside = [(a, b) for a in codes[:half].tolist() for b in codes[half:].tolist() if bin(a ^ b).count("1") <= 4]
+    assert {int(x) for p in apart for x in p} == {x for p in inside for x in p}
     own = set(codes[: len(codes) // 2].tolist())
     for a in codes.tolist():
         for b in codes.tolist():
