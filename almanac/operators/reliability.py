@@ -111,13 +111,18 @@ def friedman(scores: DataFrame, dataset: Sequence[str], method: str, score: str)
         method, "mean_rank", "datasets", (12 * n / (k * (k + 1)) * (F.col("_s.s") - k * (k + 1) * (k + 1) / 4.0)).alias("friedman"))
 
 
+def rank_table(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Average rank of each distinct value (``_v``; 1-based, ties averaged)."""
+    x = df.select(*by, F.col(value).cast("double").alias("_v"))
+    counts = x.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    r = running_sums(counts, by, "_v", {"_n": "n"}, cuts=cut_points(x, "_v"))
+    return r.select(*by, "_v", (F.col("cum_n") - (F.col("_n") - 1) / 2).alias(out))
+
+
 def avg_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """Average rank of each row's value (1-based, ties averaged) without a global sort in one task."""
     x = df.withColumn("_v", F.col(value).cast("double"))
-    counts = x.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    r = running_sums(counts, by, "_v", {"_n": "n"}, cuts=cut_points(x, "_v"))
-    r = r.select(*by, "_v", (F.col("cum_n") - (F.col("_n") - 1) / 2).alias(out))
-    return join_same(x, r, [*by, "_v"]).drop("_v")
+    return join_same(x, rank_table(df, value, out, by), [*by, "_v"]).drop("_v")
 
 
 def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -211,7 +216,11 @@ def jaccard(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation of two scores of the same rows."""
-    r = avg_rank(avg_rank(df.select(a, b), a, "_ra"), b, "_rb")
+    x = df.select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    # Both rank tables come from the rows themselves, neither from the other's join.
+    ra, rb = (rank_table(x, c, out) for c, out in (("_a", "_ra"), ("_b", "_rb")))
+    r = join_same(x.withColumn("_v", F.col("_a")), ra, ["_v"]).withColumn("_v", F.col("_b"))
+    r = join_same(r, rb, ["_v"])
     return r.agg(F.corr("_ra", "_rb").alias("spearman"))
 
 
