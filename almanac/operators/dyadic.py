@@ -75,7 +75,8 @@ def interval_join(obs: DataFrame, intervals: DataFrame, axes: Sequence[Axis], by
         top = only_row(intervals, F.floor(F.log2(F.greatest(F.max(units), F.lit(1)).cast("double"))).cast("int").alias("l"))
         look = F.transform(F.sequence(F.lit(0), F.col("_top.l")), lambda l: name(l, F.floor(at / F.pow(F.lit(2.0), l))))  # noqa: E741, B023
         ob = ob.withColumn("_top", top).withColumn(f"_k{n}", F.explode(F.when(at.isNotNull() & F.col("_top.l").isNotNull(), look))).drop("_top")
-    j = ob.join(iv, [*by, *keys])
+    # The planner counts rows before they become blocks and would broadcast what may be a hundred times its estimate.
+    j = ob.join(iv.hint("merge"), [*by, *keys])
     for a in axes:
         j = j.where((F.col(a.point) >= F.col(a.start)) & (F.col(a.point) <= F.col(a.end)))
     return j.drop(*keys)

@@ -125,6 +125,14 @@ def test_dyadic_interval_join(spark):
     assert got == sorted((x[0], y[0]) for x in obs for y in ivs if x[1] is not None and x[1] == y[1] and ok(x[2], y[2], y[3]) and ok(x[3], y[4], y[5]))
 
 
+def test_blocks_are_never_broadcast(spark):
+    o = spark.createDataFrame([(i, 3.0 * i) for i in range(20)], "o long, t double")
+    v = spark.createDataFrame([(i, 2.0 * i, 2.0 * i + 30) for i in range(9)], "n long, s double, e double")
+    j = dy.interval_join(o, v, [dy.Axis("t", "s", "e")])
+    assert "BroadcastHashJoin" not in j._jdf.queryExecution().executedPlan().toString()  # both tables are estimated far below the threshold
+    assert sorted((r["o"], r["n"]) for r in j.collect()) == sorted((i, k) for i in range(20) for k in range(9) if 2 * k <= 3 * i <= 2 * k + 30)
+
+
 # --- look-up ------------------------------------------------------------------------------------------------
 
 
