@@ -58,6 +58,32 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bits of a :func:`sieve`: 4 MB, whatever is marked in it.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(keys: DataFrame, col: str, bits: int = SIEVE_BITS) -> DataFrame:
+    """Bitmaps (bucket, bits) with the bit of every 64-bit hash in ``col`` set, written to the shared folder.
+
+    For :func:`sifted`, which tells most rows that an exact join need not see before they are shuffled.
+    """
+    at = F.pmod(F.col(col), F.lit(bits))
+    maps = keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    return materialise(maps, "sieve")
+
+
+def sifted(df: DataFrame, col: str, maps: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
+    """``df`` with a boolean ``_maybe``: false only where no hash in ``maps`` equals ``col``.
+
+    True may be wrong where hashes share a bit, so an exact join follows for the rows that pass.
+    """
+    at = F.pmod(F.col(col), F.lit(bits))
+    held = df.withColumns({"_at": F.bitmap_bucket_number(at), "_bit": F.bitmap_bit_position(at)}).join(F.broadcast(maps), F.col("_at") == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = byte.bitwiseAND(F.pow(F.lit(2.0), F.col("_bit") % 8).cast("long")) > 0
+    return held.withColumn("_maybe", F.coalesce(found, F.lit(False))).drop("_at", "_bit", "_bucket", "_bits")
+
+
 def same(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
     """Null-safe equality of left columns with right columns."""
     cond = F.lit(True)
@@ -109,4 +135,4 @@ def crc_sql(column: str) -> str:
   lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
 
 
-__all__ = ["CRC_TABLE", "crc_sql", "QUERIES", "ORACLES", "query", "table", "text_of", "lower_ascii", "let", "partitions", "same", "components", "materialise", "new_path", "ship"]
+__all__ = ["CRC_TABLE", "crc_sql", "QUERIES", "ORACLES", "query", "table", "text_of", "lower_ascii", "let", "partitions", "sieve", "sifted", "same", "components", "materialise", "new_path", "ship"]

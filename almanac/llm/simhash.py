@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, materialise, partitions
+from .common import components, materialise, partitions, sieve, sifted
 from .neighbours import grouped
 
 #: Shingles hashed at a time, so that a very long text needs little memory.
@@ -309,10 +309,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     members = members.unionByName(touching.join(apart, touching.fp == F.col("_f"), "left_semi").select(F.col("band").alias("shard"), "fp"))
     members = materialise(members, "members")
 
-    # One text of each candidate set gives the set again.
+    # One text of each candidate set gives the set again; the other texts stay where they are.
     some = sets.join(members.select(F.col("fp").alias("_m")).distinct(), F.col("fp") == F.col("_m"), "left_semi")
     some = materialise(some.select(F.col("key.doc_id").alias("_id"), F.col("key.text_hash").alias("_h"), "fp", "code"), "candidates")
     texts = docs.select(F.col(id_col).alias("_i"), text.alias("_t"), F.xxhash64(text).alias("_x"))
+    texts = sifted(texts, "_x", sieve(some, "_h")).where("_maybe")
     texts = texts.join(some, texts._x.eqNullSafe(some._h) & texts._i.eqNullSafe(some._id)).select("fp", "code", "_t")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,11 +371,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", un
         named_ids = kept.where("_id is not null").groupBy("_id").agg(F.min("_h").alias("_h"))
         kept = named_ids.unionByName(kept.where("_id is null"))
     kept = materialise(kept, "kept")
+    # A text moves only if its row may have to go or to be told from a row equal in id and text.
+    found = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    doubtful = found.join(kept, found.doc_id.eqNullSafe(kept._id) & (found.text_hash == kept._h), "left").where("n > 1 or _h is null")
     texts = F.xxhash64(F.col(text_col).cast("string"))
-    out = docs.withColumn("_text_hash", texts)
-    out = out.join(kept, out[id_col].eqNullSafe(kept._id) & (F.col("_text_hash") == kept._h), "left_semi")
-    # Rows equal in id and text are left: one of them stays.
-    return out.dropDuplicates([id_col, "_text_hash"]).select(*[F.col(c) for c in docs.columns])
+    out = sifted(docs.withColumn("_text_hash", texts), "_text_hash", sieve(doubtful, "text_hash"))
+    # Rows equal in id and text: one of them stays.  Copies go map-side, so none is a hot key of the join.
+    moved = out.where("_maybe").dropDuplicates([id_col, "_text_hash"])
+    moved = moved.join(kept, moved[id_col].eqNullSafe(kept._id) & (F.col("_text_hash") == kept._h), "left_semi")
+    return out.where("not _maybe").select(*[F.col(c) for c in docs.columns]).unionByName(moved.select(*[F.col(c) for c in docs.columns]))
 
 
 def digest(found: DataFrame) -> DataFrame:

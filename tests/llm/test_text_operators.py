@@ -13,6 +13,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from almanac.llm import licences, mixing, packing, pii, repeats, simhash, toxicity
+from almanac.llm.common import sieve, sifted
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, source string, size int, h string, component_id string"
@@ -430,6 +431,35 @@ def test_keep_one_keeps_unrelated_texts(spark):
     assert sorted(map(str, got)) == sorted(map(str, [None] * 5 + [7, 8, 9]))
 
 
+def test_sieve_misses_nothing(spark):
+    keys = [0, 1, -1, 32767, 32768, 2**63 - 1, -(2**63), 2**25, 77]
+    held = sieve(spark.createDataFrame([(k,) for k in keys], "h long"), "h")
+    rows = spark.createDataFrame([(k,) for k in [*keys, *range(500, 700), None]], "x long")
+    got = [(r["x"], r["_maybe"]) for r in sifted(rows, "x", held).collect()]
+    assert len(got) == len(keys) + 201 and {x for x, ok in got if ok} == set(keys)
+    small = sieve(spark.createDataFrame([(k,) for k in keys], "h long"), "h", 64)
+    got = {r["x"]: r["_maybe"] for r in sifted(rows, "x", small, 64).collect()}
+    assert all(got[x] == (x is not None and x % 64 in {k % 64 for k in keys}) for x in got)
+
+
+def test_only_doubtful_texts_move(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    text = [" ".join(rng.choice([f"w{i}" for i in range(300)], 80)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(text)] + [(100, text[3]), (4, text[4]), (None, text[5]), (None, text[6]), (None, "alone here"), (None, "alone here"), (101, None), (102, "")]
+    want = sorted(map(str, [*enumerate(text), (None, "alone here"), (101, None)]))
+    for find in (simhash.rooted, simhash.similar):
+        out = simhash.keep_one(frame(spark, rows).repartition(3), unique_ids=False, find=find)
+        plan = out._jdf.queryExecution().optimizedPlan()
+        assert plan.nodeName() == "Union"
+        stay, go = (plan.children().apply(i).toString() for i in range(2))
+        assert "Aggregate" not in stay and "LeftSemi" not in stay and "Aggregate" in go and "LeftSemi" in go
+        assert sorted(str((r["doc_id"], r["text"])) for r in out.collect()) == want
+    # Bits that nearly all hashes share: every text moves, the rows are the same.
+    monkeypatch.setattr(simhash, "sieve", lambda keys, col: sieve(keys, col, 4))
+    monkeypatch.setattr(simhash, "sifted", lambda df, col, maps: sifted(df, col, maps, 4))
+    assert sorted(str((r["doc_id"], r["text"])) for r in simhash.keep_one(frame(spark, rows).repartition(3), unique_ids=False, find=simhash.similar).collect()) == want
+
+
 def test_forest_links_what_is_near():
     rng = np.random.default_rng(6)
     codes = rng.integers(0, 2**63, 400, dtype=np.uint64)
