@@ -32,7 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .anchors import anchors, span_hashes, words_of
+from .anchors import anchors_of, span_hashes, words_of
 from .common import materialise, partitions
 
 #: Anchors that a task gathers before it hands them on.
@@ -46,10 +46,6 @@ LAST = (1 << 63) - 1
 # --- suffix arrays ------------------------------------------------------------------------------------
 
 
-#: Symbols (9 bits each) that one number holds.
-PACK = 7
-
-
 def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of all texts, 0 after each; per position its text, its offset there and how many bytes follow."""
     sizes = np.asarray([len(t) for t in texts], dtype=np.int64)
@@ -63,44 +59,67 @@ def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return symbols, which, offset, left
 
 
-def enhanced_suffix_array(symbols: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order and the common prefix of each with the one before, exact up to ``depth`` bytes at least.
-
-    Ranks of prefixes double in length, from seven symbols on; the same ranks, from long to short and
-    then symbol by symbol, give the common prefixes.  A prefix ends with its text.
-    """
-    n = len(symbols)
-    padded = np.concatenate([symbols, np.zeros(PACK, dtype=np.int64)])
-    key = padded[:n].copy()
-    for j in range(1, PACK):
-        key = (key << 9) | padded[j : j + n]
-    ranks, size = [], PACK
-    while True:
+def ranked(key: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Order of the keys, which lie below ``top``; their dense ranks from 1 on; how many ranks there are."""
+    n = len(key)
+    low = n.bit_length()
+    if (top - 1).bit_length() + low <= 64:  # key and place in one number: sorting those is several times faster
+        ordered = np.sort((key.astype(np.uint64) << np.uint64(low)) | np.arange(n, dtype=np.uint64))
+        order = (ordered & np.uint64((1 << low) - 1)).astype(np.int64)
+        ordered >>= np.uint64(low)
+    else:
         order = np.argsort(key, kind="stable")
         ordered = key[order]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) if n else 0
-        ranks.append((size, rank))
-        if size >= depth or not n or rank[order[-1]] == n - 1:
-            break
-        second = np.full(n, -1, dtype=np.int64)
-        second[: max(0, n - size)] = rank[size:]
-        key = rank * (n + 1) + second + 1
+    dense = np.cumsum(first_of(ordered))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = dense
+    return order, rank, int(dense[-1]) if n else 0
+
+
+def enhanced_suffix_array(symbols: np.ndarray, left: np.ndarray, depth: int, shortest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of ``shortest`` bytes or more in order and the common prefix of each with the one before, exact up to ``depth`` bytes at least.
+
+    Ranks of prefixes double in length, from the symbols that fit one number on; at last the suffixes
+    are sorted by the ranks of up to three prefixes that cover ``depth`` bytes.  The same ranks, from
+    long to short and then symbol by symbol, give the common prefixes.  A prefix ends with its text.
+    """
+    n, at = len(symbols), np.nonzero(left >= shortest)[0]
+    if not len(at):
+        return at, np.zeros(0, dtype=np.int64)
+    codes = np.cumsum(np.bincount(symbols) > 0)[symbols] - 1  # symbols that occur, numbered in their order
+    bits = max(1, int(codes.max()).bit_length())
+    size = max(1, (64 - n.bit_length()) // bits)
+    padded = np.concatenate([codes, np.zeros(size, dtype=np.int64)])
+    word = padded[: n + 1].copy()
+    for j in range(1, size):
+        word[:n] = (word[:n] << bits) | padded[j : j + n]
+    word[n] = 0
+    pack = size
+    _, rank, top = ranked(word[:n], 1 << (bits * pack))
+    rank = np.append(rank, 0)  # what lies past the end has rank 0
+    levels = [(size, rank)]
+    while 3 * size < depth and top < n:
+        second = np.zeros(n, dtype=np.int64)
+        second[: max(0, n - size)] = rank[size:n]
+        _, rank, top = ranked(rank[:n] * (top + 1) + second, (top + 1) ** 2)
+        rank = np.append(rank, 0)
         size *= 2
-    common = np.zeros(n, dtype=np.int64)
-    if n > 1:
-        got = np.zeros(n - 1, dtype=np.int64)
-        a, b = order[1:], order[:-1]
-        for size, rank in reversed(ranks):
-            x, y = a + got, b + got
-            ok = (x < n) & (y < n)
-            same = np.zeros(n - 1, dtype=bool)
-            same[ok] = rank[x[ok]] == rank[y[ok]]
-            got += same * size
-        for _ in range(PACK - 1):
-            x, y = np.minimum(a + got, n), np.minimum(b + got, n)
-            got += (padded[x] == padded[y]) & (x < n) & (y < n)
-        common[1:] = np.minimum(got, np.minimum(left[a], left[b]))
+        levels.append((size, rank))
+    key, most = rank[at], top
+    order = None
+    for step in (size, depth - size):
+        if order is None or step > size:
+            order, key, most = ranked(key * (top + 1) + rank[np.minimum(at + step, n)], (most + 1) * (top + 1))
+    order = at[order]
+    common = np.zeros(len(order), dtype=np.int64)
+    a, b = order[1:], order[:-1]
+    got = np.zeros(len(a), dtype=np.int64)
+    for size, rank in [levels[-1]] * 2 + levels[::-1]:
+        got += (rank[np.minimum(a + got, n)] == rank[np.minimum(b + got, n)]) * size
+    other = word[np.minimum(a + got, n)] ^ word[np.minimum(b + got, n)]
+    for j in range(1, pack):
+        got += other < (1 << (bits * j))
+    common[1:] = np.minimum(got, np.minimum(left[a], left[b]))
     return order, common
 
 
@@ -112,7 +131,9 @@ def interval_tree(texts: list[bytes], at_least: int) -> list[tuple[int, list[tup
     the byte before it too (a text's start differs from everything).
     """
     symbols, which, offset, left = join_texts(texts)
-    order, common = enhanced_suffix_array(symbols, left, max(map(len, texts), default=0))
+    order, common = enhanced_suffix_array(symbols, left, max(map(len, texts), default=0), at_least)
+    if not len(order):
+        return []
     before = np.where(offset[order] > 0, symbols[order - 1], -1 - which[order])
     out, stack = [], []  # stack of [length, first place, byte before or None where they differ]
     lengths = [*common.tolist()[1:], 0]
@@ -141,7 +162,7 @@ def repeated_windows(contexts: list[bytes], docs: np.ndarray, length: int) -> tu
     all occurrences of one window.
     """
     symbols, which, offset, left = join_texts(contexts)
-    order, common = enhanced_suffix_array(symbols, left, length)
+    order, common = enhanced_suffix_array(symbols, left, length, length)
     if not len(order):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     root = np.nonzero(common < length)[0]  # first place of every interval
@@ -226,8 +247,8 @@ def anchor_rows(texts: DataFrame, length: int, k: int, buckets: int) -> DataFram
         size = 0
         for b in batches:
             ids = b.column(0).to_numpy()
-            for i, t in enumerate(b.column(1)):
-                h, _, _, c = anchors(t.as_py().encode("utf-8", "replace"), length, k)
+            texts = (t.as_py().encode("utf-8", "replace") for t in b.column(1))
+            for i, (_, h, _, _, c) in enumerate(anchors_of(texts, length, k)):
                 kept.append((h >> ANCHOR_SHIFT, c >> CONTEXT_SHIFT, np.full(len(h), ids[i])))
                 size += len(h)
                 if size >= FLUSH:
@@ -310,9 +331,8 @@ def contexts_of(joined: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, z, kinds, blobs in zip(*(b.column(n).to_pylist() for n in ("key", "z", "kinds", "blobs"))):
-                data = _plain(z)
-                h, first, last, c = anchors(data, length, k)
+            docs, zs, all_kinds, all_blobs = (b.column(n).to_pylist() for n in ("key", "z", "kinds", "blobs"))
+            for doc, kinds, blobs, (data, h, first, last, c) in zip(docs, all_kinds, all_blobs, anchors_of(map(_plain, zs), length, k)):
                 c = c >> CONTEXT_SHIFT
                 for kind in (CONTEXT, HOT):
                     want = _values([x for x, y in zip(blobs, kinds) if y == kind])
@@ -325,7 +345,7 @@ def contexts_of(joined: DataFrame, length: int, k: int) -> DataFrame:
                         if kind == CONTEXT:
                             rows.append((tag, doc, mark, data[a : z_ + length], None, None))
                         else:
-                            w = span_hashes(words_of(data[a : z_ + length]), np.arange(z_ - a + 1), np.full(z_ - a + 1, length)).view(np.int64)
+                            w = span_hashes(words_of(data[a : z_ + length]), np.arange(z_ - a + 1), np.full(z_ - a + 1, length), length).view(np.int64)
                             rows += [(tag, doc, mark, None, p, x) for p, x in enumerate(w.tolist())]
             yield _batch(rows, ["h", "doc", "c", "body", "place", "window"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()])
 
@@ -423,11 +443,11 @@ def cut_texts(joined: DataFrame, length: int, k: int, texts: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, spans, kept = [], [], []
-            for z, full, marks, places in zip(*(b.column(n).to_pylist() for n in ("z", "full", "marks", "places"))):
-                data = _plain(z)
+            zs, fulls, all_marks, all_places = (b.column(n).to_pylist() for n in ("z", "full", "marks", "places"))
+            hit = [bool(full or marks) for full, marks in zip(fulls, all_marks)]
+            for full, marks, places, (data, _, first, last, c) in zip(fulls, all_marks, all_places, anchors_of(map(_plain, zs), length, k, hit)):
                 left, right = np.empty(0, np.int64), np.empty(0, np.int64)
                 if full or marks:
-                    _, first, last, c = anchors(data, length, k)
                     c = c >> CONTEXT_SHIFT
                     whole = np.isin(c, _values(full)) if full else np.zeros(len(c), dtype=bool)
                     starts, ends = [first[whole]], [last[whole] + length]

@@ -1,6 +1,7 @@
 """Mixing, packing, personal data, licences, repeats, SimHash and toxicity against plain Python."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -356,6 +357,53 @@ def test_long_texts_are_worked_in_parts(monkeypatch):
     assert (anchor(whole) == anchor(parts)).all()
 
 
+def test_short_texts_are_worked_together(monkeypatch):
+    from almanac.llm import anchors
+
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in rng.integers(0, 400, 500).tolist()]
+    texts += [texts[7][:50], b"", bytes(rng.integers(97, 101, 5000, dtype=np.uint8))] + texts[:20]
+    calls = []
+    plain = anchors.gram_hashes
+    monkeypatch.setattr(anchors, "gram_hashes", lambda *a: calls.append(1) or plain(*a))
+    monkeypatch.setattr(anchors, "CHUNK", 3000)  # the longest text is worked in parts
+    wanted = [i % 5 > 0 for i in range(len(texts))]
+    got = list(anchors.anchors_of(iter(texts), wanted=wanted))
+    assert len(calls) < len(texts) / 4
+    assert [x[0] for x in got] == texts
+    for (_, *found), text, want in zip(got, texts, wanted):
+        alone = anchors.anchors(text if want else b"")
+        assert all(a.tolist() == b.tolist() for a, b in zip(found, alone))
+        assert int((found[2] - found[1] + 1).sum()) == (max(0, len(text) - 49) if want else 0)
+
+
+def test_equal_contexts_have_equal_hashes():
+    from almanac.llm import anchors
+
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        data = bytes(rng.integers(97, 123, 300, dtype=np.uint8))
+        _, first, last, c = anchors.anchors(data)
+        for a, z, x in zip(first.tolist(), last.tolist(), c.tolist()):
+            assert anchors.anchors(data[a : z + 50])[3].tolist() == [x]  # alone the context is the whole text
+
+
+def test_suffixes_too_short_for_a_repeat_are_not_sorted():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        texts = [bytes(rng.choice(list(b"ab\0"), rng.integers(0, 30)).tolist()) for _ in range(rng.integers(1, 6))]
+        shortest, depth = int(rng.integers(1, 6)), int(rng.integers(6, 40))
+        symbols, which, offset, left = repeats.join_texts(texts)
+        order, common = repeats.enhanced_suffix_array(symbols, left, depth, shortest)
+        assert sorted(order.tolist()) == np.nonzero(left >= shortest)[0].tolist()
+        suffix = [texts[which[p]][offset[p] :] for p in order]
+        for a, b, n in zip(suffix, suffix[1:], common[1:].tolist()):
+            same = len(os.path.commonprefix([a, b]))
+            assert a[:depth] <= b[:depth] and min(n, depth) == min(same, depth) and n <= same
+    none = repeats.enhanced_suffix_array(*(repeats.join_texts([b"ab"])[i] for i in (0, 3)), 5, 5)
+    assert [len(x) for x in none] == [0, 0] and repeats.interval_tree([b"ab"], 5) == []
+
+
 def test_interval_tree():
     rng = np.random.default_rng(2)
     for _ in range(200):
