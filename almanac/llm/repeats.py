@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,10 @@ from pyspark.sql import DataFrame, functions as F
 from .anchors import anchors_of, span_hashes, words_of
 from .common import materialise, partitions
 
-#: Anchors that a task gathers before it hands them on.
-FLUSH = 3_000_000
+#: Anchors that a task gathers before it hands them on; a worker holds some 100 bytes for each while it sorts them.
+FLUSH = 1_000_000
+#: Contexts or windows that a task hands on at once.
+PORTION = 10_000
 #: Bits dropped from anchor hashes (they only bring contexts together) and from context hashes.
 ANCHOR_SHIFT, CONTEXT_SHIFT = np.uint64(24), np.uint64(8)
 FULL, CONTEXT, HOT = 0, 1, 2
@@ -325,45 +328,63 @@ def _plain(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z) if z else b""
 
 
+def wanted_contexts(batches: Iterator[pa.RecordBatch], kind: int, length: int, k: int) -> Iterator[tuple]:
+    """(document, anchor, mark, bytes) of the contexts of one kind, every context of a document once."""
+    for b in batches:
+        docs, zs, all_kinds, all_blobs = (b.column(n).to_pylist() for n in ("key", "z", "kinds", "blobs"))
+        wants = [_values([x for x, y in zip(blobs, kinds) if y == kind]) for kinds, blobs in zip(all_kinds, all_blobs)]
+        for doc, want, (data, h, first, last, c) in zip(docs, wants, anchors_of(map(_plain, zs), length, k, [len(w) > 0 for w in wants])):
+            c = c >> CONTEXT_SHIFT
+            at = np.nonzero(np.isin(c, want))[0]
+            for i in at[np.unique(c[at], return_index=True)[1]].tolist():
+                yield doc, int(h[i] >> ANCHOR_SHIFT), int(c[i]), data[int(first[i]) : int(last[i]) + length]
+
+
+def in_portions(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``PORTION`` rows, however many rows a batch that was read gives."""
+    while part := list(islice(rows, PORTION)):
+        yield _batch(part, names, types)
+
+
 def contexts_of(joined: DataFrame, length: int, k: int) -> DataFrame:
-    """(h, doc, c, body) of the contexts to look at; for hot ones (h, doc, c, place, window) per window."""
+    """(h, doc, c, body) of the contexts that meet in suffix arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            docs, zs, all_kinds, all_blobs = (b.column(n).to_pylist() for n in ("key", "z", "kinds", "blobs"))
-            for doc, kinds, blobs, (data, h, first, last, c) in zip(docs, all_kinds, all_blobs, anchors_of(map(_plain, zs), length, k)):
-                c = c >> CONTEXT_SHIFT
-                for kind in (CONTEXT, HOT):
-                    want = _values([x for x, y in zip(blobs, kinds) if y == kind])
-                    at = np.nonzero(np.isin(c, want))[0] if len(want) else []
-                    if len(at):
-                        at = at[np.unique(c[at], return_index=True)[1]]
-                    for i in at:
-                        a, z_ = int(first[i]), int(last[i])
-                        tag, mark = int(h[i] >> ANCHOR_SHIFT), int(c[i])
-                        if kind == CONTEXT:
-                            rows.append((tag, doc, mark, data[a : z_ + length], None, None))
-                        else:
-                            w = span_hashes(words_of(data[a : z_ + length]), np.arange(z_ - a + 1), np.full(z_ - a + 1, length), length).view(np.int64)
-                            rows += [(tag, doc, mark, None, p, x) for p, x in enumerate(w.tolist())]
-            yield _batch(rows, ["h", "doc", "c", "body", "place", "window"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()])
-
-    return joined.mapInArrow(run, "h long, doc long, c long, body binary, place int, window long")
+        rows = ((h, doc, c, body) for doc, h, c, body in wanted_contexts(batches, CONTEXT, length, k))
+        yield from in_portions(rows, ["h", "doc", "c", "body"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()])
+
+    return joined.mapInArrow(run, "h long, doc long, c long, body binary")
+
+
+def hot_windows(joined: DataFrame, length: int, k: int) -> DataFrame:
+    """(window, doc, c, place) per window of the contexts whose anchors are hot; ``window`` is a hash."""
+
+    def windows(body: bytes) -> list[int]:
+        n = len(body) - length + 1
+        return span_hashes(words_of(body), np.arange(n), np.full(n, length), length).view(np.int64).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((x, doc, c, place) for doc, _, c, body in wanted_contexts(batches, HOT, length, k) for place, x in enumerate(windows(body)))
+        yield from in_portions(rows, ["window", "doc", "c", "place"], [pa.int64(), pa.int64(), pa.int64(), pa.int32()])
+
+    return joined.mapInArrow(run, "window long, doc long, c long, place int")
 
 
 def whole_anchors(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor in portions of about ``most`` rows; an anchor is never cut."""
+    """Rows sorted by anchor in portions of about ``most`` rows, however many a batch holds; an anchor is never cut."""
     rest: list[pa.RecordBatch] = []
     for b in batches:
         rest.append(b)
         if sum(x.num_rows for x in rest) >= most:
             rows = pa.concat_batches(rest)
             h = rows.column("h").to_numpy()
-            cut = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
-            if cut:
-                yield rows.slice(0, cut)
-            rest = [rows.slice(cut)]
+            end = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
+            at = 0
+            while at < end:
+                cut = int(np.searchsorted(h, h[min(at + most, end) - 1], side="right"))
+                yield rows.slice(at, cut - at)
+                at = cut
+            rest = [rows.slice(end)]
     if rest:
         yield pa.concat_batches(rest)
 
@@ -390,7 +411,7 @@ def look(contexts: DataFrame, length: int, most: int = 8_000) -> DataFrame:
 
 def _by_anchor(contexts: DataFrame) -> DataFrame:
     n = partitions(contexts.sparkSession)
-    return contexts.where("place is null").select("h", "doc", "c", "body").repartition(n, "h").sortWithinPartitions("h")
+    return contexts.select("h", "doc", "c", "body").repartition(n, "h").sortWithinPartitions("h")
 
 
 def repeat_groups(contexts: DataFrame, length: int, most: int = 8_000) -> DataFrame:
@@ -413,9 +434,8 @@ def repeat_groups(contexts: DataFrame, length: int, most: int = 8_000) -> DataFr
     return _by_anchor(contexts).mapInArrow(run, "text binary, size int, doc long, c long, place int")
 
 
-def look_hot(contexts: DataFrame) -> DataFrame:
-    """The same for hot anchors: one row per window, smallest documents by a map-side minimum."""
-    w = contexts.where("place is not null").select("window", "doc", "c", "place")
+def look_hot(w: DataFrame) -> DataFrame:
+    """The same for hot anchors, from one row per window: smallest documents by a map-side minimum."""
     low = w.groupBy("window").agg(F.min("doc").alias("low"))
     hit = w.join(low, "window").where("doc > low").select("doc", "c", F.hex(F.col("place")).alias("place"))
     little = F.unhex(F.concat(*[F.substring(F.lpad("place", 8, "0"), i, 2) for i in (7, 5, 3, 1)]))
@@ -469,16 +489,22 @@ def cut_texts(joined: DataFrame, length: int, k: int, texts: bool) -> DataFrame:
     return joined.mapInArrow(run, f"doc_id {kind}, {CUT}")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 24, hot: int = 50_000, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 24, hot: int = 20_000, texts: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, spans (removed runs of bytes), kept (the bytes that stay, or their SHA-256 if not ``texts``)."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     known = settle(anchor_rows(rows, length, k, partitions(spark)), hot).groupBy("doc").agg(F.collect_list("kind").alias("kinds"), F.collect_list("blob").alias("blobs"))
     known = materialise(known, "known")
-    open_ = known.where(F.exists("kinds", lambda x: x != FULL))
-    z = squeezed(rows)
-    contexts = materialise(contexts_of(z.join(open_, z.key == open_.doc).select("key", "z", "kinds", "blobs"), length, k), "contexts")
-    found = look(contexts, length).unionByName(look_hot(contexts))
+    # Both joins with the texts take the same rows and columns of them, so that one shuffle of the texts serves both.
+    z = squeezed(rows).where("key is not null")
+
+    def holding(kind: int) -> DataFrame:
+        some = known.where(F.exists("kinds", lambda x: x == kind))
+        return z.join(some, z.key == some.doc).select("key", "doc_id", "z", "kinds", "blobs")
+
+    found = look(contexts_of(holding(CONTEXT), length, k), length)
+    if known.agg(F.bool_or(F.exists("kinds", lambda x: x == HOT))).first()[0]:
+        found = found.unionByName(look_hot(materialise(hot_windows(holding(HOT), length, k), "windows")))
     found = found.groupBy("doc").agg(F.collect_list("c").alias("marks"), F.collect_list("places").alias("places")).withColumnRenamed("doc", "_d")
     pairs = F.filter(F.arrays_zip("kinds", "blobs"), lambda x: x["kinds"] == FULL)
     full = known.select(F.col("doc").alias("_f"), F.transform(pairs, lambda x: x["blobs"]).alias("full"))

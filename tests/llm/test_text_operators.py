@@ -1,16 +1,20 @@
 """Mixing, packing, personal data, licences, repeats, SimHash and toxicity against plain Python."""
 
 import hashlib
+import inspect
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
+import zstandard
 from tokenizers import Tokenizer
 
 from almanac.llm import licences, mixing, packing, pii, repeats, simhash, toxicity
@@ -327,6 +331,56 @@ def test_repeats(spark, hot):
     assert sorted(str(tuple(r)) for r in got) == cut_by_hand(rows, 50)
 
 
+def test_repeats_shuffle_the_texts_once(spark):
+    rows = [(i, f"{i} " + "a passage that stands in several of the documents, here and there " * (i % 3)) for i in range(30)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = repeats.digest(repeats.remove_repeats(frame(spark, rows), texts=False))
+        assert sorted(str(tuple(r)) for r in got.collect()) == cut_by_hand(rows, 50)
+        assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_an_anchor_with_the_most_contexts_fits_a_worker():
+    n = inspect.signature(repeats.remove_repeats).parameters["hot"].default
+    rng = np.random.default_rng(5)
+    sides = rng.integers(97, 123, (n, 52), dtype=np.uint8)
+    bodies = [bytes(x[:26]) + b"the same anchor of texts" + bytes(x[26:]) for x in sides]
+    tracemalloc.start()
+    try:
+        which, _ = repeats.repeated_windows(bodies, np.arange(n), 50)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert not len(which) and most < 300e6
+
+
+def test_a_batch_of_many_anchors_is_looked_at_in_portions():
+    batch = lambda h: pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "n": pa.array(range(len(h)), pa.int64())})
+    h = sorted([*range(40), *[7] * 9, *[39] * 3, *[40] * 5])
+    for sizes in ([57], [20, 20, 17], [1] * 57):
+        cut = np.cumsum([0, *sizes]).tolist()
+        got = [b.column("h").to_pylist() for b in repeats.whole_anchors((batch(h[a:z]) for a, z in zip(cut, cut[1:])), 4)]
+        assert [x for part in got for x in part] == h
+        assert all(set(a).isdisjoint(b) for i, a in enumerate(got) for b in got[:i])
+        assert all(len([x for x in part if x != part[-1]]) < 4 for part in got)
+
+
+def test_hot_windows_are_handed_on_in_portions(monkeypatch):
+    monkeypatch.setattr(repeats, "PORTION", 100)
+    text = bytes(np.random.default_rng(6).integers(97, 123, 400, dtype=np.uint8))
+    _, _, _, _, c = next(repeats.anchors_of([text]))
+    marks = (c >> repeats.CONTEXT_SHIFT).astype("<u8").tobytes()
+    batch = pa.RecordBatch.from_pydict({"key": [3], "z": [zstandard.ZstdCompressor().compress(text)], "kinds": [[repeats.HOT]], "blobs": [[marks]]})
+    found = list(repeats.wanted_contexts(iter([batch]), repeats.HOT, 50, 24))
+    rows = iter([(doc, p) for doc, _, _, body in found for p in range(len(body) - 49)])
+    got = [b.num_rows for b in repeats.in_portions(rows, ["doc", "place"], [pa.int64(), pa.int64()])]
+    assert sum(got) == len(text) - 49 and max(got) == 100
+    assert not list(repeats.wanted_contexts(iter([batch]), repeats.CONTEXT, 50, 24))
+
+
 def test_repeat_groups(spark):
     bodies = [(7, 1, 10, b"x" * 3 + b"abcdefghij" + b"1"), (7, 2, 20, b"y" + b"abcdefghij" + b"22"), (7, 3, 30, b"cdefghij3"), (9, 4, 40, b"zzzzzzzz")]
     contexts = spark.createDataFrame([(*r, None) for r in bodies], "h long, doc long, c long, body binary, place int")
